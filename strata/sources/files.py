@@ -124,13 +124,12 @@ def load_documents(spark: SparkSession, directory: str, pattern: str = "*.md") -
     """Recursive text-file load: one row per file (path, text).
 
     Undecodable bytes are replaced (UTF-8 decoding of the text source), and
-    paths under ``.venv`` / ``__pycache__`` are skipped.
+    paths under ``.venv`` / ``__pycache__`` are skipped (Spark's file index
+    already hides names starting with '.' or '_'; the explicit filter also
+    covers sources listed some other way).
     """
     df = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(directory)
+        spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     for d in SKIP_DIRS:
