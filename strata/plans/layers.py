@@ -257,3 +257,18 @@ def q_gold_auto_views(spark: SparkSession, data_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------- generator
+
+
+@query("generate_orders")
+def q_generate_orders(spark: SparkSession, data_dir: str) -> DataFrame:
+    """One synthetic e-commerce order per order key: customers from customer,
+    products and prices from part, weighted status and channel."""
+    from strata.sources.datagen import generate_orders
+
+    orders = load(spark, data_dir, "orders")
+    customers = load(spark, data_dir, "customer").select(F.col("c_custkey").alias("id"))
+    products = load(spark, data_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
+    return generate_orders(orders, "o_orderkey", customers, products)
