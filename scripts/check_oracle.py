@@ -49,6 +49,34 @@ def norm(v):
     return v
 
 
+def spark_kind(dt) -> str:
+    n = dt.simpleString()
+    if n in ("tinyint", "smallint", "int", "bigint"):
+        return "int"
+    if n in ("float", "double"):
+        return "float"
+    if n.startswith("decimal"):
+        return "decimal"
+    if n.startswith("timestamp"):
+        return "timestamp"
+    return n.split("<")[0]
+
+
+def duck_kind(t: str) -> str:
+    t = str(t).upper()
+    if t in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT"):
+        return "int"
+    if t in ("FLOAT", "DOUBLE"):
+        return "float"
+    if t.startswith("DECIMAL"):
+        return "decimal"
+    if t.startswith("TIMESTAMP"):
+        return "timestamp"
+    if t == "VARCHAR":
+        return "string"
+    return {"BOOLEAN": "boolean", "DATE": "date"}.get(t, t.lower())
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -83,6 +111,11 @@ def main():
             ocols = [d[0] for d in res.description]
             orows = res.fetchall()
             problems = []
+            sk = {f.name: spark_kind(f.dataType) for f in df.schema.fields}
+            ok = {d[0]: duck_kind(d[1]) for d in res.description}
+            tdiff = {c: (sk[c], ok[c]) for c in sk if c in ok and sk[c] != ok[c]}
+            if tdiff:
+                problems.append(f"types {tdiff}")
             if sorted(scols) != sorted(ocols):
                 problems.append(f"cols spark={sorted(scols)} oracle={sorted(ocols)}")
             if len(srows) != len(orows):

@@ -59,6 +59,11 @@ KB_FLAGS = {
 }
 
 
+def _d(x: float) -> str:
+    """A double literal (an unsuffixed literal would be DECIMAL in both dialects)."""
+    return f"CAST({x!r} AS DOUBLE)"
+
+
 def category_sql(description: str, task_type: str) -> str:
     text = f"lower({description} || ' ' || {task_type})"
     parts = []
@@ -68,7 +73,7 @@ def category_sql(description: str, task_type: str) -> str:
 
 
 def threshold_sql(category: str) -> str:
-    return "CASE " + " ".join(f"WHEN {category} = '{c}' THEN {t}" for c, t in THRESHOLDS.items()) + " END"
+    return "CASE " + " ".join(f"WHEN {category} = '{c}' THEN {_d(t)}" for c, t in THRESHOLDS.items()) + " END"
 
 
 def mcp_key_sql(mcp: str) -> str:
@@ -80,7 +85,7 @@ def kb_key_sql(kb: str) -> str:
 
 
 def agreement_table_sql() -> str:
-    rows = ", ".join(f"('{a}', '{b}', '{lvl}', {base})" for a, b, lvl, base in AGREEMENT)
+    rows = ", ".join(f"('{a}', '{b}', '{lvl}', {_d(base)})" for a, b, lvl, base in AGREEMENT)
     return f"(VALUES {rows}) AS agreement(kb_key, mcp_key, agreement_level, base_score)"
 
 
@@ -91,7 +96,7 @@ def fold_sql(base: str, flags: dict[str, str]) -> str:
         flag = flags.get(cond)
         if flag is None:
             continue
-        expr = f"greatest(0.0, least(1.0, {expr} + CASE WHEN {flag} THEN {delta} ELSE 0.0 END))"
+        expr = f"greatest({_d(0.0)}, least({_d(1.0)}, {expr} + CASE WHEN {flag} THEN {_d(delta)} ELSE {_d(0.0)} END))"
     return f"round({expr}, 4)"
 
 
@@ -99,10 +104,10 @@ def decide_sql(score: str, threshold: str, category: str, rounds: str) -> str:
     return (
         f"CASE WHEN {score} >= {threshold} THEN 'execute' "
         f"WHEN {rounds} < {MAX_ROUNDS} AND {category} IN ('standard', 'advisory') THEN 'research' "
-        f"WHEN {rounds} < {MAX_ROUNDS} AND {score} >= {threshold} - 0.10 THEN 'research' "
+        f"WHEN {rounds} < {MAX_ROUNDS} AND {score} >= {threshold} - {_d(0.1)} THEN 'research' "
         f"WHEN {category} = 'critical' THEN 'refuse' "
         f"WHEN {category} = 'important' THEN 'ask_user' "
-        f"WHEN {category} = 'standard' AND {score} >= {threshold} - 0.10 THEN 'disclaim' "
+        f"WHEN {category} = 'standard' AND {score} >= {threshold} - {_d(0.1)} THEN 'disclaim' "
         f"WHEN {category} = 'standard' THEN 'ask_user' "
         "ELSE 'disclaim' END"
     )
@@ -140,7 +145,7 @@ def round_exprs(r: int) -> list[tuple[str, str]]:
     go = "decision = 'research'"
     new_mcp = "CASE WHEN mcp_available AND mcp_result_r = 'silent' THEN CASE WHEN mcp_agrees THEN 'agrees' ELSE 'disagrees' END ELSE mcp_result_r END"
     asked = "(mcp_available AND mcp_result_r = 'silent')"
-    web = "(web_found AND final_score < threshold - 0.05)"
+    web = f"(web_found AND final_score < threshold - {_d(0.05)})"
     return [
         ("f_fresh", f"f_fresh OR ({go} AND {asked} AND mcp_fresh)"),
         ("f_prod", f"f_prod OR ({go} AND {asked} AND mcp_prod) OR ({go} AND {web} AND web_prod)"),
@@ -166,7 +171,7 @@ def rescore_exprs() -> list[tuple[str, str]]:
     }
     base = (
         "CASE " + " ".join(
-            f"WHEN ({kb_key_sql('kb_found')}) = '{a}' AND ({mcp_key_sql('mcp_result_r')}) = '{b}' THEN {base}"
+            f"WHEN ({kb_key_sql('kb_found')}) = '{a}' AND ({mcp_key_sql('mcp_result_r')}) = '{b}' THEN {_d(base)}"
             for a, b, _l, base in AGREEMENT
         ) + " END"
     )

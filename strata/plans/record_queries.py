@@ -102,7 +102,7 @@ def q_records_scan(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @query(
     "records_high_value",
-    oracle=f"SELECT id, category, confidence FROM ({RECORDS_SQL}) "
+    oracle=f"SELECT id, category, CAST(confidence AS DOUBLE) AS confidence FROM ({RECORDS_SQL}) "
     "WHERE confidence >= 0.7 OR category IN ('error_resolution', 'pattern_discovered')",
 )
 def q_records_high_value(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def q_records_high_value(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @query(
     "records_high_value_top",
-    oracle=f"SELECT id, title, category, confidence FROM ({RECORDS_SQL}) "
+    oracle=f"SELECT id, title, category, CAST(confidence AS DOUBLE) AS confidence FROM ({RECORDS_SQL}) "
     "WHERE confidence >= 0.7 OR category IN ('error_resolution', 'pattern_discovered') "
     "ORDER BY confidence DESC, id LIMIT 10",
 )
