@@ -63,6 +63,11 @@ class Lake:
             self._ready.add(db)
         return db
 
+    def prepare(self, *layers: str) -> None:
+        """Create the layer databases up front (before concurrent writers start)."""
+        for layer in layers or ("bronze", "silver", "gold"):
+            self._ensure(layer)
+
     def name(self, layer: str, table: str) -> str:
         return f"{quote(self.database(layer))}.{quote(table)}"
 

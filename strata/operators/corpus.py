@@ -54,10 +54,10 @@ class TextRule:
     message: str
     kind: str  # "contains", "contains_ci", "regex", or "builtin"
     pattern: str = ""
+    hint: str = ""  # a literal every regex match contains: a cheap pre-filter
 
 
-def _builtin_conditions(t: Column) -> dict[str, Column]:
-    lo = F.lower(t)
+def _builtin_conditions(t: Column, lo: Column) -> dict[str, Column]:
     conds = {
         "print_without_logging": t.contains("print(") & ~t.contains("import logging"),
         "hardcoded_secret": lo.contains("password") | lo.contains("secret"),
@@ -83,24 +83,35 @@ REVIEW_RULES = [
 ] + [TextRule(f"hardcoded_host_{h}", "info", f"Hardcoded host '{h}'", "builtin") for h in HARDCODED_HOSTS]
 
 
-def rule_condition(rule: TextRule, t: Column) -> Column:
+def rule_condition(rule: TextRule, t: Column, lo: Column | None = None) -> Column:
+    lo = F.lower(t) if lo is None else lo
     if rule.kind == "builtin":
-        return _builtin_conditions(t)[rule.name]
+        return _builtin_conditions(t, lo)[rule.name]
     if rule.kind == "contains":
         return t.contains(rule.pattern)
     if rule.kind == "contains_ci":
-        return F.lower(t).contains(rule.pattern.lower())
+        return lo.contains(rule.pattern.lower())
     if rule.kind == "regex":
-        return t.rlike(rule.pattern)
+        return (t.contains(rule.hint) & t.rlike(rule.pattern)) if rule.hint else t.rlike(rule.pattern)
     raise ValueError(f"unknown rule kind {rule.kind}")
 
 
+def with_rule_flags(df: DataFrame, text: str, rules: list[TextRule]) -> DataFrame:
+    """One boolean column ``_rule_<i>`` per rule; the lower-cased text is computed
+    once per row (its own projection) and shared by every case-insensitive rule."""
+    t = F.col(text)
+    staged = df.withColumn("_lo", F.lower(t))
+    flags = {f"_rule_{i}": rule_condition(r, t, F.col("_lo")) for i, r in enumerate(rules)}
+    return staged.withColumns(flags).drop("_lo")
+
+
 def findings(t: Column, rules: list[TextRule]) -> Column:
     """Array of (rule, severity, message) structs for the rules a text hits."""
+    lo = F.lower(t)
     arr = F.array(
         *[
             F.when(
-                rule_condition(r, t),
+                rule_condition(r, t, lo),
                 F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
                          F.lit(r.message).alias("message")),
             )
@@ -112,8 +123,8 @@ def findings(t: Column, rules: list[TextRule]) -> Column:
 
 def scan_rule_counts(df: DataFrame, text: str, rules: list[TextRule]) -> DataFrame:
     """Documents hit per rule, one row per rule (zero hits included), one scan."""
-    t = F.col(text)
-    one = df.agg(*[F.count_if(rule_condition(r, t)).alias(f"_r{i}") for i, r in enumerate(rules)])
+    flagged = with_rule_flags(df.select(text), text, rules)
+    one = flagged.agg(*[F.count_if(F.col(f"_rule_{i}")).alias(f"_r{i}") for i in range(len(rules))])
     rows = [
         F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(f"_r{i}").alias("docs_hit"))
         for i, r in enumerate(rules)
@@ -121,26 +132,38 @@ def scan_rule_counts(df: DataFrame, text: str, rules: list[TextRule]) -> DataFra
     return one.select(F.inline(F.array(*rows)))
 
 
-def scan_summary(df: DataFrame, key: str, text: str, rules: list[TextRule]) -> DataFrame:
-    """Per unit: error / warning / info counts and pass flag (no errors)."""
-    f = findings(F.col(text), rules)
+def severity_count(rules: list[TextRule], sev: str) -> Column:
+    terms = [F.col(f"_rule_{i}").cast("int") for i, r in enumerate(rules) if r.severity == sev]
+    return sum(terms[1:], terms[0]) if terms else F.lit(0)
 
-    def n(sev: str) -> Column:
-        return F.size(F.filter(f, lambda x: x["severity"] == sev))
 
-    return df.select(
+def scan_summary(df: DataFrame, key: str, text: str, rules: list[TextRule]) -> DataFrame:
+    """Per unit: error / warning / info counts and pass flag (no errors)."""
+    flagged = with_rule_flags(df.select(key, text), text, rules)
+    counts = flagged.select(
         F.col(key),
-        n("error").alias("errors"),
-        n("warning").alias("warnings"),
-        n("info").alias("infos"),
-        F.size(f).alias("total_issues"),
-        (n("error") == 0).alias("passed"),
+        severity_count(rules, "error").alias("errors"),
+        severity_count(rules, "warning").alias("warnings"),
+        severity_count(rules, "info").alias("infos"),
+    )
+    return counts.select(
+        key, "errors", "warnings", "infos",
+        (F.col("errors") + F.col("warnings") + F.col("infos")).alias("total_issues"),
+        (F.col("errors") == 0).alias("passed"),
     )
 
 
 def scan_findings(df: DataFrame, key: str, text: str, rules: list[TextRule]) -> DataFrame:
     """Long form: one row per (unit, rule hit)."""
-    return df.select(F.col(key), F.inline(findings(F.col(text), rules)))
+    flagged = with_rule_flags(df.select(key, text), text, rules)
+    arr = F.array(
+        *[
+            F.when(F.col(f"_rule_{i}"), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
+                                                 F.lit(r.message).alias("message")))
+            for i, r in enumerate(rules)
+        ]
+    )
+    return flagged.select(F.col(key), F.inline(F.filter(arr, lambda x: x.isNotNull())))
 
 
 # File suffixes scanned by the secret audit.

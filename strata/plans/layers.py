@@ -86,7 +86,18 @@ _LANDING_FORMATS = {
 }
 
 
+_LANDINGS: dict[tuple[int, str], str] = {}
+
+
 def _landing_folder(spark: SparkSession, data_dir: str) -> str:
+    """Source files of every table in mixed formats, written once per session and data folder."""
+    key = (id(spark), data_dir)
+    if key not in _LANDINGS:
+        _LANDINGS[key] = _write_landing_folder(spark, data_dir)
+    return _LANDINGS[key]
+
+
+def _write_landing_folder(spark: SparkSession, data_dir: str) -> str:
     root = scratch_path(spark, "landing")
     for t, fmt in _LANDING_FORMATS.items():
         df = load(spark, data_dir, t)

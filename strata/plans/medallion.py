@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,39 +82,47 @@ def default_checks(df: DataFrame) -> list[dict]:
     return [{"column": c, "rule": "not_null"} for c in df.columns if c not in AUDIT_COLUMNS]
 
 
+def _table_report(
+    lake: Lake, table: str, bronze_rows: int, checks: dict[str, list[dict]] | None, run_ts: _dt.datetime
+) -> DataFrame:
+    spark = lake.spark
+    table_checks = (checks or {}).get(table) or default_checks(lake.table("bronze", table))
+    silver_rows, quality = bronze_to_silver(lake, table, table, table_checks, run_ts)
+    gold = create_aggregation(lake, f"SELECT * FROM {lake.name('silver', table)}", f"{table}_analytics")
+    gold_rows = gold.count()
+    head = spark.range(1).select(
+        F.lit(table).alias("table_name"),
+        F.lit(bronze_rows).cast("long").alias("bronze_rows"),
+        F.lit(silver_rows).cast("long").alias("silver_rows"),
+        F.lit(f"{table}_analytics").alias("gold_view"),
+        F.lit(gold_rows).cast("long").alias("gold_rows"),
+    )
+    if quality is None:
+        return head.withColumns({"checks": F.lit(0).cast("long"), "checks_failed": F.lit(0).cast("long")})
+    q = summarize(quality)
+    return head.crossJoin(q.select(F.col("checks"), F.col("failed").alias("checks_failed")))  # one-row side
+
+
 def medallion_flow(
     spark: SparkSession,
     source_dir: str,
     lake: Lake | None = None,
     checks: dict[str, list[dict]] | None = None,
     run_ts: _dt.datetime = DEFAULT_RUN_TS,
+    max_parallel: int = 8,
 ) -> DataFrame:
     """Run the three layers over a landing folder; one report row per table.
 
     Columns: table_name, bronze_rows, silver_rows, gold_view, gold_rows,
-    checks, checks_failed.
+    checks, checks_failed. Tables are independent, so their silver and gold
+    steps are submitted concurrently from a small driver thread pool.
     """
     lake = lake or fresh_lake(spark)
-    bronze_counts = ingest_all(lake, source_dir)
-    reports = []
-    for table, bronze_rows in sorted(bronze_counts.items()):
-        table_checks = (checks or {}).get(table) or default_checks(lake.table("bronze", table))
-        silver_rows, quality = bronze_to_silver(lake, table, table, table_checks, run_ts)
-        gold = create_aggregation(lake, f"SELECT * FROM {lake.name('silver', table)}", f"{table}_analytics")
-        gold_rows = gold.count()
-        q = summarize(quality) if quality is not None else None
-        head = spark.range(1).select(
-            F.lit(table).alias("table_name"),
-            F.lit(bronze_rows).cast("long").alias("bronze_rows"),
-            F.lit(silver_rows).cast("long").alias("silver_rows"),
-            F.lit(f"{table}_analytics").alias("gold_view"),
-            F.lit(gold_rows).cast("long").alias("gold_rows"),
-        )
-        if q is not None:
-            head = head.crossJoin(q.select(F.col("checks"), F.col("failed").alias("checks_failed")))
-        else:
-            head = head.withColumns({"checks": F.lit(0).cast("long"), "checks_failed": F.lit(0).cast("long")})
-        reports.append(head)
+    lake.prepare()
+    bronze_counts = ingest_all(lake, source_dir, max_parallel)
+    tables = sorted(bronze_counts.items())
+    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(tables)))) as pool:
+        reports = list(pool.map(lambda tb: _table_report(lake, tb[0], tb[1], checks, run_ts), tables))
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)

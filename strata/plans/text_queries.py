@@ -105,7 +105,7 @@ def q_vector_topk_lsh(spark: SparkSession, data_dir: str) -> DataFrame:
 CORPUS_MARKER_RULES = [
     C.TextRule("token_marker", "warning", "Token-like marker", "contains", "token"),
     C.TextRule("email_address", "error", "Personal e-mail address", "regex",
-               r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+               r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", hint="@"),
     C.TextRule("license_line", "info", "License text", "contains", "License"),
 ]
 SCAN_RULES = C.REVIEW_RULES + CORPUS_MARKER_RULES
@@ -247,11 +247,11 @@ def q_rubric_score(spark: SparkSession, data_dir: str) -> DataFrame:
 )
 def q_rubric_total(spark: SparkSession, data_dir: str) -> DataFrame:
     """Weighted gate total: design gate 30 + no error findings 70, pass >= 90."""
-    docs = load(spark, data_dir, "documents")
+    docs = load(spark, data_dir, "documents").select("doc_id", "text")
+    flagged = C.with_rule_flags(docs, "text", SCAN_RULES)
     design = C.rubric_columns(F.col("text"))["design_passed"]
-    errors = F.size(F.filter(C.findings(F.col("text"), SCAN_RULES), lambda x: x["severity"] == "error"))
-    score, passed = C.rubric_total(design, errors == 0)
-    return docs.select("doc_id", score.alias("score"), passed.alias("passed"))
+    score, passed = C.rubric_total(design, C.severity_count(SCAN_RULES, "error") == 0)
+    return flagged.select("doc_id", score.alias("score"), passed.alias("passed"))
 
 
 def _first_match_sql(table, default) -> str:

@@ -8,11 +8,14 @@ read by executors.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.catalog import Lake, check_identifier
+from strata.session import tune_listing
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
@@ -96,15 +99,21 @@ def ingest_strict(lake: Lake, table: str, path: str, fmt: str = "csv") -> int:
 _SUFFIXES = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
 
-def ingest_all(lake: Lake, directory: str) -> dict[str, int]:
-    """Ingest every ``*.csv``/``*.json``/``*.parquet`` entry of a folder; table = file stem."""
-    results: dict[str, int] = {}
+def ingest_all(lake: Lake, directory: str, max_parallel: int = 8) -> dict[str, int]:
+    """Ingest every ``*.csv``/``*.json``/``*.parquet`` entry of a folder; table = file stem.
+
+    Files are ingested concurrently (one Spark job per file, submitted from a
+    small driver thread pool), so many small files keep the executors busy.
+    """
+    jobs: list[tuple[str, str, str]] = []
     for name, full, _is_dir in list_files(lake.spark, directory):
         for suffix, fmt in _SUFFIXES.items():
             if name.endswith(suffix):
-                stem = name[: -len(suffix)]
-                results[stem] = ingest(lake, stem, full, fmt)
-    return results
+                jobs.append((name[: -len(suffix)], full, fmt))
+    lake.prepare("bronze")
+    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(jobs) or 1))) as pool:
+        futures = {stem: pool.submit(ingest, lake, stem, full, fmt) for stem, full, fmt in jobs}
+        return {stem: f.result() for stem, f in futures.items()}
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -128,6 +137,7 @@ def load_documents(spark: SparkSession, directory: str, pattern: str = "*.md") -
     already hides names starting with '.' or '_'; the explicit filter also
     covers sources listed some other way).
     """
+    tune_listing(spark)
     df = (
         spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -174,6 +184,7 @@ def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def file_manifest(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
     """(path, sha256) of every file below ``directory`` (binary content)."""
+    tune_listing(spark)
     df = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
