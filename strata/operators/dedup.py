@@ -1,0 +1,42 @@
+"""Exact full-row de-duplication that shuffles hashes, not rows.
+
+``dropDuplicates`` on all columns shuffles every full row (kilobytes per row
+for text tables). Here only a 64-bit hash per row is shuffled, with map-side
+combine:
+
+1. count rows per hash; hashes seen more than once are the only candidates
+   for duplicates (the set is written once as a checkpoint so both later
+   steps read the same, fixed answer);
+2. rows whose hash is unique are kept as they are (no shuffle when the
+   candidate set is small enough to broadcast, which is checked);
+3. candidate rows are de-duplicated exactly on all columns, so a hash
+   collision can never merge two different rows.
+
+A hot duplicated row (one row copied a billion times) costs one hash per map
+task in step 1 and one row per map task in step 3.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strata.session import shared_root
+
+# Largest candidate-hash set broadcast to every task (8 bytes per hash).
+MAX_BROADCAST_HASHES = 4_000_000
+
+
+def exact_dedup(df: DataFrame, columns: list[str] | None = None,
+                max_broadcast: int = MAX_BROADCAST_HASHES) -> DataFrame:
+    cols = columns or df.columns
+    shared_root(df.sparkSession)
+    hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in cols]))
+    candidates = (
+        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_h")
+    ).checkpoint(eager=True)
+    n = candidates.count()
+    cand = F.broadcast(candidates) if n <= max_broadcast else candidates
+    unique_rows = hashed.join(cand, "_h", "left_anti")
+    repeated = hashed.join(cand, "_h", "left_semi").dropDuplicates(["_h", *cols])
+    return unique_rows.unionByName(repeated).drop("_h")

@@ -20,8 +20,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.catalog import Lake, check_identifier
+from strata.operators.dedup import exact_dedup
 from strata.operators.quality import Check, check_table, silver_checks, summarize
 from strata.session import scratch_path
 from strata.sources.files import ingest_all
@@ -37,10 +39,24 @@ def fresh_lake(spark: SparkSession, tag: str = "m") -> Lake:
     return Lake(spark, root=scratch_path(spark, "lake"), prefix=f"{tag}{uuid.uuid4().hex[:8]}")
 
 
-def dedup_with_audit(df: DataFrame, source: str, run_ts: _dt.datetime = DEFAULT_RUN_TS) -> DataFrame:
+_FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def dedup_with_audit(
+    df: DataFrame, source: str, run_ts: _dt.datetime = DEFAULT_RUN_TS, strategy: str = "auto"
+) -> DataFrame:
+    """Full-row de-duplication (audit columns excluded) plus the audit columns.
+
+    ``strategy``: "rows" shuffles whole rows (dropDuplicates); "hash" shuffles
+    64-bit row hashes and compares full rows only where hashes repeat;
+    "auto" picks "rows" for narrow fixed-width rows and "hash" otherwise.
+    """
     cols = [c for c in df.columns if c not in AUDIT_COLUMNS]
     base = df.select(*cols)
-    deduped = base.dropDuplicates(cols) if cols else base.dropDuplicates()
+    if strategy == "auto":
+        narrow = all(isinstance(f.dataType, _FIXED_WIDTH) for f in base.schema.fields)
+        strategy = "rows" if narrow else "hash"
+    deduped = exact_dedup(base, cols) if strategy == "hash" else base.dropDuplicates(cols)
     return deduped.withColumns({"_ingested_at": F.lit(run_ts), "_source": F.lit(source)})
 
 

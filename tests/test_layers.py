@@ -72,3 +72,13 @@ def test_medallion_flow_on_smoke_data(spark, data_dir):
     rep = {r.table_name: r for r in medallion_flow(spark, data_dir).collect()}
     assert rep["orders"].bronze_rows == rep["orders"].silver_rows > 0
     assert rep["lineitem"].checks_failed == 0
+
+
+def test_hash_dedup_equals_row_dedup(spark):
+    from strata.operators.dedup import exact_dedup
+
+    rows = [(1, "a", None), (1, "a", None), (2, None, [1.0]), (2, None, [1.0]), (3, "c", [2.0]), (4, "d", None)]
+    df = spark.createDataFrame(rows * 3, "k int, s string, v array<double>")
+    got = sorted(map(tuple, exact_dedup(df).collect()), key=repr)
+    want = sorted(map(tuple, df.dropDuplicates().collect()), key=repr)
+    assert got == want and len(got) == 4
