@@ -86,9 +86,12 @@ def canon(cols, rows):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
+    ap.add_argument("--tz", default=None, help="session time zone to run under (robustness check)")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
     spark = build_session("local[8]", shuffle_partitions=8)
+    if args.tz:
+        spark.conf.set("spark.sql.session.timeZone", args.tz)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{args.sf_dir}/{t}.parquet'")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.time import epoch_us, ntz_literal
+
 # Task type -> learning category, agent type -> domain, and the
 # confidences assigned to error / non-empty / other results.
 CATEGORY_BY_TASK = [
@@ -213,21 +215,21 @@ def liveness(
     """Latest heartbeat per agent; alive when ``as_of - last <= ttl`` (total seconds).
 
     ``capability`` flags agents that ever reported that state; ``idle`` are
-    alive agents whose latest state is ``idle_state``.
+    alive agents whose latest state is ``idle_state``. Times are wall-clock
+    TIMESTAMP_NTZ values; ages are computed without the session time zone.
     """
-    t = F.col(ts).cast("timestamp")
-    order = F.struct(t, F.col(tiebreak)) if tiebreak else t
+    t_us = epoch_us(F.col(ts))
+    order = F.struct(t_us, F.col(tiebreak)) if tiebreak else t_us
     agg = heartbeats.groupBy(key).agg(
-        F.max(t).alias("_last"),
+        F.max(t_us).alias("last_seen_us"),
         F.max_by(F.col(state), order).alias("last_state"),
         F.max(F.col(state) == capability).alias("has_capability"),
     )
-    age_us = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("_last"))
-    alive = age_us <= F.lit(ttl_seconds * 1_000_000)
+    alive = (epoch_us(ntz_literal(as_of)) - F.col("last_seen_us")) <= F.lit(ttl_seconds * 1_000_000)
     return agg.select(
         key,
         "last_state",
-        F.unix_micros("_last").alias("last_seen_us"),
+        "last_seen_us",
         alive.alias("alive"),
         F.col("has_capability"),
         (alive & (F.col("last_state") == idle_state)).alias("idle"),
@@ -241,3 +243,10 @@ def fold_changes(log: DataFrame, key: str, order: list[str], fields: list[str])
         *[F.max_by(F.col(f), o).alias(f"last_{f}") for f in fields],
         F.count(F.lit(1)).alias("version"),
     )
+
+
+def latest_change(changes: DataFrame, ts: str, key: str) -> DataFrame:
+    """The most recent applied change (rollback target without an explicit id):
+    one global ``max_by`` over (timestamp, id), a partial aggregate, no sort."""
+    others = [c for c in changes.columns]
+    return changes.agg(F.max_by(F.struct(*others), F.struct(F.col(ts), F.col(key))).alias("_c")).select("_c.*")

@@ -116,7 +116,32 @@ EXPECTED_ORDERS_SCHEMA = {
 }
 
 
-@query("schema_check")
+_DUCK_TO_SPARK = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' " \
+    "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' ELSE lower(data_type) END"
+
+
+def _schema_oracle() -> str:
+    from strata.operators.analytics import TYPE_ALIASES
+
+    exp = ", ".join(
+        f"('{c}', '{t}', '{TYPE_ALIASES.get(t.lower(), t.lower())}')" for c, t in EXPECTED_ORDERS_SCHEMA.items()
+    )
+    return (
+        f"WITH a AS (SELECT column_name, {_DUCK_TO_SPARK} AS actual_type FROM information_schema.columns "
+        "WHERE table_name = 'orders'), "
+        f"e AS (SELECT * FROM (VALUES {exp}) AS e(column_name, expected_type, expected_norm)), "
+        "j AS (SELECT coalesce(e.column_name, a.column_name) AS column_name, expected_type, expected_norm, actual_type "
+        "FROM e FULL OUTER JOIN a ON e.column_name = a.column_name) "
+        "SELECT column_name, CASE WHEN actual_type IS NULL THEN 'error' WHEN expected_type IS NULL THEN 'warning' "
+        "ELSE 'error' END AS severity, "
+        "CASE WHEN actual_type IS NULL THEN 'Missing column: ' || column_name "
+        "WHEN expected_type IS NULL THEN 'Unexpected column: ' || column_name "
+        "ELSE 'Type mismatch: ' || column_name || ': expected ' || expected_type || ', got ' || actual_type END AS message "
+        "FROM j WHERE actual_type IS NULL OR expected_type IS NULL OR NOT contains(lower(actual_type), expected_norm)"
+    )
+
+
+@query("schema_check", oracle=_schema_oracle())
 def q_schema_check(spark: SparkSession, data_dir: str) -> DataFrame:
     """Missing / unexpected / mismatched columns of orders against an expected schema."""
     return schema_check(load(spark, data_dir, "orders"), EXPECTED_ORDERS_SCHEMA)

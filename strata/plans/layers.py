@@ -137,13 +137,16 @@ def q_ingest_strict(spark: SparkSession, data_dir: str) -> DataFrame:
     return lake.table("bronze", "orders")
 
 
-@query("layer_tables")
+@query(
+    "layer_tables",
+    oracle="SELECT DISTINCT table_name FROM information_schema.tables WHERE table_name IN ("
+    + ", ".join(f"'{t}'" for t in TABLE_COLUMNS) + ")",
+)
 def q_layer_tables(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Base tables of the bronze layer after a directory ingest."""
+    """Base tables of the bronze layer after ingesting every file of the data folder."""
     lake = fresh_lake(spark, "b")
     src.ingest_all(lake, data_dir)
-    return spark.createDataFrame([(lake.database("bronze"), t) for t in lake.tables("bronze")],
-                                 "layer string, table_name string")
+    return spark.createDataFrame([(t,) for t in lake.tables("bronze")], "table_name string")
 
 
 # ---------------------------------------------------------------- export / CTAS

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.time import epoch_us
 from strata.operators import ledger as L
 from strata.operators import records as R
 from strata.operators import scoring as S
@@ -226,7 +227,7 @@ def q_harvest_watermarks(spark: SparkSession, data_dir: str) -> DataFrame:
     """New per-project watermark (latest harvested timestamp) and harvested count."""
     got = R.harvest(records(spark, data_dir), _registry(spark, data_dir))
     wm = R.new_watermarks(got)
-    return wm.select("project_name", F.unix_micros(F.col("last_harvest").cast("timestamp")).alias("last_harvest_us"),
+    return wm.select("project_name", epoch_us(F.col("last_harvest")).alias("last_harvest_us"),
                      "learning_count")
 
 
@@ -287,7 +288,7 @@ def q_error_catalog(spark: SparkSession, data_dir: str) -> DataFrame:
     entries = ev.select(
         F.to_date("ts").cast("string").alias("day"),
         "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        epoch_us(F.col("ts")).alias("ts_us"),
         F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(": "), F.col("props")).alias("entry"),
     )
     sizes = entries.groupBy("day").agg(F.count(F.lit(1)).alias("day_entries"))
@@ -424,3 +425,19 @@ def q_score_rounds(spark: SparkSession, data_dir: str) -> DataFrame:
     """Up to 3 research rounds (second source, web evidence) as a fixed column recurrence."""
     out = S.score_with_research(evidence(spark, data_dir))
     return out.select("id", "rounds", F.col("mcp_result_r").alias("mcp_result"), "final_score", "decision")
+
+
+@query(
+    "rollback_target",
+    oracle=(
+        "SELECT id, category, title, ts_us FROM (SELECT id, category, title, epoch_us(ts) AS ts_us, "
+        "row_number() OVER (ORDER BY ts DESC, id DESC) AS rn FROM (" + RECORDS_SQL + ") "
+        "WHERE category IN ('kb_insight', 'agent_improvement', 'error_resolution', 'pattern_discovered')) "
+        "WHERE rn = 1"
+    ),
+)
+def q_rollback_target(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Latest applied change by timestamp (the default rollback target)."""
+    recs = records(spark, data_dir).where(F.col("category").isin(*R.APPLIED_CATEGORIES))
+    changes = recs.select("id", "category", "title", epoch_us(F.col("ts")).alias("ts_us"))
+    return R.latest_change(changes, "ts_us", "id")

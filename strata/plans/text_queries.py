@@ -389,3 +389,14 @@ def _drift_inputs(spark: SparkSession, data_dir: str):
 def q_manifest_diff(spark: SparkSession, data_dir: str) -> DataFrame:
     """Template / stored / project manifests derived from documents, classified per path."""
     return manifest_diff(*_drift_inputs(spark, data_dir))
+
+
+@query(
+    "file_manifest",
+    oracle="SELECT doc_id, sha256(text || chr(10)) AS sha256 FROM documents",
+)
+def q_file_manifest(spark: SparkSession, data_dir: str) -> DataFrame:
+    """sha256 of every file of the document tree (binary content, skipped folders
+    ignored); each file holds the text plus the sink's final newline."""
+    man = src.file_manifest(spark, _corpus_tree(spark, data_dir), "*.txt")
+    return man.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "sha256")

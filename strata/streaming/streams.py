@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.time import utc_instant
 from strata.operators.quality import Check, row_condition
 from strata.operators.records import upsert_latest
 from strata.session import scratch_path
@@ -67,7 +68,9 @@ def read_epochs(spark: SparkSession, out_dir: str, schema: T.StructType | None =
 
 
 def with_event_time(df: DataFrame, ts_col: str, as_col: str = "event_time") -> DataFrame:
-    return df.withColumn(as_col, F.col(ts_col).cast("timestamp"))
+    """Watermarks need TIMESTAMP; wall-clock NTZ values are read as UTC, so the
+    result does not depend on the session time zone."""
+    return df.withColumn(as_col, utc_instant(F.col(ts_col)))
 
 
 # ---------------------------------------------------------------- R8 harvest

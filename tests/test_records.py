@@ -154,3 +154,18 @@ def test_liveness_ttl_uses_total_seconds(spark):
         "agent string, ts timestamp_ntz, state string")
     got = {r.agent: r.alive for r in R.liveness(hb, "agent", "ts", "2024-01-01 00:00:30", 30, "state", "busy", "idle").collect()}
     assert got == {"a": True, "b": False}
+
+
+def test_latest_change_by_timestamp(spark):
+    ch = spark.createDataFrame([("c9", 1), ("a1", 3), ("b2", 2)], "id string, ts long")
+    assert R.latest_change(ch, "ts", "id").first().id == "a1"  # not the largest id
+
+
+def test_slug():
+    from strata.functions.text import slug
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    df = s.createDataFrame([("Use A/B Testing for " + "x" * 50,)], "t string")
+    out = df.select(slug(F.col("t"))).first()[0]
+    assert out.startswith("use-a-b-testing-for-") and len(out) == 40
