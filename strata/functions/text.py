@@ -41,9 +41,19 @@ def occurrences(text: Column, literal: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
 
 
+# The same whitespace set split in two: characters Java's \s does not cover are
+# first mapped to a space with translate (a per-character table), which is
+# several times faster than a regex class holding them.
+_EXTRA_WHITESPACE = "".join(
+    chr(c) for c in [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+
+
 def words(text: Column) -> Column:
-    """Distinct lower-cased whitespace-separated words (no empty tokens)."""
-    toks = F.split(F.lower(text), WHITESPACE_CLASS)
+    """Distinct lower-cased whitespace-separated words (no empty tokens), with
+    the whitespace set of Python's ``str.split()``."""
+    plain = F.translate(F.lower(text), _EXTRA_WHITESPACE, " " * len(_EXTRA_WHITESPACE))
+    toks = F.split(plain, r"\s+")
     return F.array_distinct(F.filter(toks, lambda t: t != ""))
 
 

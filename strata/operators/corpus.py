@@ -289,8 +289,15 @@ def domain_synonyms(key: str) -> list[str]:
     return out
 
 
-def classify(text: Column) -> dict[str, Column]:
-    lo = F.lower(text)
+def classify_frame(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, category, pattern, domain; the lower-cased text is projected once."""
+    staged = df.select(F.col(key), F.lower(F.col(text)).alias("_lo"))
+    cls = classify(F.col("_lo"), lowered=True)
+    return staged.select(F.col(key), *[v.alias(k) for k, v in cls.items()])
+
+
+def classify(text: Column, lowered: bool = False) -> dict[str, Column]:
+    lo = text if lowered else F.lower(text)
     domain = _first_match(lo, [(k, domain_synonyms(k)) for k in DOMAIN_KEYS], DOMAIN_DEFAULT)
     return {
         "category": _first_match(lo, CATEGORY_KEYWORDS, CATEGORY_DEFAULT),
@@ -312,7 +319,15 @@ def word_overlap(
     Returns (item_key, index_key, overlap) for overlap >= ``min_overlap``.
     """
     item_words = items.select(F.col(item_key), F.explode(words(F.col(item_text))).alias("word")).distinct()
-    index_words = corpus.select(F.col(index_key), F.explode(words(F.col(corpus_text))).alias("word")).distinct()
+    # Only words some item uses can contribute; the vocabulary semi-join runs
+    # before the (index, word) de-duplication so that shuffle only carries
+    # relevant words (AQE broadcasts the vocabulary when it is small).
+    vocab = item_words.select("word").distinct()
+    index_words = (
+        corpus.select(F.col(index_key), F.explode(words(F.col(corpus_text))).alias("word"))
+        .join(vocab, "word", "left_semi")
+        .distinct()
+    )
     return (
         item_words.join(index_words, "word")
         .groupBy(item_key, index_key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,9 +262,14 @@ _AUTO_TABLES = ("customer", "orders", "lineitem")
 def q_gold_auto_views(spark: SparkSession, data_dir: str) -> DataFrame:
     """One analytics view per silver table, with its row count."""
     lake = fresh_lake(spark, "g")
-    for t in _AUTO_TABLES:
+    lake.prepare()
+
+    def to_silver(t: str) -> None:
         src.ingest(lake, t, f"{data_dir.rstrip('/')}/{t}.parquet", "parquet")
         lake.write(dedup_with_audit(lake.table("bronze", t), t), "silver", t)
+
+    with ThreadPoolExecutor(max_workers=len(_AUTO_TABLES)) as pool:
+        list(pool.map(to_silver, _AUTO_TABLES))
     parts = [
         v.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("view_name"), "rows")
         for name, v in build_analytics_views(lake)

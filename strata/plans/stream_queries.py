@@ -19,16 +19,24 @@ from strata.streaming import streams as ST
 EVENT_CUTS = ["2024-01-11", "2024-01-21"]
 
 
-def _landing(spark: SparkSession, df: DataFrame, replay: DataFrame | None = None) -> str:
-    root = scratch_path(spark, "stream-landing")
-    ST.land_in_order(df, "ts", EVENT_CUTS, root)
-    if replay is not None:
-        replay.coalesce(1).write.mode("append").parquet(root)
-    return root
+_LANDINGS: dict[tuple, str] = {}
 
 
-def _source(spark: SparkSession, df: DataFrame, replay: DataFrame | None = None) -> DataFrame:
-    return ST.file_stream(spark, _landing(spark, df, replay), df.schema, files_per_trigger=1)
+def _landing(spark: SparkSession, df: DataFrame, replay: DataFrame | None, tag: tuple) -> str:
+    """Arrival files of the stream, written once per session and input; every
+    run still gets its own checkpoint and sink."""
+    key = (id(spark), *tag)
+    if key not in _LANDINGS:
+        root = scratch_path(spark, "stream-landing")
+        ST.land_in_order(df, "ts", EVENT_CUTS, root)
+        if replay is not None:
+            replay.coalesce(1).write.mode("append").parquet(root)
+        _LANDINGS[key] = root
+    return _LANDINGS[key]
+
+
+def _source(spark: SparkSession, df: DataFrame, tag: tuple, replay: DataFrame | None = None) -> DataFrame:
+    return ST.file_stream(spark, _landing(spark, df, replay, tag), df.schema, files_per_trigger=1)
 
 
 @query(
@@ -42,7 +50,7 @@ def q_stream_harvest(spark: SparkSession, data_dir: str) -> DataFrame:
     def to_records(batch: DataFrame) -> DataFrame:
         return classify_results(batch.selectExpr(*_results_exprs(_K_SPARK))).drop("metadata")
 
-    out = ST.harvest_stream(spark, _source(spark, events), to_records, ["category", "project_name", "id"])
+    out = ST.harvest_stream(spark, _source(spark, events, ("events", data_dir)), to_records, ["category", "project_name", "id"])
     return out.select("id", "category", "project_name", "confidence")
 
 
@@ -51,7 +59,7 @@ def q_stream_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     """Event stream with a replayed slice (all error events again) de-duplicated by id."""
     events = load(spark, data_dir, "events")
     replay = events.where(F.col("event_type") == "error")
-    out = ST.dedup_stream(spark, _source(spark, events, replay), "event_id", "ts", "1 hour")
+    out = ST.dedup_stream(spark, _source(spark, events, ("events+replay", data_dir), replay), "event_id", "ts", "1 hour")
     return out.select("event_id", "user_id", "event_type")
 
 
@@ -69,7 +77,7 @@ def q_stream_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
 def q_stream_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
     """Per-user activity sessions (inactivity gap 1 day) from the event stream."""
     events = load(spark, data_dir, "events")
-    return ST.session_stream(spark, _source(spark, events), "user_id", "ts", "1 day", "1 day")
+    return ST.session_stream(spark, _source(spark, events, ("events", data_dir)), "user_id", "ts", "1 day", "1 day")
 
 
 STREAM_CHECKS = [
@@ -92,7 +100,7 @@ STREAM_CHECKS = [
 def q_stream_quality_split(spark: SparkSession, data_dir: str) -> DataFrame:
     """Streaming ingest routed to pass / quarantine by row rules (NULLs injected)."""
     ev = events_with_nulls(spark, data_dir)
-    out = ST.quality_split_stream(spark, _source(spark, ev), STREAM_CHECKS)
+    out = ST.quality_split_stream(spark, _source(spark, ev, ("events_nulls", data_dir)), STREAM_CHECKS)
     return out.select("event_id", "route", "failed_rules")
 
 
@@ -104,4 +112,4 @@ def q_stream_quality_split(spark: SparkSession, data_dir: str) -> DataFrame:
 def q_stream_event_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     """Hourly counts per event type, update mode with a 1-hour watermark."""
     events = load(spark, data_dir, "events")
-    return ST.event_count_stream(spark, _source(spark, events), "ts", "event_type", "1 hour", "1 hour")
+    return ST.event_count_stream(spark, _source(spark, events, ("events", data_dir)), "ts", "event_type", "1 hour", "1 hour")

@@ -273,9 +273,7 @@ def _first_match_sql(table, default) -> str:
 )
 def q_keyword_classify(spark: SparkSession, data_dir: str) -> DataFrame:
     """Category / workflow pattern / domain by first keyword match on the lower-cased text."""
-    docs = load(spark, data_dir, "documents")
-    cls = C.classify(F.col("text"))
-    return docs.select("doc_id", *[v.alias(k) for k, v in cls.items()])
+    return C.classify_frame(load(spark, data_dir, "documents"), "doc_id", "text")
 
 
 def _words_sql(key: str, table: str) -> str:
