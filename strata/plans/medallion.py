@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.catalog import Lake, check_identifier
+from strata.functions.time import ntz_literal
 from strata.operators.dedup import exact_dedup
 from strata.operators.quality import Check, check_table, silver_checks, summarize
 from strata.session import scratch_path
@@ -57,7 +58,8 @@ def dedup_with_audit(
         narrow = all(isinstance(f.dataType, _FIXED_WIDTH) for f in base.schema.fields)
         strategy = "rows" if narrow else "hash"
     deduped = exact_dedup(base, cols) if strategy == "hash" else base.dropDuplicates(cols)
-    return deduped.withColumns({"_ingested_at": F.lit(run_ts), "_source": F.lit(source)})
+    # A wall-clock (NTZ) run timestamp: the same value whatever the session time zone.
+    return deduped.withColumns({"_ingested_at": ntz_literal(run_ts), "_source": F.lit(source)})
 
 
 def bronze_to_silver(
