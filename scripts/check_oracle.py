@@ -25,15 +25,18 @@ from strata.plans.registry import TABLES, all_queries  # noqa: E402
 from strata.session import build_session  # noqa: E402
 
 
+EXACT = False
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
+        return float(v) if EXACT else round(float(v), 6)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
@@ -87,8 +90,11 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--tz", default=None, help="session time zone to run under (robustness check)")
+    ap.add_argument("--exact", action="store_true", help="compare floats bit for bit")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
+    global EXACT
+    EXACT = args.exact
     spark = build_session("local[8]", shuffle_partitions=8)
     if args.tz:
         spark.conf.set("spark.sql.session.timeZone", args.tz)
