@@ -140,3 +140,30 @@ def q_sql_asof(spark: SparkSession, data_dir: str) -> DataFrame:
     clicks = ev.where(F.col("event_type") == "click").select("user_id", "ts", F.col("event_id").alias("click_id"))
     out = asof_latest(purchases, clicks, "user_id", "ts", "purchase_id", "click_id", bucket="day", out_col="click_id")
     return out.select("purchase_id", "user_id", "click_id")
+
+
+_PROPS_SQL = "CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1) WHEN event_type = 'signup' THEN '{\"j\": 1}' ELSE props END"
+
+
+@query(
+    "json_parse_fallback",
+    oracle=(
+        f"WITH p AS (SELECT event_id, {_PROPS_SQL} AS payload FROM events) "
+        "SELECT event_id, CASE WHEN NOT json_valid(payload) THEN -1 "
+        "ELSE TRY_CAST(json_extract_string(payload, '$.k') AS INTEGER) END AS k FROM p"
+    ),
+)
+def q_json_parse_fallback(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Task payloads parsed as JSON: malformed ones (error events lose their closing
+    brace) fall back to -1, well-formed ones without the field give NULL.
+    (Spark's parser accepts trailing characters after a complete value, so a
+    stray extra brace would not count as malformed.)"""
+    from strata.functions.json import json_field
+
+    ev = load(spark, data_dir, "events")
+    payload = (
+        F.when(F.col("event_type") == "error", F.expr("substring(props, 1, length(props) - 1)"))
+        .when(F.col("event_type") == "signup", F.lit('{"j": 1}'))
+        .otherwise(F.col("props"))
+    )
+    return ev.select("event_id", json_field(payload, "$.k", "int", -1).alias("k"))

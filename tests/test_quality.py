@@ -125,3 +125,15 @@ def test_silver_checks_keyed_and_unknown_skipped(table):
                                 {"column": "age", "rule": "bogus"}, {"column": "nope", "rule": "not_null"}])
     got = {r.check_key: r.failed_rows for r in res.collect()}
     assert got == {"id.not_null": 1, "age.unique": 1}
+
+
+def test_user_rule_registration(spark):
+    from strata.functions.rules import rule
+
+    @rule("even")
+    def _even(c, params, dt=None):
+        return c % 2 == 0
+
+    df = spark.createDataFrame([(1,), (2,), (4,), (None,)], "x int")
+    r = check_table(df, [Check("x", "even")]).first()
+    assert (r.failed_rows, r.passed) == (1, False)
