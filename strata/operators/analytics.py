@@ -2,8 +2,8 @@
 table sanity, schema check.
 
 All of them are single aggregates (partial on executors, tiny final merge);
-the only join is the z-score's join with its one-row statistics, which is a
-broadcast of exactly one row.
+the z-score reads its statistics through a
+scalar subquery (one global aggregate, computed once, no join).
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ def zscore_anomalies(df: DataFrame, column: str, threshold: float = 3.0) -> Data
     mean and sample stddev come from one global aggregate; a zero stddev makes
     every z-score NULL, so a constant column has no anomalies.
     """
-    stats = df.agg(F.avg(column).alias("mean"), F.stddev(column).alias("std"))
+    # One global aggregate evaluated once as a scalar subquery: no join at all.
+    stats = df.select(F.struct(F.avg(column).alias("mean"), F.stddev(column).alias("std"))).scalar()
+    with_stats = df.withColumn("_stats", stats).withColumns(
+        {"mean": F.col("_stats.mean"), "std": F.col("_stats.std")}
+    ).drop("_stats")
     z = (F.col(column) - F.col("mean")) / F.expr("nullif(std, 0)")
-    return (
-        df.crossJoin(F.broadcast(stats))  # exactly one row
-        .withColumn("zscore", z)
-        .where(F.abs(F.col("zscore")) > F.lit(float(threshold)))
-    )
+    return with_stats.withColumn("zscore", z).where(F.abs(F.col("zscore")) > F.lit(float(threshold)))
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:

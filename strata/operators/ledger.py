@@ -56,7 +56,7 @@ def sequence_numbers(df: DataFrame, order: list[Column], start: Column | int = 1
 def assign_ids(batch: DataFrame, existing_ids: DataFrame, id_column: str, order: list[Column],
                prefix: str = "ADR-", width: int = 3) -> DataFrame:
     """Next sequential ids (``ADR-004`` ...) after the highest existing suffix."""
-    top = max_suffix(existing_ids, id_column, prefix)
-    with_start = batch.crossJoin(F.broadcast(top))  # exactly one row
+    top = max_suffix(existing_ids, id_column, prefix).scalar()  # one value, computed once
+    with_start = batch.withColumn("max_suffix", top)
     numbered = sequence_numbers(with_start, order, start=F.col("max_suffix") + 1)
     return numbered.withColumn("new_id", F.format_string(f"{prefix}%0{width}d", F.col("seq"))).drop("max_suffix")

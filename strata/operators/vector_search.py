@@ -1,27 +1,73 @@
 """Cosine top-k search (exact) and an LSH candidate search with exact re-rank.
 
-Exact search scores every corpus vector against a query set that is
-broadcast only after its size is checked; a query set above the bound is
-processed in hash batches, each under the bound, so results stay exact.
-Per-query top-k is ``row_number() <= k`` (WindowGroupLimit: each map task
-forwards at most k rows per query).
+Exact search never materialises (query, vector) pairs as rows:
+
+* the query set is counted first and only a bounded number of query vectors
+  (``MAX_BROADCAST_QUERIES``) is shipped to the executors at a time, as one
+  normalised matrix; larger query sets run in hash batches under the bound,
+  so the answer stays exact;
+* every Arrow batch of corpus vectors is scored against that matrix with one
+  matrix product (numpy, inside the task) and only its local top-k
+  candidates per query leave the task (ties at the cut are kept);
+* Spark ranks the candidates per query (``row_number() <= k``, a
+  WindowGroupLimit), so each query's final group holds at most
+  k x batches rows, never the corpus.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.vector import dot, normalize
 
-# Upper bound on the number of query vectors broadcast in one batch.
+# Upper bound on the number of query vectors shipped to the tasks at once.
 MAX_BROADCAST_QUERIES = 2048
 
 
-def _score(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid_col: str, qvec_col: str) -> DataFrame:
-    c = corpus.select(F.col(id_col), normalize(F.col(vec_col)).alias("_u"), *[x for x in corpus.columns if x not in (id_col, vec_col)])
-    q = queries.select(F.col(qid_col).alias("query_id"), normalize(F.col(qvec_col)).alias("_qu"))
-    return c.crossJoin(F.broadcast(q)).withColumn("score", dot(F.col("_u"), F.col("_qu"))).drop("_u", "_qu")
+def _unit_rows(vectors):
+    import numpy as np
+
+    mat = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+    norms = np.linalg.norm(mat, axis=1) if len(vectors) else np.zeros(0)
+    ok = norms > 0
+    mat[ok] = mat[ok] / norms[ok, None]
+    return mat, ok
+
+
+def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: list[str],
+                 qids: list, qmat, k: int, schema: T.StructType) -> DataFrame:
+    bc = spark.sparkContext.broadcast((list(qids), qmat))
+
+    def score_batches(batches):
+        import numpy as np
+        import pandas as pd
+
+        ids_q, m = bc.value
+        q_arr = np.asarray(ids_q, dtype=object)
+        for pdf in batches:
+            pdf = pdf[pdf[vec_col].notna()]
+            if pdf.empty:
+                continue
+            x, ok = _unit_rows(list(pdf[vec_col]))
+            pdf, x = pdf[ok], x[ok]
+            if pdf.empty:
+                continue
+            s = x @ m.T  # rows x queries
+            n = s.shape[0]
+            if n > k:
+                kth = np.partition(s, n - k, axis=0)[n - k]  # k-th largest per query
+                rows, cols = np.nonzero(s >= kth[None, :])
+            else:
+                rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
+            out = pd.DataFrame({"query_id": q_arr[cols], id_col: pdf[id_col].to_numpy()[rows]})
+            for c in carry:
+                out[c] = pdf[c].to_numpy()[rows]
+            out["score"] = s[rows, cols]
+            yield out
+
+    return corpus.select(id_col, vec_col, *carry).mapInPandas(score_batches, schema)
 
 
 def cosine_top_k(
@@ -33,21 +79,44 @@ def cosine_top_k(
     qvec_col: str,
     k: int = 5,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Top-k corpus rows per query by cosine similarity (ties by id)."""
-    n_queries = queries.count()
+    """Top-k corpus rows per query by cosine similarity (ties by id).
+
+    Output: query_id, id_col, carried corpus columns, score, rank.
+    """
+    spark = corpus.sparkSession
+    carry = [c for c in corpus.columns if c not in (id_col, vec_col)] if carry is None else carry
+    fields = {f.name: f for f in corpus.schema.fields}
+    schema = T.StructType(
+        [T.StructField("query_id", queries.schema[qid_col].dataType), fields[id_col]]
+        + [fields[c] for c in carry]
+        + [T.StructField("score", T.DoubleType())]
+    )
+    n_queries = queries.count()  # size check before anything is shipped
     if n_queries <= max_broadcast:
-        scored = _score(corpus, id_col, vec_col, queries, qid_col, qvec_col)
+        groups = [queries]
     else:
         n_batches = -(-n_queries // max_broadcast) * 2
-        bucket = F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_batches))
-        tagged = queries.withColumn("_batch", bucket)
-        scored = None
-        for b in range(n_batches):
-            part = _score(corpus, id_col, vec_col, tagged.where(F.col("_batch") == b), qid_col, qvec_col)
-            scored = part if scored is None else scored.unionByName(part)
+        tagged = queries.withColumn("_batch", F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_batches)))
+        groups = [tagged.where(F.col("_batch") == b) for b in range(n_batches)]
+    parts = []
+    for g in groups:
+        rows = g.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).collect()  # bounded above
+        if not rows:
+            continue
+        qmat, ok = _unit_rows([r[1] for r in rows])
+        qids = [r[0] for r, keep in zip(rows, ok) if keep]
+        if not qids:
+            continue
+        parts.append(_local_top_k(spark, corpus, id_col, vec_col, carry, qids, qmat[ok], k, schema))
+    if not parts:
+        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
+    cands = parts[0]
+    for p in parts[1:]:
+        cands = cands.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lsh_top_k(
@@ -80,5 +149,6 @@ def lsh_top_k(
     cands = model.approxNearestNeighbors(feats, Vectors.dense(q), candidates)
     qcol = F.array(*[F.lit(float(x)) for x in q])
     scored = cands.select(F.col(id_col), dot(F.col("_u"), qcol).alias("score"))
+    # At most ``candidates`` rows remain: a bounded final ordering.
     w = Window.orderBy(F.col("score").desc(), F.col(id_col))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

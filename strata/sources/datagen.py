@@ -52,9 +52,10 @@ def generate_orders(keys: DataFrame, key: str, customers: DataFrame, products: D
         "customer_id", F.col("seq").alias("_ci"))
     prod = sequence_numbers(products.select(F.col("id").alias("product_id"), "price"), [F.col("product_id")]).select(
         "product_id", "price", F.col("seq").alias("_pi"))
-    n_c = customers.agg(F.count(F.lit(1)).alias("_nc"))
-    n_p = products.agg(F.count(F.lit(1)).alias("_np"))
-    base = keys.select(k.alias("id")).crossJoin(F.broadcast(n_c)).crossJoin(F.broadcast(n_p))  # one-row sides
+    # Table sizes as scalar subqueries (computed once, no join).
+    n_c = customers.select(F.count(F.lit(1))).scalar()
+    n_p = products.select(F.count(F.lit(1))).scalar()
+    base = keys.select(k.alias("id"), n_c.alias("_nc"), n_p.alias("_np"))
     picked = base.select(
         "id",
         (F.floor(uniform(F.col("id"), seed, "customer") * F.col("_nc")) + 1).cast("long").alias("_ci"),

@@ -18,7 +18,7 @@ def _plan(spark, data_dir, key):
 
 
 @pytest.mark.parametrize("key", ["dq_report", "corpus_scan", "token_overlap", "majority_vote", "score_rounds",
-                                 "chunk_documents", "vector_topk", "sql_asof", "stream_sessions"])
+                                 "chunk_documents", "sql_asof", "stream_sessions", "anomaly_zscore"])
 def test_no_python_in_plans(spark, data_dir, key):
     plan = _plan(spark, data_dir, key)
     assert not any(n in plan for n in PYTHON_NODES)
@@ -58,3 +58,11 @@ def test_ttl_boundary_is_alive(spark):
     hb = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 0, 0, 0), "idle")], "agent string, ts timestamp_ntz, state string")
     r = liveness(hb, "agent", "ts", "2024-01-01 00:00:30", 30, "state", "busy", "idle").first()
     assert r.alive and r.idle
+
+
+def test_vector_search_has_no_join(spark, data_dir):
+    """Exact search scores Arrow batches against a broadcast query matrix: no
+    join node, and the only Python node is the batched scorer."""
+    plan = _plan(spark, data_dir, "vector_topk_batch")
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert "MapInPandas" in plan and "BatchEvalPython" not in plan
