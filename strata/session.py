@@ -102,3 +102,8 @@ def local_path(path: str) -> str:
 
 def is_local_path(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:") or os.path.isabs(path)
+
+
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of a plan (from file statistics); no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

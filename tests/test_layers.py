@@ -104,3 +104,13 @@ def test_demo_chain_generate_ingest_status_quality(spark, data_dir):
     assert rep["gen_orders"].silver_rows == orders.count()
     assert rep["gen_transactions"].checks_failed == 0
     assert all(r.passed for r in null_counts(gen).collect())
+
+
+def test_hash_and_row_strategies_agree_on_documents(spark, data_dir):
+    from strata.plans.medallion import dedup_with_audit
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    a = dedup_with_audit(docs, "documents", strategy="hash")
+    b = dedup_with_audit(docs, "documents", strategy="rows")
+    assert a.count() == b.count() == docs.distinct().count()
+    assert a.exceptAll(b).count() == 0
