@@ -39,7 +39,9 @@ def _results_exprs(k: str) -> list[str]:
 
 
 def task_results(spark: SparkSession, data_dir: str) -> DataFrame:
-    return load(spark, data_dir, "events").selectExpr(*_results_exprs(_K_SPARK))
+    # props is parsed once per row; later expressions read the column.
+    ev = load(spark, data_dir, "events").withColumn("_k", F.expr(_K_SPARK))
+    return ev.selectExpr(*_results_exprs("_k"))
 
 
 def records(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -367,7 +369,9 @@ def _evidence_exprs(k: str, hour: str) -> list[str]:
 
 
 def evidence(spark: SparkSession, data_dir: str) -> DataFrame:
-    return load(spark, data_dir, "events").selectExpr(*_evidence_exprs(_K_SPARK, "hour(ts)"))
+    # props is parsed once per row; the flags read the parsed column.
+    ev = load(spark, data_dir, "events").withColumns({"_k": F.expr(_K_SPARK), "_hour": F.hour("ts")})
+    return ev.selectExpr(*_evidence_exprs("_k", "_hour"))
 
 
 EVIDENCE_SQL = "SELECT " + ", ".join(_evidence_exprs(_K_DUCK, "hour(ts)")).replace("AS STRING", "AS VARCHAR") + " FROM events"
