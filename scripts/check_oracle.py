@@ -91,11 +91,17 @@ def main():
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--tz", default=None, help="session time zone to run under (robustness check)")
     ap.add_argument("--exact", action="store_true", help="compare floats bit for bit")
+    ap.add_argument("--plain", action="store_true", help="plain session without the library's defaults")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
     global EXACT
     EXACT = args.exact
-    spark = build_session("local[8]", shuffle_partitions=8)
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8)
     if args.tz:
         spark.conf.set("spark.sql.session.timeZone", args.tz)
     con = duckdb.connect()
