@@ -169,3 +169,20 @@ def test_slug():
     df = s.createDataFrame([("Use A/B Testing for " + "x" * 50,)], "t string")
     out = df.select(slug(F.col("t"))).first()[0]
     assert out.startswith("use-a-b-testing-for-") and len(out) == 40
+
+
+def test_file_manifest_skips_ignored_folders(spark):
+    import hashlib
+    import os
+    import tempfile
+
+    from strata.sources.files import file_manifest
+
+    root = tempfile.mkdtemp(prefix="strata-tree-")
+    files = {"a.md": b"alpha", "sub/b.py": b"beta", ".git/c": b"x", "__pycache__/d.pyc": b"y", "sub/.venv/e": b"z"}
+    for rel, data in files.items():
+        os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
+        with open(os.path.join(root, rel), "wb") as f:
+            f.write(data)
+    got = {r.path.split(root)[-1].lstrip("/"): r.sha256 for r in file_manifest(spark, root).collect()}
+    assert got == {"a.md": hashlib.sha256(b"alpha").hexdigest(), "sub/b.py": hashlib.sha256(b"beta").hexdigest()}
