@@ -105,22 +105,6 @@ def with_rule_flags(df: DataFrame, text: str, rules: list[TextRule]) -> DataFram
     return staged.withColumns(flags).drop("_lo")
 
 
-def findings(t: Column, rules: list[TextRule]) -> Column:
-    """Array of (rule, severity, message) structs for the rules a text hits."""
-    lo = F.lower(t)
-    arr = F.array(
-        *[
-            F.when(
-                rule_condition(r, t, lo),
-                F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
-                         F.lit(r.message).alias("message")),
-            )
-            for r in rules
-        ]
-    )
-    return F.filter(arr, lambda x: x.isNotNull())
-
-
 def scan_rule_counts(df: DataFrame, text: str, rules: list[TextRule]) -> DataFrame:
     """Documents hit per rule, one row per rule (zero hits included), one scan."""
     flagged = with_rule_flags(df.select(text), text, rules)

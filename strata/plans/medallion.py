@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from strata.catalog import Lake, check_identifier
 from strata.functions.time import ntz_literal
 from strata.operators.dedup import exact_dedup
-from strata.operators.quality import Check, check_table, silver_checks, summarize
+from strata.operators.quality import silver_checks, summarize
 from strata.session import estimated_bytes, scratch_path
 from strata.sources.files import ingest_all
 
@@ -172,15 +172,10 @@ def layer_trace(lake: Lake, table: str) -> DataFrame:
     return out
 
 
-def checks_from_config(config: dict[str, list[str]]) -> list[Check]:
-    return [Check(col, r) for col, rules in config.items() for r in rules]
-
-
 __all__ = [
     "AUDIT_COLUMNS",
     "bronze_to_silver",
     "build_analytics_views",
-    "check_table",
     "create_aggregation",
     "dedup_with_audit",
     "fresh_lake",

@@ -15,7 +15,6 @@ from strata.operators.quality import (
     Check,
     check_table,
     cross_checks,
-    duplicate_groups,  # noqa: F401  (re-exported for callers)
     failing_sample,
     null_counts,
     silver_checks,

@@ -60,13 +60,6 @@ def _epoch_writer(out_dir: str, fmt: str = "parquet") -> Callable[[DataFrame, in
     return write
 
 
-def read_epochs(spark: SparkSession, out_dir: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
-    return reader.parquet(out_dir)
-
-
 def with_event_time(df: DataFrame, ts_col: str, as_col: str = "event_time") -> DataFrame:
     """Watermarks need TIMESTAMP; wall-clock NTZ values are read as UTC, so the
     result does not depend on the session time zone."""
