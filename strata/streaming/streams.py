@@ -53,6 +53,12 @@ def run_available(writer, checkpoint: str) -> None:
         raise q.exception()
 
 
+def start_every(writer, checkpoint: str, interval: str = "300 seconds"):
+    """Start a long-running query with a processing-time trigger (the harvest
+    cadence of a daemon); returns the StreamingQuery for the caller to manage."""
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def _epoch_writer(out_dir: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").format(fmt).save(f"{out_dir}/batch_id={epoch_id}")
@@ -69,6 +75,27 @@ def with_event_time(df: DataFrame, ts_col: str, as_col: str = "event_time") -> D
 # ---------------------------------------------------------------- R8 harvest
 
 
+def _harvest_writer(source: DataFrame, transform: Callable[[DataFrame], DataFrame], store: str):
+    sink = _epoch_writer(store)
+
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        sink(transform(batch), epoch_id)
+
+    return source.writeStream.foreachBatch(per_batch)
+
+
+def read_harvest_store(spark: SparkSession, store: str, keys: list[str]) -> DataFrame:
+    """Current harvested records: latest epoch per key (merge on read)."""
+    stored = spark.read.parquet(store)
+    return upsert_latest(stored.limit(0), stored, keys, "batch_id").drop("batch_id")
+
+
+def start_harvest(source: DataFrame, transform: Callable[[DataFrame], DataFrame], root: str,
+                  interval: str = "300 seconds"):
+    """Continuous harvest every ``interval``; read results with ``read_harvest_store``."""
+    return start_every(_harvest_writer(source, transform, f"{root}/store"), f"{root}/_checkpoint", interval)
+
+
 def harvest_stream(
     spark: SparkSession,
     source: DataFrame,
@@ -76,20 +103,13 @@ def harvest_stream(
     keys: list[str],
     root: str | None = None,
 ) -> DataFrame:
-    """Micro-batch harvest: each batch is transformed into records and stored
-    per epoch; the store is read back with an upsert (latest epoch per key)."""
+    """Micro-batch harvest run to completion: each batch is transformed into
+    records and stored per epoch; the store is read back with an upsert
+    (latest epoch per key)."""
     root = root or scratch_path(spark, "harvest")
     store = f"{root}/store"
-    sink = _epoch_writer(store)
-
-    def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        sink(transform(batch), epoch_id)
-
-    run_available(source.writeStream.foreachBatch(per_batch), f"{root}/_checkpoint")
-    stored = spark.read.parquet(store)
-    empty = stored.limit(0)
-    out = upsert_latest(empty, stored, keys, "batch_id")
-    return out.drop("batch_id")
+    run_available(_harvest_writer(source, transform, store), f"{root}/_checkpoint")
+    return read_harvest_store(spark, store, keys)
 
 
 # ---------------------------------------------------------------- R9 de-duplication

@@ -53,3 +53,17 @@ def test_dedup_drops_replays(spark):
     out = ST.dedup_stream(spark, src, "event_id", "ts", "1 day")
     assert sorted(r.event_id for r in out.collect()) == [1, 2]
     assert out.where(F.col("event_id") == 1).count() == 1
+
+
+def test_continuous_harvest_can_be_started_and_stopped(spark):
+    d = dt.datetime
+    root = _land(spark, [[(1, d(2024, 1, 1), "a"), (2, d(2024, 1, 1, 1), "b")]])
+    src = ST.file_stream(spark, root, spark.createDataFrame([], SCHEMA).schema)
+    out_root = scratch_path(spark, "t-harvest")
+    q = ST.start_harvest(src, lambda b: b.select("event_id", "event_type"), out_root, interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = ST.read_harvest_store(spark, f"{out_root}/store", ["event_id"])
+    assert sorted(r.event_id for r in got.collect()) == [1, 2]
