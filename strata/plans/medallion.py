@@ -72,11 +72,12 @@ def bronze_to_silver(
     target: str | None = None,
     checks: list[dict] | None = None,
     run_ts: _dt.datetime = DEFAULT_RUN_TS,
+    partition_by: list[str] | None = None,
 ) -> tuple[int, DataFrame | None]:
     """De-duplicate, stamp and check one bronze table; returns (rows, quality results)."""
     target = check_identifier(target or source)
     bronze = lake.table("bronze", source)
-    rows = lake.write(dedup_with_audit(bronze, source, run_ts), "silver", target)
+    rows = lake.write(dedup_with_audit(bronze, source, run_ts), "silver", target, partition_by=partition_by)
     quality = silver_checks(lake.table("silver", target), checks) if checks else None
     return rows, quality
 
@@ -105,11 +106,12 @@ def default_checks(df: DataFrame) -> list[dict]:
 
 
 def _table_report(
-    lake: Lake, table: str, bronze_rows: int, checks: dict[str, list[dict]] | None, run_ts: _dt.datetime
+    lake: Lake, table: str, bronze_rows: int, checks: dict[str, list[dict]] | None, run_ts: _dt.datetime,
+    partition_by: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     spark = lake.spark
     table_checks = (checks or {}).get(table) or default_checks(lake.table("bronze", table))
-    silver_rows, quality = bronze_to_silver(lake, table, table, table_checks, run_ts)
+    silver_rows, quality = bronze_to_silver(lake, table, table, table_checks, run_ts, (partition_by or {}).get(table))
     gold = create_aggregation(lake, f"SELECT * FROM {lake.name('silver', table)}", f"{table}_analytics")
     gold_rows = gold.count()
     head = [
@@ -133,19 +135,22 @@ def medallion_flow(
     checks: dict[str, list[dict]] | None = None,
     run_ts: _dt.datetime = DEFAULT_RUN_TS,
     max_parallel: int = 8,
+    partition_by: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Run the three layers over a landing folder; one report row per table.
 
     Columns: table_name, bronze_rows, silver_rows, gold_view, gold_rows,
     checks, checks_failed. Tables are independent, so their silver and gold
     steps are submitted concurrently from a small driver thread pool.
+    ``partition_by`` maps a table to the columns its bronze and silver copies
+    are partitioned by (e.g. an ingest-date column for large fact tables).
     """
     lake = lake or fresh_lake(spark)
     lake.prepare()
-    bronze_counts = ingest_all(lake, source_dir, max_parallel)
+    bronze_counts = ingest_all(lake, source_dir, max_parallel, partition_by)
     tables = sorted(bronze_counts.items())
     with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(tables)))) as pool:
-        reports = list(pool.map(lambda tb: _table_report(lake, tb[0], tb[1], checks, run_ts), tables))
+        reports = list(pool.map(lambda tb: _table_report(lake, tb[0], tb[1], checks, run_ts, partition_by), tables))
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)

@@ -76,11 +76,16 @@ def read_any(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     raise ValueError(f"Unsupported format: {fmt}")
 
 
-def ingest(lake: Lake, table: str, path: str, fmt: str, mode: str = "overwrite") -> int:
-    """Create-or-replace ``bronze.table`` from a file; returns the row count."""
+def ingest(lake: Lake, table: str, path: str, fmt: str, mode: str = "overwrite",
+           partition_by: list[str] | None = None) -> int:
+    """Create-or-replace ``bronze.table`` from a file; returns the row count.
+
+    ``partition_by`` lays the table out in folders (e.g. by ingest date), so
+    later filters on those columns prune whole folders.
+    """
     check_identifier(table)
     df = read_any(lake.spark, path, fmt)
-    return lake.write(df, "bronze", table, mode=mode)
+    return lake.write(df, "bronze", table, mode=mode, partition_by=partition_by)
 
 
 def ingest_csv(lake: Lake, table: str, path: str) -> int:
@@ -99,7 +104,8 @@ def ingest_strict(lake: Lake, table: str, path: str, fmt: str = "csv") -> int:
 _SUFFIXES = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
 
-def ingest_all(lake: Lake, directory: str, max_parallel: int = 8) -> dict[str, int]:
+def ingest_all(lake: Lake, directory: str, max_parallel: int = 8,
+               partition_by: dict[str, list[str]] | None = None) -> dict[str, int]:
     """Ingest every ``*.csv``/``*.json``/``*.parquet`` entry of a folder; table = file stem.
 
     Files are ingested concurrently (one Spark job per file, submitted from a
@@ -112,7 +118,10 @@ def ingest_all(lake: Lake, directory: str, max_parallel: int = 8) -> dict[str, i
                 jobs.append((name[: -len(suffix)], full, fmt))
     lake.prepare("bronze")
     with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(jobs) or 1))) as pool:
-        futures = {stem: pool.submit(ingest, lake, stem, full, fmt) for stem, full, fmt in jobs}
+        futures = {
+            stem: pool.submit(ingest, lake, stem, full, fmt, "overwrite", (partition_by or {}).get(stem))
+            for stem, full, fmt in jobs
+        }
         return {stem: f.result() for stem, f in futures.items()}
 
 

@@ -114,3 +114,15 @@ def test_hash_and_row_strategies_agree_on_documents(spark, data_dir):
     b = dedup_with_audit(docs, "documents", strategy="rows")
     assert a.count() == b.count() == docs.distinct().count()
     assert a.exceptAll(b).count() == 0
+
+
+def test_partitioned_layers_prune_folders(spark, data_dir):
+    from pyspark.sql import functions as F
+
+    lake = fresh_lake(spark, "t")
+    rep = medallion_flow(spark, data_dir, lake=lake, partition_by={"orders": ["o_orderstatus"]}).collect()
+    assert {r.table_name for r in rep} >= {"orders"}
+    silver = lake.table("silver", "orders").where(F.col("o_orderstatus") == "F")
+    plan = silver._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
+    assert silver.count() == spark.read.parquet(f"{data_dir}/orders.parquet").where("o_orderstatus = 'F'").count()
