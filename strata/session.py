@@ -31,6 +31,10 @@ _DEFAULT_CONF = {
     # Session windows: merge sessions inside each input partition before the
     # shuffle, so a very active key arrives pre-combined.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Streaming state (dedup keys, open sessions, windows) lives in RocksDB,
+    # off the JVM heap, so large state does not pressure executor memory.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -66,3 +66,28 @@ def test_vector_search_has_no_join(spark, data_dir):
     plan = _plan(spark, data_dir, "vector_topk_batch")
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "MapInPandas" in plan and "BatchEvalPython" not in plan
+
+
+def test_hot_item_votes_are_combined_before_the_shuffle(spark):
+    """A third of all votes on one item: the result is exact and the plan
+    aggregates partially on the map side, so the hot item never travels as a list."""
+    from pyspark.sql import functions as F
+
+    from strata.operators.voting import majority_vote
+
+    n = 30000
+    votes = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("i"), (F.col("id") % 997).cast("string"))).alias("item"),
+        F.when(F.col("id") % 5 == 0, F.lit("B")).otherwise(F.lit("A")).alias("vote"),
+        F.lit(0.9).alias("conf"),
+    )
+    res = majority_vote(votes, "item", "vote", "conf")
+    hot = res.where(F.col("item") == "hot").first()
+    assert hot.voters == n // 3 and hot.majority_value == "A" and hot.agreement_ratio == 0.8
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = res._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    first_exchange = plan.rfind("Exchange")
+    assert "partial_count" in plan[first_exchange:]  # combine happens below the first shuffle
