@@ -13,6 +13,7 @@ from strata.plans.quality_queries import EVENTS_WITH_NULLS_SQL, events_with_null
 from strata.plans.record_queries import _K_SPARK, RECORDS_SQL, _results_exprs
 from strata.plans.registry import load, query
 from strata.session import scratch_path
+from strata.sources.files import path_exists
 from strata.streaming import streams as ST
 
 # Arrival slices of the event stream (oldest first).
@@ -26,7 +27,7 @@ def _landing(spark: SparkSession, df: DataFrame, replay: DataFrame | None, tag:
     """Arrival files of the stream, written once per session and input; every
     run still gets its own checkpoint and sink."""
     key = (id(spark), *tag)
-    if key not in _LANDINGS:
+    if key not in _LANDINGS or not path_exists(spark, _LANDINGS[key]):
         root = scratch_path(spark, "stream-landing")
         ST.land_in_order(df, "ts", EVENT_CUTS, root)
         if replay is not None:

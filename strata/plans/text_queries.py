@@ -309,7 +309,7 @@ _TREES: dict[tuple[int, str], str] = {}
 def _corpus_tree(spark: SparkSession, data_dir: str) -> str:
     """One text file per document, written once per session and data folder."""
     key = (id(spark), data_dir)
-    if key not in _TREES:
+    if key not in _TREES or not src.path_exists(spark, _TREES[key]):
         docs = load(spark, data_dir, "documents")
         root = scratch_path(spark, "corpus") + "/tree"
         src.write_documents(docs, root, "doc_id")

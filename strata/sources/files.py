@@ -32,6 +32,12 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     return sorted(out)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
