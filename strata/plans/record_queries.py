@@ -96,9 +96,10 @@ def q_records_scan(spark: SparkSession, data_dir: str) -> DataFrame:
     scanned back with a schema; the category filter prunes folders."""
     root = scratch_path(spark, "records")
     src.write_records(records(spark, data_dir), root, mode="overwrite")
+    # A malformed file inside the scanned category folder, next to good ones.
     spark.createDataFrame([("{not json",), ('{"id": "x", "category": ',)], "value string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(root + "/category=kb_insight/corrupt")
+        "append"
+    ).text(root + "/category=kb_insight")
     scanned = src.read_records(spark, root, R.RECORD_SCHEMA, category="kb_insight")
     return scanned.where(F.col("id").isNotNull()).select("id", "category", "project_name", "title", "confidence")
 

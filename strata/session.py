@@ -31,10 +31,6 @@ _DEFAULT_CONF = {
     # Session windows: merge sessions inside each input partition before the
     # shuffle, so a very active key arrives pre-combined.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Streaming state (dedup keys, open sessions, windows) lives in RocksDB,
-    # off the JVM heap, so large state does not pressure executor memory.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -43,6 +39,7 @@ def build_session(
     app_name: str = "strata",
     shuffle_partitions: int | None = None,
     extra_conf: dict[str, str] | None = None,
+    large_state: bool = False,
 ) -> SparkSession:
     """Create (or reuse) a session with the settings the library assumes.
 
@@ -56,6 +53,13 @@ def build_session(
     conf = dict(_DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if large_state:
+        # Streaming state (dedup keys, open sessions, windows) in RocksDB, off
+        # the JVM heap: for long watermarks and many keys. Each state-store
+        # instance has a fixed start-up cost, so small jobs are faster without.
+        conf["spark.sql.streaming.stateStore.providerClass"] = (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        )
     conf.update(extra_conf or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
