@@ -153,8 +153,8 @@ def session_stream(
     )
     run_available(agg.writeStream.outputMode("complete").foreachBatch(_epoch_writer(out)), f"{root}/_checkpoint")
     epochs = spark.read.parquet(out)
-    last = epochs.agg(F.max("batch_id").alias("batch_id"))
-    return epochs.join(F.broadcast(last), "batch_id").drop("batch_id")  # one-row side
+    last = epochs.select(F.max("batch_id")).scalar()  # the final epoch holds the full table
+    return epochs.where(F.col("batch_id") == last).drop("batch_id")
 
 
 # ---------------------------------------------------------------- R11 quality routing
