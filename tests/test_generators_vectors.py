@@ -36,3 +36,36 @@ def test_lsh_recall_against_exact(spark, data_dir):
     vec = [float(x) for x in q.first().embedding]
     approx = {r.vec_id for r in lsh_top_k(emb, "vec_id", "embedding", vec, k=5).collect()}
     assert len(exact & approx) / 5 >= 0.6
+
+
+def test_query_batches_give_the_same_answer(spark, data_dir):
+    """Query sets above the broadcast bound run in hash batches; results are identical."""
+    emb = spark.read.parquet(f"{data_dir}/embeddings.parquet")
+    queries = emb.where(F.col("vec_id") < 12)
+    one = cosine_top_k(emb, "vec_id", "embedding", queries, "vec_id", "embedding", 5)
+    batched = cosine_top_k(emb, "vec_id", "embedding", queries, "vec_id", "embedding", 5, max_broadcast=3)
+    a = sorted(((r.query_id, r.vec_id, r.rank) for r in one.collect()))
+    b = sorted(((r.query_id, r.vec_id, r.rank) for r in batched.collect()))
+    assert a == b and len(a) == 60
+
+
+def test_asof_bucket_size_does_not_change_the_answer(spark, data_dir):
+    from strata.operators.joins import asof_latest
+
+    ev = spark.read.parquet(f"{data_dir}/events.parquet")
+    p = ev.where(F.col("event_type") == "purchase").select("user_id", "ts", F.col("event_id").alias("pid"))
+    c = ev.where(F.col("event_type") == "click").select("user_id", "ts", F.col("event_id").alias("cid"))
+    by_day = {(r.pid, r.match) for r in asof_latest(p, c, "user_id", "ts", "pid", "cid", bucket="day").collect()}
+    by_hour = {(r.pid, r.match) for r in asof_latest(p, c, "user_id", "ts", "pid", "cid", bucket="hour").collect()}
+    assert by_day == by_hour and len(by_day) == p.count()
+
+
+def test_approximate_profile_is_close(spark, data_dir):
+    from strata.operators.analytics import profile
+
+    orders = spark.read.parquet(f"{data_dir}/orders.parquet")
+    exact = {r.column_name: r.distinct_values for r in profile(orders).collect()}
+    approx = {r.column_name: r.distinct_values for r in profile(orders, approx=True).collect()}
+    for c, n in exact.items():
+        # HyperLogLog++ defaults to a 5% relative standard deviation: allow 3 sigma.
+        assert abs(approx[c] - n) <= max(2, 0.15 * n)
