@@ -40,6 +40,8 @@ def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: lis
                  qids: list, qmat, k: int, schema: T.StructType) -> DataFrame:
     bc = spark.sparkContext.broadcast((list(qids), qmat))
 
+    # Self-contained (no references to this module), so it is shipped to the
+    # Python workers by value and executors need no copy of the package.
     def score_batches(batches):
         import numpy as np
         import pandas as pd
@@ -50,8 +52,10 @@ def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: lis
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty:
                 continue
-            x, ok = _unit_rows(list(pdf[vec_col]))
-            pdf, x = pdf[ok], x[ok]
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            norms = np.linalg.norm(x, axis=1)
+            ok = norms > 0
+            pdf, x = pdf[ok], x[ok] / norms[ok, None]
             if pdf.empty:
                 continue
             s = x @ m.T  # rows x queries
