@@ -53,3 +53,25 @@ def test_key_matches_duckdb(spark, data_dir, key):
     o = sorted((tuple(_norm(r[i]) for i in idx) for r in orows), key=repr)
     assert s == o, f"{key}: {len(s)} vs {len(o)} rows"
     sys.stdout.flush()
+
+
+def test_runs_from_another_working_directory(tmp_path, data_dir):
+    """Python workers must not need the package: run a key that uses a Python
+    worker (the vector scorer) in a fresh process started elsewhere."""
+    import os
+    import subprocess
+    import textwrap
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import importlib.util
+        spec = importlib.util.spec_from_file_location("e", "{repo}/__spark_entry__.py")
+        m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").getOrCreate()
+        print("ROWS", m.queries()["vector_topk_batch"](spark, "{data_dir}").count())
+    """)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 50" in out.stdout, out.stderr[-2000:]
