@@ -39,16 +39,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False,
+    sampling_ratio: float = 1.0,
 ) -> DataFrame:
     """Header CSV. ``multi_line`` (quoted newlines) makes files unsplittable, so
-    it is off by default; large inputs should also pass a schema."""
+    it is off by default. Without a schema, types are inferred from a
+    ``sampling_ratio`` share of the rows (one extra pass over that share);
+    very large inputs should pass a schema or a small ratio."""
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     else:
-        # Inference costs one extra pass; give a schema for large inputs.
-        reader = reader.option("inferSchema", True)
+        reader = reader.option("inferSchema", True).option("samplingRatio", sampling_ratio)
     return reader.csv(path)
 
 
@@ -58,7 +60,8 @@ def _looks_like_json_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None,
+    sampling_ratio: float = 1.0,
 ) -> DataFrame:
     """Newline-delimited JSON, or a JSON array file when ``multi_line``.
 
@@ -69,6 +72,8 @@ def read_json(
     reader = spark.read.option("multiLine", bool(multi_line))
     if schema is not None:
         reader = reader.schema(schema)
+    else:
+        reader = reader.option("samplingRatio", sampling_ratio)
     return reader.json(path)
 
 
