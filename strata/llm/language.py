@@ -40,7 +40,8 @@ def _draw(words: int):
                 starts, ends, _ = word_spans(data, off)
                 at = np.unique(np.linspace(0, len(starts) - 1, min(words, len(starts))).astype(int)) if len(starts) else []
                 drawn.append([data[starts[i]:ends[i]][:PIECE].tobytes() for i in at])
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(drawn, pa.list_(pa.binary()))], names=["lang", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(drawn, pa.list_(pa.binary()))],
+                                             names=["doc_id", "lang", "words"])
 
     return run
 
@@ -56,7 +57,10 @@ def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, lim
         return languages, None
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded by ``limit``
     texts = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_draw(words), "lang string, words array<binary>").collect()
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    drawn = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_draw(words), f"doc_id {kind}, lang string, words array<binary>")
+    # one row for each chosen doc_id, however often it stands in the table
+    rows = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "words")).alias("x")).select("x.*").collect()
     rows = sorted((r["lang"], [bytes(w) for w in r["words"]]) for r in rows)
     samples = [(w, languages.index(lang)) for lang, ws in rows for w in ws]
     if not samples:
@@ -128,11 +132,12 @@ def _predict(languages: list[str], network: ByteGRU | None):
 
 
 def identify(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple = (),
-             train_docs: int = TRAIN_DOCS) -> DataFrame:
+             train_docs: int = TRAIN_DOCS, with_text: bool = False) -> DataFrame:
     """Predicted language and score (0 to 1) of every whole text.
 
     ``learn`` is a condition on doc_id that says whose lang may be learned
-    (default: all). Returns doc_id, lang_pred, score and the columns in ``keep``.
+    (default: all). Returns doc_id, lang_pred, score, the columns in ``keep`` and, if
+    ``with_text``, text.
     A null text or one without a letter is ``und`` with score 0. Without any
     labelled row everything is ``und``; with one language only, it is that one.
     Repeated rows are rows of their own; an empty table gives no rows.
@@ -142,7 +147,7 @@ def identify(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str
     d = d.withColumn("has_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     fields = ", ".join(f"{c} {t}" for c, t in d.dtypes if c != "has_letter")
     out = d.mapInArrow(_predict(languages, network), f"{fields}, lang_pred string, score double")
-    return out.select("doc_id", "lang_pred", "score", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select("doc_id", "lang_pred", "score", *["text"] * with_text, *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_
                 source_col: str = "source") -> DataFrame:
     """Copies of every document so that sources come near their target sizes.
 
-    Returns doc_id, size (words), source_size, target, taken (size * copies),
+    Returns doc_id, source, size (words), source_size, target, taken (size * copies),
     copies and rate, one row for each row of ``docs``. Null or empty texts have
     size 0 and take 0 words; a null source is a source of its own, the last;
     repeated rows are documents of their own that get equal copies if they
@@ -115,7 +115,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_
     goal = save(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     named = goal.withColumnRenamed("source", "of")
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 64 - _FINE * _ROUNDS)
-    d = save(d.join(named, d["source"].eqNullSafe(named["of"])).select("doc_id", "size", "k", "source_size", "target", u.alias("u")), "placed")
+    d = save(d.join(named, d["source"].eqNullSafe(named["of"])).select("doc_id", "source", "size", "k", "source_size", "target", u.alias("u")), "placed")
     rates = balance(d.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), goal.select("k", "target"))
     rates = rates.withColumn("rate", F.least("rate", F.lit(float(most)))).withColumn("base", F.floor(F.col("rate") + 1e-6))
     rates = save(rates, "rates")
@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_
     out = d.join(rates, "k").join(cuts, "k", "left")
     more = (F.col("u") < F.coalesce("cut", F.lit(0))) & (F.col("base") < most)
     out = out.withColumn("copies", (F.col("base") + more.cast("long")).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

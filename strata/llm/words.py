@@ -52,20 +52,24 @@ def runs(off: np.ndarray, limit: int = RUN_BYTES):
         first = last
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of all words."""
-    inside = ~_SPACE[data]
+def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the maximal runs of marked bytes; no run crosses texts."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
     cut = off[1:-1]
-    cut = cut[(cut > 0) & (cut < len(data))]
+    cut = cut[(cut > 0) & (cut < len(inside))]
     first[cut] = inside[cut]
     last[cut - 1] = inside[cut - 1]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(off, starts, "right") - 1
 
 
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all words."""
+    return spans(~_SPACE[data], off)
+
+
 def powers(n: int) -> np.ndarray:
     p = np.full(n, _BASE, np.uint64)
     p[:1] = 1
