@@ -118,7 +118,8 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
             .when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", source, thousand, name))
             .when(F.col("doc_id") % 100 == 0, F.concat_ws("/", source, thousand, hundred, name))
             .otherwise(F.concat_ws("/", source, thousand, hundred, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
-    return scan_licenses(d.select(path.alias("path"), "text"))
+    d = d.select("doc_id", path.alias("path"), "text")
+    return scan_licenses(d).join(d.select("doc_id", "path").distinct(), "path")
 
 
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
@@ -127,7 +128,7 @@ WITH d AS (
   SELECT CASE WHEN doc_id % 10000 = 0 THEN coalesce(source, 'none') || '/LICENSE.' || doc_id
     WHEN doc_id % 1000 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 1000) || '/LICENSE'
     WHEN doc_id % 100 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/LICENSE'
-    ELSE coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path, text
+    ELSE coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path, text, doc_id
   FROM documents),
 lines AS (
   SELECT path, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS line
@@ -162,7 +163,9 @@ rest AS (SELECT DISTINCT path FROM d ANTI JOIN own USING (path)),
 given AS (
   SELECT path, license, score, licensed_by FROM rest JOIN stated ON starts_with(path, folder || '/')
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(folder) DESC) = 1)
-SELECT path, license, score, 'own' AS origin, NULL::VARCHAR AS licensed_by FROM own
-UNION ALL
-SELECT path, license, score, CASE WHEN license IS NULL THEN 'none' ELSE 'inherited' END, licensed_by FROM rest LEFT JOIN given USING (path)
+SELECT r.*, doc_id FROM (
+  SELECT path, license, score, 'own' AS origin, NULL::VARCHAR AS licensed_by FROM own
+  UNION ALL
+  SELECT path, license, score, CASE WHEN license IS NULL THEN 'none' ELSE 'inherited' END, licensed_by FROM rest LEFT JOIN given USING (path)
+) r JOIN (SELECT DISTINCT path, doc_id FROM d) USING (path)
 """
