@@ -5,11 +5,11 @@ Two sets whose Jaccard similarity is at least t share a token among the first
 filters alone; a candidate has to pass all of them before its sets are compared.
 
 - Texts with equal shingle sets form a class; classes stand for their members.
-- Order 1 puts tokens of a low hash first, among them those that no other class
-  has, then rare before frequent, then by hash. Prefixes therefore consist of
-  low-hash tokens nearly always, so only that share of all tokens is counted
-  and shuffled; a set with too few of them adds its next tokens by hash, which
-  keeps the order exact. Most texts end here: their prefix is all their own.
+- Order 1 puts tokens of one text only first, then rare before frequent, then by
+  hash. Counting needs no text numbers: every slot of texts sends its tokens as
+  sorted 32-bit keys to buckets and gets their counts back (equal keys of
+  different tokens share a count, which is still one order for all). A text
+  whose prefix is all its own has no partner; most texts end here.
 - Classes that survive are linked to the smallest class with an equal minimum
   token under a few hashes, if the exact similarity allows. That joins large
   groups of near copies by one comparison for each member.
@@ -25,14 +25,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import components, load, pick, save
+from strata.llm.slots import ANSWERS, KEYS, bucketed, emit, stage_texts
 from strata.llm.words import mix, shingle_sets
 
 THRESHOLD = 80  #: percent
-LOW_SHARE = 0.25  #: of the hash range that order 1 puts first
 LEADERS = 4  #: hashes whose smallest token finds a leader
 SPREAD = 1000  #: members compared with one copy of a leader's set
 _ORDER = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 2**63, LEADERS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
@@ -53,61 +54,75 @@ def _signed(s: np.ndarray) -> np.ndarray:
     return s.view(np.int64)
 
 
-def _members(share: float):
-    bound = np.uint64(int(share * 2**64))
+def _members(batches):
+    for batch in batches:
+        rows = [(len(s), *digest(s)) for s in shingle_sets(batch.column("text"))]
+        columns = np.array(rows, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n", "d1", "d2"])
 
-    def run(batches):
-        for batch in batches:
-            rows = [(len(s), int(np.searchsorted(s, bound)), *digest(s)) for s in shingle_sets(batch.column("text"))]
-            columns = np.array(rows, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n", "n_low", "d1", "d2"])
 
-    return run
+def _slot_sets(table):
+    """The rows with a text, and their shingle sets, in a fixed order."""
+    table = table.combine_chunks()
+    own = np.flatnonzero(table["text"].is_valid().to_numpy())
+    own = own[np.argsort(table["uid"].to_numpy()[own])]
+    return table["uid"].to_numpy()[own], list(shingle_sets(table["text"].take(pa.array(own))))
 
 
-def _first_tokens(percent: int, share: float):
-    bound = np.uint64(int(share * 2**64))
+def _counts(_, table):
+    """How many texts have each key of a bucket, up to 255."""
+    table = table.combine_chunks()
+    keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
+    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    parts = np.split(np.minimum(count, 255).astype(np.uint8)[back], np.cumsum([len(k) for k in keys])[:-1])
+    return table.drop_columns(["keys"]).append_column("bits", pa.array([p.tobytes() for p in parts], pa.binary()))
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            token, doc, kind = [], [], []
-            size = 0
-            for i, s in zip(ids, shingle_sets(batch.column("text")), strict=True):
-                take = max(int(np.searchsorted(s, bound)), prefix_length(len(s), percent)) if len(s) else 0
-                if take:
-                    token.append(_signed(s[:take]))
-                    doc.append(np.full(take, i, np.int64))
-                    kind.append(np.full(take, digest(s)[0], np.int64))
-                    size += take
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, doc, kind)], names=["token", "doc_id", "d1"])
-                    token, doc, kind, size = [], [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, doc, kind)], names=["token", "doc_id", "d1"])
 
-    return run
+SETS = "cid long, n long, alone long, s binary, prefix array<long>, least array<long>"
 
 
-def _sets(percent: int):
-    def run(batches):
-        for batch in batches:
-            cols = {k: [] for k in ("cid", "n", "d1", "s", "least", "second", "third")}
-            for cid, want, s in zip(batch.column("cid").to_pylist(), batch.column("want").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-                a, _ = digest(s)
-                if a != want:  # another text with this doc_id
-                    continue
-                p = prefix_length(len(s), percent)
-                orders = [mix(s * m) for m in _ORDER]
-                cols["cid"].append(cid)
-                cols["n"].append(len(s))
-                cols["d1"].append(a)
-                cols["s"].append(s.tobytes())
-                cols["least"].append([int(o.min().astype(np.int64)) for o in orders[:LEADERS]] if len(s) else [])
-                for name, o in zip(("second", "third"), orders[LEADERS:], strict=True):
-                    cols[name].append(_signed(np.sort(o)[:p]) if len(s) else [])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], names=list(cols))
+def _survivors(buckets: int, percent: int):
+    """Sets and prefixes of the classes whose prefix under order 1 holds a token of another text.
+
+    ``answers`` has the counts (phase 1) and, of each class whose representative
+    is in the slot, its doc_id and digest (phase 0).
+    """
+
+    def run(key, table, answers):
+        uids, sets = _slot_sets(table)
+        own = answers.filter(pc.equal(answers["phase"], 0))
+        speaks = dict(zip(own["bucket"].to_pylist(), own["bits"].to_pylist(), strict=True))
+        answers = answers.filter(pc.equal(answers["phase"], 1))
+        ids: dict = {}
+        for i, u in zip(table["doc_id"].to_pylist(), table["uid"].to_pylist(), strict=True):
+            if i in speaks:
+                ids.setdefault(u, []).append(i)
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        bucket, _, order = bucketed(mix(flat), buckets, 32)
+        count = np.ones(len(flat), np.uint8)
+        got = dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+        ranked = [np.frombuffer(got[b], np.uint8) for b in np.unique(bucket).tolist()]
+        count[order] = np.concatenate([*ranked, np.zeros(0, np.uint8)])
+        cols: dict = {c.split()[0]: [] for c in SETS.split(", ")}
+        at = 0
+        for uid, s in zip(uids.tolist(), sets, strict=True):
+            c = count[at:at + len(s)]
+            at += len(s)
+            p = prefix_length(len(s), percent)
+            shared = np.flatnonzero(c > 1)
+            room = p - (len(s) - len(shared))
+            if room <= 0 or not len(shared) or uid not in ids:
+                continue
+            name = str(digest(s)[0]).encode()
+            cid = [i for i in ids[uid] if speaks[i] == name]  # a doc_id may stand for another text elsewhere
+            if not cid:
+                continue
+            first = shared[np.lexsort((s[shared], c[shared]))][:room]
+            row = [cid[0], len(s), len(s) - len(shared), s.tobytes(), _signed(s[first]), [int(mix(s * m).min().astype(np.int64)) for m in _ORDER[:LEADERS]]]
+            for column, value in zip(cols, row, strict=True):
+                cols[column].append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 2]
+        return pa.table({name: pa.array(v, k) for (name, v), k in zip(cols.items(), kinds, strict=True)})
 
     return run
 
@@ -120,57 +135,36 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _with_leader(percent: int):
-    """Rows come sorted so that a copy of the leader's set stands before its members."""
+def _prefix_under(s: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
+    o = np.sort(mix(s * order))
+    return o[:prefix_length(len(s), percent)]
+
+
+def _with_leader(percent: int, orders: tuple):
+    """Rows come sorted so that a copy of the leader's set stands before its members.
+
+    A member is compared if its prefixes under all ``orders`` meet the leader's.
+    """
 
     def run(batches):
-        head, s = None, None
+        head, s, prefixes = None, None, []
         for batch in batches:
             a, b = [], []
             for leader, part, cid, raw in zip(*[batch.column(c).to_pylist() for c in ("leader", "part", "cid", "s")], strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 if cid == leader:
                     head, s = (leader, part), x
-                elif head == (leader, part) and similar(s, x, percent):
-                    a.append(cid)
-                    b.append(leader)
+                    prefixes = [_prefix_under(s, o, percent) for o in orders]
+                elif head == (leader, part) and all(np.isin(_prefix_under(x, o, percent), p).any() for o, p in zip(orders, prefixes, strict=True)):
+                    if similar(s, x, percent):
+                        a.append(cid)
+                        b.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _pairs(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")], strict=True):
-                if similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _prefixes(texts: DataFrame, classes: DataFrame, percent: int, share: float) -> DataFrame:
-    """(token, cid, n): prefixes under order 1, less the tokens that only one class has."""
-    tokens = texts.mapInArrow(_first_tokens(percent, share), "token long, doc_id long, d1 long")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("d1").alias("one"), F.max("d1").alias("other"))
-    counts = counts.where("one <> other").select("token", "df")
-    # a class speaks through its representative
-    shared = tokens.join(counts, "token").join(classes.select(F.col("cid").alias("doc_id"), "d1", "n", "n_low"), ["doc_id", "d1"])
-    # tokens are unsigned hashes kept as signed numbers: the low ones are not negative
-    shared = shared.withColumn("low", (F.col("token") >= 0) & (F.col("token") < int(share * 2**64)))
-    of = Window.partitionBy("doc_id")
-    shared = shared.withColumn("at", F.dense_rank().over(of.orderBy(F.desc("low"), "df", "token")))
-    shared = shared.withColumn("n_shared", F.max(F.when(F.col("low"), F.col("at")).otherwise(0)).over(of))
-    length = F.expr(f"n - floor(({percent} * n + 99) / 100) + 1")
-    kept = shared.where(~F.col("low") | (F.col("n_low") - F.col("n_shared") + F.col("at") <= length))
-    return kept.select("token", F.col("doc_id").alias("cid"), "n").distinct()
-
-
-def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
-                         low_share: float = LOW_SHARE) -> DataFrame:
+def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of texts linked by 100 * |A and B| >= percent * |A or B| over 5-word shingles.
 
     Returns doc_id, n_shingles and component_id (smallest doc_id reachable,
@@ -179,22 +173,29 @@ def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str
     different texts with one doc_id the one with the smallest digest counts.
     Rows without doc_id are left out; an empty table gives no rows.
     """
-    if low_share > 0.5:
-        raise ValueError("low_share must be at most 0.5")
     texts = pick(docs, id_col, text_col).toDF("doc_id", "text").where("doc_id IS NOT NULL")
     texts = texts.select(F.col("doc_id").cast("long"), "text")
-    rows = texts.mapInArrow(_members(low_share), "doc_id long, n long, n_low long, d1 long, d2 long")
-    members = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "n_low")).alias("k"))
-    members = save(members.select("doc_id", "k.d1", "k.d2", "k.n", "k.n_low"), "members")
-    classes = save(members.where("n > 0").groupBy("d1", "d2", "n", "n_low").agg(F.min("doc_id").alias("cid")), "classes")
-
-    prefix = save(_prefixes(texts, classes, percent, low_share), "prefix")
+    rows = texts.mapInArrow(_members, "doc_id long, n long, d1 long, d2 long")
+    members = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("k"))
+    members = save(members.select("doc_id", "k.d1", "k.d2", "k.n"), "members")
+    classes = save(members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid")), "classes")
+
+    staged, buckets = stage_texts(texts)
+
+    def tokens(key, table):
+        _, sets = _slot_sets(table)
+        bucket, keys, _ = bucketed(mix(np.concatenate([*sets, np.zeros(0, np.uint64)])), buckets, 32)
+        return emit(key[0].as_py(), 1, bucket, keys, np.uint32)
+
+    own = staged.where("text IS NOT NULL")
+    counts = own.groupBy("slot").applyInArrow(tokens, KEYS).groupBy("bucket").applyInArrow(_counts, ANSWERS)
+    speaks = staged.select("slot", "doc_id").distinct().join(classes.select(F.col("cid").alias("doc_id"), "d1"), "doc_id")
+    speaks = speaks.select("slot", F.lit(0).alias("phase"), F.col("doc_id").alias("bucket"), F.col("d1").cast("string").cast("binary").alias("bits"))
+    answers = counts.unionByName(speaks).toDF("slot_r", "phase", "bucket", "bits")
+    sets = save(staged.groupBy("slot").cogroup(answers.groupBy("slot_r")).applyInArrow(_survivors(buckets, percent), SETS), "sets")
+    prefix = sets.select("cid", "n", "alone", F.posexplode("prefix").alias("i", "token")).select("token", "cid", "n", (F.col("alone") + F.col("i")).alias("at"))
     several = prefix.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
     prefix = save(prefix.join(several, "token"), "prefix")
-    survivors = prefix.select("cid").distinct().join(classes.select("cid", "d1"), "cid").toDF("doc_id", "want")
-    found = texts.join(survivors, "doc_id").select(F.col("doc_id").alias("cid"), "want", "text")
-    sets = found.mapInArrow(_sets(percent), "cid long, n long, d1 long, s binary, least array<long>, second array<long>, third array<long>")
-    sets = save(sets, "sets")
 
     led = _leader_links(sets, percent)
     links = led.unionByName(_cross_links(prefix, sets, components(led), percent))
@@ -209,33 +210,33 @@ def _leader_links(sets: DataFrame, percent: int) -> DataFrame:
     least = sets.select("cid", F.posexplode("least").alias("k", "m"))
     leaders = least.groupBy("k", "m").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader <> last")
     follow = least.join(leaders, ["k", "m"]).where("cid <> leader").select("cid", "leader").distinct()
-    follow = save(follow, "follow")
-    # large groups meet several copies of their leader
-    parts = follow.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts"))
+    return _compare(save(follow, "follow"), sets, percent, ())
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, orders: tuple) -> DataFrame:
+    """The links among pairs (cid, leader); large groups meet several copies of their leader's set."""
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts"))
     raw = sets.select("cid", "s")
-    member = follow.join(parts, "leader").join(raw, "cid").select(
+    member = pairs.join(parts, "leader").join(raw, "cid").select(
         "leader", F.expr("pmod(xxhash64(cid), parts)").cast("int").alias("part"), "cid", "s")
     head = parts.join(raw.withColumnRenamed("cid", "leader"), "leader").select(
         "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("cid"), "s")
     met = member.unionByName(head).withColumn("follows", F.col("cid") != F.col("leader"))
     met = met.repartition("leader", "part").sortWithinPartitions("leader", "part", "follows")
-    return save(met.mapInArrow(_with_leader(percent), "a long, b long"), "led")
+    return save(met.mapInArrow(_with_leader(percent, orders), "a long, b long"), "compared")
 
 
 def _cross_links(prefix: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components that share prefix tokens under every order."""
     rows = prefix.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    rows = save(rows.join(mixed, "token"), "mixed")
-    other = rows.toDF("token", "cid2", "n2", "component2")
+    rows = save(rows.join(mixed, "token").select("token", "cid", "n", "at", "component"), "mixed")
+    other = rows.toDF("token", "cid2", "n2", "at2", "component2")
     near = rows.join(other, "token").where("cid < cid2 AND component <> component2")
-    near = near.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
-    orders = sets.select("cid", "second", "third")
-    near = near.join(orders.toDF("a", "second_a", "third_a"), "a").join(orders.toDF("b", "second_b", "third_b"), "b")
-    near = near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    raw = sets.select("cid", "s")
-    met = near.join(raw.toDF("a", "sa"), "a").join(raw.toDF("b", "sb"), "b")
-    return met.mapInArrow(_pairs(percent), "a long, b long")
+    # the first common token stands first in both; what follows it bounds the common tokens
+    near = near.groupBy("cid", "cid2", "n", "n2").agg(F.min("at").alias("at"), F.min("at2").alias("at2"))
+    near = near.where(f"least(n - at, n2 - at2) * {100 + percent} >= {percent} * (n + n2)").select(F.col("cid2").alias("cid"), F.col("cid").alias("leader"))
+    return _compare(save(near, "near"), sets, percent, tuple(_ORDER[LEADERS:]))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

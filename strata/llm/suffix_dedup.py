@@ -29,16 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import load, pick, save, shuffle_width
+from strata.llm.common import load, pick, save
+from strata.llm.slots import ANSWERS, BUCKET_BYTES, KEYS, SLOT_BYTES, bucketed, emit, stage_texts
 from strata.llm.words import flat, mix, powers
-from strata.session import scratch_path
 
 LENGTH = 200  #: bytes
 # A perfect difference set; every residue modulo 133 is a difference of two of its elements.
 V, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
-SLOT_BYTES = 1 << 20  #: mean text bytes in a slot
-BUCKET_BYTES = 8 << 20  #: text bytes for each bucket of keys
-SALTS = 64  #: slots among which equal texts are spread
 _STEP = 1 << 20
 
 _BASE = int(powers(2)[1])
@@ -87,15 +84,8 @@ class Slot:
         self.sample = np.flatnonzero(residue[since % v] & (place + short <= last))
         self.short = short
 
-    def _split(self, h, bits: int):
-        """Buckets and keys in sorted order, and that order."""
-        bucket = (h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
-        key = h if bits == 64 else (h & np.uint64(0xFFFFFFFF))
-        order = np.lexsort((key, bucket))
-        return bucket[order].astype(np.int64), key[order], order
-
     def sample_keys(self):
-        return self._split(window_hashes(self.data, self.short, self.sample), 32)
+        return bucketed(window_hashes(self.data, self.short, self.sample), self.buckets, 32)
 
     def suffixes(self, repeated: np.ndarray) -> np.ndarray:
         """Starts of strings with a repeated sample position less than ``v`` bytes on."""
@@ -105,16 +95,7 @@ class Slot:
         return np.flatnonzero((np.cumsum(mark[:-1]) > 0) & self.fits)
 
     def suffix_keys(self, starts):
-        return self._split(window_hashes(self.data, self.length, starts), 64)
-
-
-def _emit(slot: int, phase: int, bucket, key, kind):
-    edges = np.flatnonzero(np.diff(bucket)) + 1
-    groups = np.split(key, edges) if len(key) else []
-    names = [int(bucket[0]), *bucket[edges].tolist()] if len(key) else []
-    return pa.table({
-        "slot": pa.array([slot] * len(names), pa.int32()), "phase": pa.array([phase] * len(names), pa.int32()),
-        "bucket": pa.array(names, pa.int64()), "keys": pa.array([g.astype(kind).tobytes() for g in groups], pa.binary())})
+        return bucketed(window_hashes(self.data, self.length, starts), self.buckets, 64)
 
 
 def _bits(slot: Slot, answers, phase: int, bucket) -> np.ndarray:
@@ -143,24 +124,6 @@ def _repeats(_, table):
     return table.drop_columns(["keys"]).append_column("bits", pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()))
 
 
-def _keep_once(batches):
-    """Rows come sorted by (slot, text key, id): equal texts follow each other; later ones lose their text."""
-    last, uid = None, -1
-    for batch in batches:
-        slots = batch.column("slot").to_pylist()
-        texts = batch.column("text").to_pylist()
-        uids, kept = [], []
-        for slot, text in zip(slots, texts, strict=True):
-            if last == (slot, text):
-                kept.append(None)
-            else:
-                last, uid = (slot, text), uid + 1
-                kept.append(text)
-            uids.append(uid)
-        yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("doc_id"), pa.array(uids, pa.int64()), pa.array(kept, pa.string())],
-                                         names=["slot", "doc_id", "uid", "text"])
-
-
 def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", v: int = V, cover: tuple = COVER,
                      slot_bytes: int = SLOT_BYTES, bucket_bytes: int = BUCKET_BYTES, with_text: bool = False) -> DataFrame:
     """Removes every byte covered by a ``length``-byte string that starts elsewhere, too.
@@ -173,30 +136,18 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     if length <= v:
         raise ValueError("length must be larger than v")
-    spark = docs.sparkSession
-    texts = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
-    slots, buckets = total // slot_bytes + 1, total // bucket_bytes + 1
-    parts = max(shuffle_width(spark), total // (16 << 20))
-    texts = texts.withColumn("key", F.xxhash64("text"))
-    texts = texts.withColumn("slot", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), F.lit(slots)).cast("int"))
-    sorted_texts = texts.repartition(parts, "slot").sortWithinPartitions("slot", "key", "text", "doc_id").select("slot", "doc_id", "text")
-    once = sorted_texts.mapInArrow(_keep_once, "slot int, doc_id long, uid long, text string")
-    # bucketed by slot: the later passes read it without another shuffle
-    path = scratch_path(spark, "slots")
-    name = "slots_" + path.rsplit("-", 1)[1]
-    once.write.bucketBy(parts, "slot").sortBy("slot").option("path", path).option("compression", "zstd").saveAsTable(name)
-    staged = spark.table(name)
+    texts = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    staged, buckets = stage_texts(texts, slot_bytes, bucket_bytes)
 
     def first(key, table):
         bucket, keys, _ = Slot(table, length, v, cover, buckets).sample_keys()
-        return _emit(key[0].as_py(), 1, bucket, keys, np.uint32)
+        return emit(key[0].as_py(), 1, bucket, keys, np.uint32)
 
     def second(key, table, answers):
         slot = Slot(table, length, v, cover, buckets)
         bucket, _, order = slot.sample_keys()
         starts = slot.suffixes(np.sort(slot.sample[order[_bits(slot, answers, 1, bucket)]]))
-        return _emit(key[0].as_py(), 2, *slot.suffix_keys(starts)[:2], np.uint64)
+        return emit(key[0].as_py(), 2, *slot.suffix_keys(starts)[:2], np.uint64)
 
     def third(key, table, answers):
         slot = Slot(table, length, v, cover, buckets)
@@ -227,13 +178,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         made = pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)})
         return made if with_text else made.drop_columns(["kept"])
 
-    keys = "slot int, phase int, bucket long, keys binary"
-    bits = "slot int, phase int, bucket long, bits binary"
     own = staged.where("text IS NOT NULL")
-    answers = own.groupBy("slot").applyInArrow(first, keys).groupBy("bucket").applyInArrow(_repeats, bits)
+    answers = own.groupBy("slot").applyInArrow(first, KEYS).groupBy("bucket").applyInArrow(_repeats, ANSWERS)
     sample = save(answers, "sample")
     right = sample.toDF("slot_r", "phase", "bucket", "bits")
-    answers = own.groupBy("slot").cogroup(right.groupBy("slot_r")).applyInArrow(second, keys).groupBy("bucket").applyInArrow(_repeats, bits)
+    answers = own.groupBy("slot").cogroup(right.groupBy("slot_r")).applyInArrow(second, KEYS).groupBy("bucket").applyInArrow(_repeats, ANSWERS)
     both = sample.unionByName(save(answers, "suffix")).toDF("slot_r", "phase", "bucket", "bits")
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return staged.groupBy("slot").cogroup(both.groupBy("slot_r")).applyInArrow(third, columns)
