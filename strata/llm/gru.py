@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
+STEPS = 1500  #: of training, whatever the number of words
 
 
 def _sigmoid(x):
@@ -88,8 +89,8 @@ class ByteGRU:
                 dh = dh * z + db @ u.T
         return loss, g
 
-    def fit(self, words: list[bytes], labels: np.ndarray, epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 2):
-        """Adam over batches of words of one length, in a fixed shuffled order."""
+    def fit(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = 512, rate: float = 0.01, seed: int = 2):
+        """About ``steps`` Adam steps over batches of words of one length, in a fixed shuffled order."""
         rng = np.random.default_rng(seed)
         length = np.array([len(w) for w in words])
         batches = []
@@ -102,13 +103,14 @@ class ByteGRU:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, losses = 0, []
-        for epoch in range(epochs):
+        epochs = max(1, round(steps / max(len(batches), 1)))
+        for _ in range(epochs):
             total = 0.0
             for k in rng.permutation(len(batches)):
                 loss, g = self.gradients(*batches[k])
                 total += loss
                 step += 1
-                now = rate / (1 + epoch)
+                now = rate / (1 + 2 * step / (epochs * len(batches)))
                 for name, value in g.items():
                     value = np.clip(value, -1, 1)
                     first[name] += 0.1 * (value - first[name])

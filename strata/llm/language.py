@@ -46,7 +46,7 @@ def _draw(words: int):
     return run
 
 
-def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, limit: int = TRAIN_DOCS, words: int = TRAIN_WORDS, epochs: int = 3):
+def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, limit: int = TRAIN_DOCS, words: int = TRAIN_WORDS):
     """(languages, network) from rows that meet ``learn`` and have a lang; (languages, None) below two languages.
 
     At most ``limit`` documents are learned from, those with the smallest hash of doc_id.
@@ -69,7 +69,7 @@ def train(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, lim
     lowered = np.frombuffer(b"".join(w for w, _ in samples), np.uint8)
     cuts = np.cumsum([0, *[len(w) for w, _ in samples]])
     lowered = _LOWER[lowered].tobytes()
-    network.fit([lowered[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.array([y for _, y in samples]), epochs)
+    network.fit([lowered[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.array([y for _, y in samples]))
     return languages, network
 
 
