@@ -158,15 +158,16 @@ AUDIT_SKIP = (".venv", "__pycache__", ".git")
 def secret_audit(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Secret audit over a (path, content) table.
 
-    Paths under skipped folders are ignored; of the rest, files with an audited
+    Files in skipped folders are ignored (the folder counts, not the file's own name); of the rest, files with an audited
     suffix are checked: a password without an environment lookup is an error,
     a tracked ``.env`` file (not an example) is a warning.
     """
     p, c = F.col(path), F.col(content)
     name = F.element_at(F.split(p, "/"), -1)
+    folder = F.regexp_extract(p, "^(.*)/", 1)
     keep = F.lit(True)
     for d in AUDIT_SKIP:
-        keep = keep & ~p.contains(d)
+        keep = keep & ~folder.contains(d)
     suffix_ok = F.lit(False)
     for s in AUDIT_SUFFIXES:
         suffix_ok = suffix_ok | name.endswith(s)

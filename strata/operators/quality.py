@@ -157,15 +157,15 @@ def failing_sample(df: DataFrame, checks: list[Check], order_by: list[str], limi
     """Up to ``limit`` failing rows per row rule, first by ``order_by``.
 
     One scan: each row carries the list of rules it fails, the list is
-    exploded, and a per-rule ``row_number <= limit`` is planned as a
-    WindowGroupLimit, so only ``limit`` rows per rule and task are shuffled.
+    exploded, and a per-check ``row_number <= limit`` is planned as a
+    WindowGroupLimit, so only ``limit`` rows per check and task are shuffled.
     """
     rows = [c for c in checks if (get_rule(c.rule) is not None and get_rule(c.rule).kind == "row")]
     fails = F.array(
         *[
             F.when(~row_condition(df, c), F.struct(F.lit(c.column).alias("column_name"), F.lit(c.rule).alias("rule"),
-                                                 F.col(c.column).cast("string").alias("value")))
-            for c in rows
+                                                 F.col(c.column).cast("string").alias("value"), F.lit(i).alias("_check")))
+            for i, c in enumerate(rows)
         ]
     )
     exploded = (
@@ -173,8 +173,9 @@ def failing_sample(df: DataFrame, checks: list[Check], order_by: list[str], limi
         .where(F.size("_f") > 0)
         .select(*order_by, F.inline("_f"))
     )
-    w = Window.partitionBy("column_name", "rule").orderBy(*[F.col(k) for k in order_by])
-    return exploded.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit)
+    w = Window.partitionBy("_check").orderBy(*[F.col(k) for k in order_by])
+    ranked = exploded.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit)
+    return ranked.drop("_check")
 
 
 def unique_strict(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -152,7 +152,7 @@ def counts_by_project(records: DataFrame) -> DataFrame:
 
 def prune(records: DataFrame, applied_ids: DataFrame, key: str = "id") -> DataFrame:
     """Records not yet applied (left anti join on the id)."""
-    return records.join(applied_ids.select(key).distinct(), key, "left_anti")
+    return records.join(applied_ids.select(key), key, "left_anti")
 
 
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:

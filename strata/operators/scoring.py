@@ -114,8 +114,25 @@ def decide_sql(score: str, threshold: str, category: str, rounds: str) -> str:
 
 
 def initial_flags() -> dict[str, str]:
-    """Knowledge-base conditions count only when the knowledge base had a pattern."""
-    return {cond: f"(kb_found AND {col})" for cond, col in KB_FLAGS.items()}
+    """Every active condition counts, whether or not the knowledge base had a pattern."""
+    return dict(KB_FLAGS)
+
+
+# The second of each pair counts only without the first.
+_EXCLUSIVE = {"c_stale": "c_fresh", "c_noex": "c_prod", "c_tangential": "c_exact"}
+
+
+def lookup_flags() -> dict[str, str]:
+    """Conditions that the knowledge-base lookup before the research rounds can set."""
+    out = {}
+    for cond, col in KB_FLAGS.items():
+        if col == "c_breaking":  # only a research round learns of a breaking change
+            out[cond] = "false"
+        elif col in _EXCLUSIVE:
+            out[cond] = f"(kb_found AND {col} AND NOT {_EXCLUSIVE[col]})"
+        else:
+            out[cond] = f"(kb_found AND {col})"
+    return out
 
 
 # ---------------------------------------------------------------- Spark side
@@ -125,7 +142,7 @@ def _agreement_frame(spark) -> DataFrame:
     return spark.createDataFrame(AGREEMENT, "kb_key string, mcp_key string, agreement_level string, base_score double")
 
 
-def score(evidence: DataFrame) -> DataFrame:
+def score(evidence: DataFrame, flags: dict[str, str] | None = None) -> DataFrame:
     """Adds category, threshold, agreement_level, base_score, final_score, decision (round 0)."""
     spark = evidence.sparkSession
     keyed = evidence.withColumns(
@@ -136,7 +153,7 @@ def score(evidence: DataFrame) -> DataFrame:
         }
     ).withColumn("threshold", F.expr(threshold_sql("category")))
     joined = keyed.join(F.broadcast(_agreement_frame(spark)), ["kb_key", "mcp_key"], "left").drop("kb_key", "mcp_key")
-    scored = joined.withColumn("final_score", F.expr(fold_sql("base_score", initial_flags())))
+    scored = joined.withColumn("final_score", F.expr(fold_sql("base_score", flags or initial_flags())))
     return scored.withColumn("decision", F.expr(decide_sql("final_score", "threshold", "category", "0")))
 
 
@@ -182,14 +199,14 @@ def rescore_exprs() -> list[tuple[str, str]]:
 
 
 def init_round_exprs() -> list[tuple[str, str]]:
-    out = [(f"f_{col[2:]}", f"(kb_found AND {col})") for col in KB_FLAGS.values()]
+    out = [(f"f_{KB_FLAGS[cond][2:]}", flag) for cond, flag in lookup_flags().items()]
     out += [("f_improved", "false"), ("rounds", "0"), ("mcp_result_r", "mcp_result")]
     return out
 
 
 def score_with_research(evidence: DataFrame) -> DataFrame:
     """Round 0 score, then up to MAX_ROUNDS research rounds as a fixed column recurrence."""
-    df = score(evidence)
+    df = score(evidence, lookup_flags())
     df = df.withColumns({k: F.expr(v) for k, v in init_round_exprs()})
     for r in range(1, MAX_ROUNDS + 1):
         df = df.withColumns({k: F.expr(v) for k, v in round_exprs(r)})

@@ -20,13 +20,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata.catalog import Lake, check_identifier
 from strata.functions.time import ntz_literal
-from strata.operators.dedup import exact_dedup
 from strata.operators.quality import silver_checks, summarize
-from strata.session import estimated_bytes, scratch_path
+from strata.session import scratch_path
 from strata.sources.files import ingest_all
 
 # Audit column names added by the silver step.
@@ -40,28 +38,10 @@ def fresh_lake(spark: SparkSession, tag: str = "m") -> Lake:
     return Lake(spark, root=scratch_path(spark, "lake"), prefix=f"{tag}{uuid.uuid4().hex[:8]}")
 
 
-# Below this estimated input size a full-row shuffle is cheaper than the
-# extra hash pass, checkpoint and joins of the hash-first de-duplication.
-HASH_DEDUP_MIN_BYTES = 256 * 1024 * 1024
-_FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-
-
-def dedup_with_audit(
-    df: DataFrame, source: str, run_ts: _dt.datetime = DEFAULT_RUN_TS, strategy: str = "auto"
-) -> DataFrame:
-    """Full-row de-duplication (audit columns excluded) plus the audit columns.
-
-    ``strategy``: "rows" shuffles whole rows (dropDuplicates); "hash" shuffles
-    64-bit row hashes and compares full rows only where hashes repeat;
-    "auto" picks "rows" for narrow fixed-width rows or inputs estimated below
-    ``HASH_DEDUP_MIN_BYTES`` (the full-row shuffle is cheap there), "hash" otherwise.
-    """
+def dedup_with_audit(df: DataFrame, source: str, run_ts: _dt.datetime = DEFAULT_RUN_TS) -> DataFrame:
+    """Full-row de-duplication (audit columns excluded) plus the audit columns: one shuffle at every size."""
     cols = [c for c in df.columns if c not in AUDIT_COLUMNS]
-    base = df.select(*cols)
-    if strategy == "auto":
-        narrow = all(isinstance(f.dataType, _FIXED_WIDTH) for f in base.schema.fields)
-        strategy = "rows" if narrow or estimated_bytes(base) < HASH_DEDUP_MIN_BYTES else "hash"
-    deduped = exact_dedup(base, cols) if strategy == "hash" else base.dropDuplicates(cols)
+    deduped = df.select(*cols).dropDuplicates(cols)
     # A wall-clock (NTZ) run timestamp: the same value whatever the session time zone.
     return deduped.withColumns({"_ingested_at": ntz_literal(run_ts), "_source": F.lit(source)})
 

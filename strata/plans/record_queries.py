@@ -378,7 +378,7 @@ def evidence(spark: SparkSession, data_dir: str) -> DataFrame:
 EVIDENCE_SQL = "SELECT " + ", ".join(_evidence_exprs(_K_DUCK, "hour(ts)")).replace("AS STRING", "AS VARCHAR") + " FROM events"
 
 
-def _score_sql_ctes() -> str:
+def _score_sql_ctes(flags: dict[str, str] | None = None) -> str:
     return (
         f"e AS ({EVIDENCE_SQL}), "
         f"k AS (SELECT *, {S.category_sql('description', 'task_type')} AS category, {S.kb_key_sql('kb_found')} AS kb_key, "
@@ -386,7 +386,7 @@ def _score_sql_ctes() -> str:
         f"k2 AS (SELECT *, {S.threshold_sql('category')} AS threshold FROM k), "
         f"j AS (SELECT k2.*, agreement.agreement_level, agreement.base_score FROM k2 LEFT JOIN {S.agreement_table_sql()} "
         "ON k2.kb_key = agreement.kb_key AND k2.mcp_key = agreement.mcp_key), "
-        f"s AS (SELECT *, {S.fold_sql('base_score', S.initial_flags())} AS final_score FROM j), "
+        f"s AS (SELECT *, {S.fold_sql('base_score', flags or S.initial_flags())} AS final_score FROM j), "
         f"d AS (SELECT *, {S.decide_sql('final_score', 'threshold', 'category', '0')} AS decision FROM s)"
     )
 
@@ -411,7 +411,7 @@ def q_score_decisions(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def _rounds_sql() -> str:
-    ctes = [_score_sql_ctes()]
+    ctes = [_score_sql_ctes(S.lookup_flags())]
     init = ", ".join(f"{v} AS {k}" for k, v in S.init_round_exprs())
     ctes.append(f"r0 AS (SELECT *, {init}, false AS _go FROM d)")
     prev = "r0"

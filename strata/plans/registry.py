@@ -9,6 +9,7 @@ the feature itself (top-k, failing-row samples).
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,17 +48,14 @@ def load(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, data_dir: str, names=TABLES) -> None:
-    """Temp views over the data folder, for SQL passthrough queries."""
-    for n in names:
-        load(spark, data_dir, n).createOrReplaceTempView(n)
+def register_views(spark: SparkSession, data_dir: str, statement: str | None = None) -> None:
+    """Temp views over the data folder for SQL passthrough: the tables a statement names, or all."""
+    for n in TABLES:
+        if statement is None or re.search(rf"\b{n}\b", statement):
+            load(spark, data_dir, n).createOrReplaceTempView(n)
 
 
 def all_queries() -> dict[str, tuple[QueryFn, str | None]]:
     for m in _MODULES:
-        try:
-            importlib.import_module(m)
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != m:
-                raise
+        importlib.import_module(m)
     return dict(REGISTRY)

@@ -114,7 +114,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
 def _register(key: str, spark_sql: str, duck_sql: str | None) -> None:
     @query(key, oracle=duck_sql or spark_sql)
     def _q(spark: SparkSession, data_dir: str, _sql: str = spark_sql) -> DataFrame:
-        register_views(spark, data_dir)
+        register_views(spark, data_dir, _sql)
         return run_query(spark, _sql)
 
     _q.__name__ = f"q_{key}"

@@ -189,7 +189,7 @@ def _virtual_files(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def _secret_oracle() -> str:
     name = "regexp_extract(path, '[^/]*$')"
-    keep = " AND ".join(f"NOT contains(path, '{d}')" for d in C.AUDIT_SKIP)
+    keep = " AND ".join(f"NOT contains(regexp_extract(path, '^(.*)/', 1), '{d}')" for d in C.AUDIT_SKIP)
     suffix = " OR ".join(f"ends_with({name}, '{s}')" for s in C.AUDIT_SUFFIXES)
     return (
         f"WITH f AS ({_FILES_SQL}), k AS (SELECT * FROM f WHERE {keep} AND ({suffix})) "

@@ -92,6 +92,8 @@ def shared_root(spark: SparkSession) -> str:
     if not configured:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Local runs and tests only: nothing names a shared folder.
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
     sc.setCheckpointDir(configured)
@@ -114,8 +116,3 @@ def local_path(path: str) -> str:
 
 def is_local_path(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:") or os.path.isabs(path)
-
-
-def estimated_bytes(df) -> int:
-    """Catalyst's size estimate of a plan (from file statistics); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -74,16 +74,6 @@ def test_medallion_flow_on_smoke_data(spark, data_dir):
     assert rep["lineitem"].checks_failed == 0
 
 
-def test_hash_dedup_equals_row_dedup(spark):
-    from strata.operators.dedup import exact_dedup
-
-    rows = [(1, "a", None), (1, "a", None), (2, None, [1.0]), (2, None, [1.0]), (3, "c", [2.0]), (4, "d", None)]
-    df = spark.createDataFrame(rows * 3, "k int, s string, v array<double>")
-    got = sorted(map(tuple, exact_dedup(df).collect()), key=repr)
-    want = sorted(map(tuple, df.dropDuplicates().collect()), key=repr)
-    assert got == want and len(got) == 4
-
-
 def test_demo_chain_generate_ingest_status_quality(spark, data_dir):
     """generate -> land as CSV -> three layers -> status -> quality sweep."""
     from pyspark.sql import functions as F
@@ -106,16 +96,6 @@ def test_demo_chain_generate_ingest_status_quality(spark, data_dir):
     assert all(r.passed for r in null_counts(gen).collect())
 
 
-def test_hash_and_row_strategies_agree_on_documents(spark, data_dir):
-    from strata.plans.medallion import dedup_with_audit
-
-    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
-    a = dedup_with_audit(docs, "documents", strategy="hash")
-    b = dedup_with_audit(docs, "documents", strategy="rows")
-    assert a.count() == b.count() == docs.distinct().count()
-    assert a.exceptAll(b).count() == 0
-
-
 def test_partitioned_layers_prune_folders(spark, data_dir):
     from pyspark.sql import functions as F
 

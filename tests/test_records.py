@@ -186,3 +186,22 @@ def test_file_manifest_skips_ignored_folders(spark):
             f.write(data)
     got = {r.path.split(root)[-1].lstrip("/"): r.sha256 for r in file_manifest(spark, root).collect()}
     assert got == {"a.md": hashlib.sha256(b"alpha").hexdigest(), "sub/b.py": hashlib.sha256(b"beta").hexdigest()}
+
+
+def _flagged_evidence(spark, **flags):
+    row = {"id": 1, "description": "run", "task_type": "run_query", "kb_found": True, "mcp_result": "agrees", "mcp_available": False,
+           "mcp_agrees": False, "mcp_fresh": False, "mcp_prod": False, "mcp_breaking": False, "web_found": False, "web_prod": False}
+    row |= {c: False for c in ("c_fresh", "c_stale", "c_breaking", "c_prod", "c_noex", "c_exact", "c_tangential", "c_multi")}
+    return spark.createDataFrame([row | flags])
+
+
+def test_conditions_count_without_a_pattern(spark):
+    from strata.operators.scoring import score
+
+    assert score(_flagged_evidence(spark, kb_found=False, c_prod=True)).first()["final_score"] == 0.90
+
+
+def test_lookup_pairs_exclude_each_other(spark):
+    from strata.operators.scoring import score_with_research
+
+    assert score_with_research(_flagged_evidence(spark, c_fresh=True, c_stale=True, c_breaking=True)).first()["final_score"] == 1.0
