@@ -111,13 +111,13 @@ def test_scoring_matrix_modifiers_and_decisions(spark):
     ev = _evidence(spark, [
         (1, "deploy auth service", "", True, "agrees", f, f, f, f, f, f, f, f),      # critical, high 0.95
         (2, "refactor module", "", True, "silent", True, f, f, True, f, f, f, f),   # standard, 0.75+0.05+0.05
-        (3, "hello", "", False, "silent", f, f, True, f, f, f, f, f),               # advisory, low 0.5 (kb flags ignored)
+        (3, "hello", "", False, "silent", f, f, True, f, f, f, f, f),               # advisory, low 0.5, breaking change -0.15
         (4, "migration plan", "", False, "disagrees", f, f, f, f, f, f, f, f),      # important, conflict 0.5
     ])
     got = {r.id: r for r in S.score(ev).collect()}
     assert (got[1].category, got[1].agreement_level, got[1].final_score, got[1].decision) == ("critical", "high", 0.95, "research")
     assert (got[2].category, got[2].final_score, got[2].decision) == ("standard", 0.85, "research")
-    assert (got[3].category, got[3].final_score, got[3].decision) == ("advisory", 0.5, "research")
+    assert (got[3].category, got[3].final_score, got[3].decision) == ("advisory", 0.35, "research")
     assert (got[4].category, got[4].agreement_level, got[4].decision) == ("important", "conflict", "ask_user")
 
 
