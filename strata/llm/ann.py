@@ -28,6 +28,7 @@ ORDERINGS = 8  #: curves
 WINDOW = 0.09  #: share of all rows that a window reaches to either side
 DIMS, BITS = 4, 12  #: of the projected cells; DIMS * BITS < 64
 BLOCK = 1024  #: rows a task scores at a time
+ASKING = 4096  #: queries that meet one copy of a block, about
 
 
 def valid_vector(col: Column) -> Column:
@@ -107,7 +108,8 @@ def _score(k: int):
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            orderings: int = ORDERINGS, window: float = WINDOW, dims: int = DIMS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+            orderings: int = ORDERINGS, window: float = WINDOW, dims: int = DIMS, bits: int = BITS, block: int = BLOCK,
+            asking_bound: int = ASKING) -> DataFrame:
     """The ``k`` rows with the largest inner product found for every query row.
 
     ``is_query`` is a condition on ``vec_id``. Returns query_id, rank (from 1),
@@ -146,7 +148,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     span = F.sequence(F.greatest(F.floor((F.col("pos") - reach) / block), F.lit(0)),
                       F.floor(F.least(F.col("pos") + reach, F.lit(max(total - 1, 0))) / block))
     meets = placed.where("asks").select("o", F.explode(span).alias("b"), "vec_id", "v").toDF("qo", "qb", "q", "v2")
-    found = blocks.groupBy("o", "b").cogroup(meets.groupBy("qo", "qb")).applyInArrow(_score(k + 1), "q long, c long, score double")
+    # a block met by many queries is copied, so that a task's queries stay bounded however many rows a window spans
+    copies = meets.groupBy("qo", "qb").agg(F.ceil(F.count(F.lit(1)) / asking_bound).cast("int").alias("copies"))
+    meets = meets.join(copies, ["qo", "qb"]).select("qo", "qb", F.expr("pmod(xxhash64(q), copies)").cast("int").alias("qpart"), "q", "v2")
+    blocks = blocks.join(copies.toDF("o", "b", "copies"), ["o", "b"])
+    blocks = blocks.select("o", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "vec_id", "v")
+    met = blocks.groupBy("o", "b", "part").cogroup(meets.groupBy("qo", "qb", "qpart"))
+    found = met.applyInArrow(_score(k + 1), "q long, c long, score double")
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
