@@ -4,8 +4,8 @@ Every vector is projected onto a few random directions, shifted and put in
 order along a Hilbert curve, several times over with other directions and
 shifts. Rows are range-partitioned by (ordering, key), numbered, and cut into
 blocks. A query meets the blocks that its window of neighbouring positions
-touches, scores all vectors there in double precision, and the best of all its
-windows are merged.
+touches, scores the vectors of the window there in double precision, and the
+best of all its windows are merged.
 
 Inner products become distances on a sphere by one more component,
 sqrt(largest squared norm - squared norm), so near keys mean large products
@@ -27,7 +27,7 @@ from strata.llm.hilbert import hilbert_keys
 ORDERINGS = 8  #: curves
 WINDOW = 0.09  #: share of all rows that a window reaches to either side
 DIMS, BITS = 4, 12  #: of the projected cells; DIMS * BITS < 64
-BLOCK = 1024  #: rows a task scores at a time
+BLOCK_BYTES = 16 << 20  #: of vectors in a block, which a task scores at a time
 ASKING = 4096  #: queries that meet one copy of a block, about
 
 
@@ -84,31 +84,42 @@ def _keys(biggest: float, orderings: int, dims: int, bits: int):
     return run
 
 
-def _score(k: int):
+def _score(k: int, reach: int, step: int = 64):
+    """The ``k`` best rows of a block for every query, among rows at most ``reach`` positions away."""
+
     def run(_, left, right):
         import numpy as np
         import pyarrow as pa
 
-        rows, queries = left.combine_chunks(), right.combine_chunks()
+        rows, queries = left.combine_chunks().sort_by("pos"), right.combine_chunks().sort_by("qpos")
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and queries.num_rows:
-            x, ids = _matrix(rows["v"].combine_chunks()), rows["vec_id"].to_numpy()
-            q, qids = _matrix(queries["v2"].combine_chunks()), queries["q"].to_numpy()
-            order = np.argsort(ids)  # so that equal scores keep the smaller ids
-            x, ids = x[order], ids[order]
+            x, ids, pos = _matrix(rows["v"].combine_chunks()), rows["vec_id"].to_numpy(), rows["pos"].to_numpy()
+            q, qids, qpos = _matrix(queries["v2"].combine_chunks()), queries["q"].to_numpy(), queries["qpos"].to_numpy()
             parts = []
-            for at in range(0, len(q), 512):
-                s = q[at:at + 512] @ x.T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                parts.append((np.repeat(qids[at:at + 512], best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-            out = [np.concatenate(p) for p in zip(*parts, strict=True)]
+            for at in range(0, len(q), step):
+                here = qpos[at:at + step]
+                lo, hi = np.searchsorted(pos, here[0] - reach), np.searchsorted(pos, here[-1] + reach, "right")
+                if lo == hi:
+                    continue
+                s = q[at:at + step] @ x[lo:hi].T
+                cut = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
+                who, which = np.nonzero(s >= cut[:, None])
+                score, c = s[who, which], ids[lo:hi][which]
+                order = np.lexsort((c, -score, who))  # ties at the cut: the smaller ids stay
+                who, score, c = who[order], score[order], c[order]
+                nth = np.arange(len(who)) - np.searchsorted(who, who)
+                best = nth < k
+                parts.append((qids[at:at + step][who[best]], c[best], score[best]))
+            if parts:
+                out = [np.concatenate(p) for p in zip(*parts, strict=True)]
         return pa.table({"q": pa.array(out[0], pa.int64()), "c": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     return run
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            orderings: int = ORDERINGS, window: float = WINDOW, dims: int = DIMS, bits: int = BITS, block: int = BLOCK,
+            orderings: int = ORDERINGS, window: float = WINDOW, dims: int = DIMS, bits: int = BITS, block: int | None = None,
             asking_bound: int = ASKING) -> DataFrame:
     """The ``k`` rows with the largest inner product found for every query row.
 
@@ -121,7 +132,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """
     spark = vectors.sparkSession
     d = save(usable(vectors, id_col, vector_col), "vectors")
-    top = d.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.count(F.lit(1)).alias("n")).collect()[0]
+    top = d.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("v")).alias("dim")).collect()[0]
     same = Window.partitionBy("v").orderBy("vec_id")
     members = d.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= k + 1)
     members = members.withColumn("rep", F.first("vec_id").over(same))
@@ -143,18 +154,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sizes = sizes.select("o", "p", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = placed.join(F.broadcast(sizes), ["o", "p"]).withColumn("pos", F.col("i") - F.col("first") + F.col("before"))
     total = classes.count()
+    if block is None:
+        block = max(BLOCK_BYTES // (8 * max(top["dim"] or 1, 1)), 1)
     reach = max(int(window * total), 2 * k)
-    blocks = placed.select("o", F.floor(F.col("pos") / block).alias("b"), "vec_id", "v")
+    blocks = placed.select("o", F.floor(F.col("pos") / block).alias("b"), "vec_id", "v", "pos")
     span = F.sequence(F.greatest(F.floor((F.col("pos") - reach) / block), F.lit(0)),
                       F.floor(F.least(F.col("pos") + reach, F.lit(max(total - 1, 0))) / block))
-    meets = placed.where("asks").select("o", F.explode(span).alias("b"), "vec_id", "v").toDF("qo", "qb", "q", "v2")
+    meets = placed.where("asks").select("o", F.explode(span).alias("b"), "vec_id", "v", "pos").toDF("qo", "qb", "q", "v2", "qpos")
     # a block met by many queries is copied, so that a task's queries stay bounded however many rows a window spans
     copies = meets.groupBy("qo", "qb").agg(F.ceil(F.count(F.lit(1)) / asking_bound).cast("int").alias("copies"))
-    meets = meets.join(copies, ["qo", "qb"]).select("qo", "qb", F.expr("pmod(xxhash64(q), copies)").cast("int").alias("qpart"), "q", "v2")
+    meets = meets.join(copies, ["qo", "qb"]).select("qo", "qb", F.expr("pmod(xxhash64(q), copies)").cast("int").alias("qpart"), "q", "v2", "qpos")
     blocks = blocks.join(copies.toDF("o", "b", "copies"), ["o", "b"])
-    blocks = blocks.select("o", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "vec_id", "v")
+    blocks = blocks.select("o", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "vec_id", "v", "pos")
     met = blocks.groupBy("o", "b", "part").cogroup(meets.groupBy("qo", "qb", "qpart"))
-    found = met.applyInArrow(_score(k + 1), "q long, c long, score double")
+    found = met.applyInArrow(_score(k + 1, reach), "q long, c long, score double")
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
