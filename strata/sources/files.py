@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.catalog import Lake, check_identifier
-from strata.session import tune_listing
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
@@ -77,39 +76,41 @@ def read_json(
     return reader.json(path)
 
 
-def read_any(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def read_any(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
+    """``options``: schema, multi_line and sampling_ratio of CSV and JSON."""
     if fmt == "csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, **options)
     if fmt == "json":
-        return read_json(spark, path)
+        return read_json(spark, path, **options)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported format: {fmt}")
 
 
 def ingest(lake: Lake, table: str, path: str, fmt: str, mode: str = "overwrite",
-           partition_by: list[str] | None = None) -> int:
+           partition_by: list[str] | None = None, **options) -> int:
     """Create-or-replace ``bronze.table`` from a file; returns the row count.
 
     ``partition_by`` lays the table out in folders (e.g. by ingest date), so
-    later filters on those columns prune whole folders.
+    later filters on those columns prune whole folders. ``options`` (schema,
+    multi_line, sampling_ratio) go to the CSV or JSON reader.
     """
     check_identifier(table)
-    df = read_any(lake.spark, path, fmt)
+    df = read_any(lake.spark, path, fmt, **options)
     return lake.write(df, "bronze", table, mode=mode, partition_by=partition_by)
 
 
-def ingest_csv(lake: Lake, table: str, path: str) -> int:
-    return ingest(lake, table, path, "csv")
+def ingest_csv(lake: Lake, table: str, path: str, **options) -> int:
+    return ingest(lake, table, path, "csv", **options)
 
 
-def ingest_json(lake: Lake, table: str, path: str) -> int:
-    return ingest(lake, table, path, "json")
+def ingest_json(lake: Lake, table: str, path: str, **options) -> int:
+    return ingest(lake, table, path, "json", **options)
 
 
-def ingest_strict(lake: Lake, table: str, path: str, fmt: str = "csv") -> int:
+def ingest_strict(lake: Lake, table: str, path: str, fmt: str = "csv", **options) -> int:
     """Like ``ingest`` but fails when the table already exists."""
-    return ingest(lake, table, path, fmt, mode="errorifexists")
+    return ingest(lake, table, path, fmt, mode="errorifexists", **options)
 
 
 _SUFFIXES = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
@@ -122,18 +123,22 @@ def ingest_all(lake: Lake, directory: str, max_parallel: int = 8,
     Files are ingested concurrently (one Spark job per file, submitted from a
     small driver thread pool), so many small files keep the executors busy.
     """
-    jobs: list[tuple[str, str, str]] = []
+    jobs: dict[str, list[tuple[str, str]]] = {}
     for name, full, _is_dir in list_files(lake.spark, directory):
         for suffix, fmt in _SUFFIXES.items():
             if name.endswith(suffix):
-                jobs.append((name[: -len(suffix)], full, fmt))
+                jobs.setdefault(name[: -len(suffix)], []).append((full, fmt))
     lake.prepare("bronze")
+
+    def of_table(stem: str) -> int:
+        # files of one stem replace each other in order: CSV, JSON, Parquet
+        rows = 0
+        for full, fmt in sorted(jobs[stem], key=lambda job: list(_SUFFIXES.values()).index(job[1])):
+            rows = ingest(lake, stem, full, fmt, "overwrite", (partition_by or {}).get(stem))
+        return rows
+
     with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(jobs) or 1))) as pool:
-        futures = {
-            stem: pool.submit(ingest, lake, stem, full, fmt, "overwrite", (partition_by or {}).get(stem))
-            for stem, full, fmt in jobs
-        }
-        return {stem: f.result() for stem, f in futures.items()}
+        return dict(zip(jobs, pool.map(of_table, jobs), strict=True))
 
 
 def export_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -145,26 +150,96 @@ def export_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
-# Folder names skipped when loading a document tree.
-SKIP_DIRS = (".venv", "__pycache__")
+# A path that holds one of these is not loaded as a document.
+SKIP_PATHS = (".venv", "__pycache__")
+# Names anywhere in a path, and paths from the root, that a manifest leaves out.
+IGNORED_NAMES = (".venv", "__pycache__", ".git", ".gitignore", ".mypy_cache", ".pytest_cache")
+IGNORED_FILES = ("uv.lock", ".harness_state.json", ".template-info.json")
+
+
+def _tree_tasks(pattern: str):
+    """Two task functions, self-contained so that executors need no copy of the package:
+    the files below each entry, and the contents of each file."""
+
+    def store_of(path):
+        from pyarrow import fs
+
+        scheme, colon, rest = path.partition(":")
+        if not colon or scheme == "file":
+            return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+        authority, _, key = rest.lstrip("/").partition("/")
+        store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+        return store, base.rstrip("/") + "/" + key
+
+    def below(batches):
+        from fnmatch import fnmatchcase
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            paths, rels = [], []
+            for path, name, is_dir in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = [""]
+                if is_dir:
+                    store, base = store_of(path)
+                    found = [f.path[len(base):] for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+                found = [f for f in found if fnmatchcase((name + f).rsplit("/", 1)[-1], pattern)]
+                paths += [path + f for f in found]
+                rels += [name + f for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rels, pa.string())], names=["path", "rel"])
+
+    def contents(batches):
+        import pyarrow as pa
+
+        limit = 16 << 20  # file contents handed over at a time
+
+        def rows(paths, raw):
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raw, pa.binary())], names=["path", "content"])
+
+        for batch in batches:
+            paths, raw, size = [], [], 0
+            for path in batch.column("path").to_pylist():
+                store, base = store_of(path)
+                with store.open_input_stream(base, compression=None) as f:
+                    raw.append(f.read())
+                paths.append(path)
+                size += len(raw[-1])
+                if size >= limit:
+                    yield rows(paths, raw)
+                    paths, raw, size = [], [], 0
+            yield rows(paths, raw)
+
+    return below, contents
+
+
+def _tree(spark: SparkSession, directory: str, pattern: str) -> tuple[DataFrame, object]:
+    """(path, rel) of every file below ``directory`` whose name matches, and the reading function.
+
+    No name is hidden: Spark's own file sources pass over names that start with
+    a dot or an underscore, so tasks list and read the tree themselves. The
+    driver lists the direct children only.
+    """
+    below, contents = _tree_tasks(pattern)
+    tops = [(full, name, is_dir) for name, full, is_dir in list_files(spark, directory)]
+    entries = spark.createDataFrame(tops, "path string, name string, is_dir boolean")
+    width = max(1, min(len(tops), 4 * spark.sparkContext.defaultParallelism))
+    return entries.repartition(width, "path").mapInArrow(below, "path string, rel string"), contents
 
 
 def load_documents(spark: SparkSession, directory: str, pattern: str = "*.md") -> DataFrame:
     """Recursive text-file load: one row per file (path, text).
 
-    Undecodable bytes are replaced (UTF-8 decoding of the text source), and
-    paths under ``.venv`` / ``__pycache__`` are skipped (Spark's file index
-    already hides names starting with '.' or '_'; the explicit filter also
-    covers sources listed some other way).
+    Bytes that are not UTF-8 are replaced. Files in hidden folders count; paths
+    that hold ``.venv`` or ``__pycache__`` do not. A folder that is not there
+    has no documents. Tasks read the files through pyarrow's file systems
+    (local, HDFS, S3, GCS).
     """
-    tune_listing(spark)
-    df = (
-        spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    )
-    for d in SKIP_DIRS:
-        df = df.where(~F.col("path").contains(f"/{d}/"))
-    return df
+    files, contents = _tree(spark, directory, pattern)
+    for part in SKIP_PATHS:
+        files = files.where(~F.col("path").contains(part))
+    read = files.repartition("path").mapInArrow(contents, "path string, content binary")
+    return read.select("path", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("text"))
 
 
 def write_documents(df: DataFrame, directory: str, key: str, text: str = "text") -> str:
@@ -203,18 +278,13 @@ def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def file_manifest(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """(path, sha256) of every file below ``directory`` (binary content)."""
-    tune_listing(spark)
-    df = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(directory)
-        .select(F.col("path"), F.sha2(F.col("content"), 256).alias("sha256"))
-    )
-    for d in (".venv", "__pycache__", ".git", ".mypy_cache", ".pytest_cache"):
-        df = df.where(~F.col("path").contains(f"/{d}/"))
-    return df
+    """(path, sha256) of every file below ``directory`` (binary content), hidden ones too,
+    without the ignored names and files."""
+    files, contents = _tree(spark, directory, pattern)
+    ignored = F.arrays_overlap(F.split("rel", "/"), F.array(*[F.lit(n) for n in IGNORED_NAMES]))
+    files = files.where(~ignored & ~F.col("rel").isin(*IGNORED_FILES))
+    read = files.repartition("path").mapInArrow(contents, "path string, content binary")
+    return read.select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def text_manifest(df: DataFrame, path_col: str, text_col: str) -> DataFrame:

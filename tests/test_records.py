@@ -176,16 +176,39 @@ def test_file_manifest_skips_ignored_folders(spark):
     import os
     import tempfile
 
-    from strata.sources.files import file_manifest
+    from strata.sources.files import file_manifest, load_documents
 
     root = tempfile.mkdtemp(prefix="strata-tree-")
-    files = {"a.md": b"alpha", "sub/b.py": b"beta", ".git/c": b"x", "__pycache__/d.pyc": b"y", "sub/.venv/e": b"z"}
+    kept = {"a.md": b"alpha", "sub/b.py": b"beta", ".env": b"e", "_posts/x y.md": b"\xffp", ".kb/c.md": b"k", "_config.yml": b"", "sub/uv.lock": b"l", ".gitlab-ci.yml": b"ci"}
+    files = kept | {".git/c": b"x", "__pycache__/d.pyc": b"y", "sub/.venv/e.md": b"z", ".gitignore": b"i", "uv.lock": b"u", ".template-info.json": b"t"}
     for rel, data in files.items():
         os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
         with open(os.path.join(root, rel), "wb") as f:
             f.write(data)
     got = {r.path.split(root)[-1].lstrip("/"): r.sha256 for r in file_manifest(spark, root).collect()}
-    assert got == {"a.md": hashlib.sha256(b"alpha").hexdigest(), "sub/b.py": hashlib.sha256(b"beta").hexdigest()}
+    assert got == {rel: hashlib.sha256(data).hexdigest() for rel, data in kept.items()}
+    docs = {r.path.split(root)[-1].lstrip("/"): r.text for r in load_documents(spark, root).collect()}
+    assert docs == {"a.md": "alpha", "_posts/x y.md": "\ufffdp", ".kb/c.md": "k"}
+    assert load_documents(spark, root + "/none").count() == 0
+
+
+def test_ingest_passes_options_and_equal_stems_replace_in_order(spark):
+    import os
+    import tempfile
+
+    from strata.catalog import Lake
+    from strata.session import scratch_path
+    from strata.sources.files import ingest_all, ingest_csv
+
+    root = tempfile.mkdtemp(prefix="strata-land-")
+    with open(os.path.join(root, "t.csv"), "w") as f:
+        f.write('a,b\n1,"x\ny"\n2,z\n')
+    lake = Lake(spark, scratch_path(spark, "lake"), prefix="stems")
+    assert ingest_csv(lake, "lines", os.path.join(root, "t.csv"), multi_line=True, schema="a INT, b STRING") == 2
+    with open(os.path.join(root, "t.json"), "w") as f:
+        f.write('{"c": 5}\n')
+    assert ingest_all(lake, root) == {"t": 1}
+    assert lake.table("bronze", "t").columns == ["c"]
 
 
 def _flagged_evidence(spark, **flags):
