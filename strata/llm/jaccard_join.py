@@ -232,10 +232,11 @@ def _cross_links(prefix: DataFrame, sets: DataFrame, component: DataFrame, perce
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     rows = save(rows.join(mixed, "token").select("token", "cid", "n", "at", "component"), "mixed")
     other = rows.toDF("token", "cid2", "n2", "at2", "component2")
-    near = rows.join(other, "token").where("cid < cid2 AND component <> component2")
-    # the first common token stands first in both; what follows it bounds the common tokens
-    near = near.groupBy("cid", "cid2", "n", "n2").agg(F.min("at").alias("at"), F.min("at2").alias("at2"))
-    near = near.where(f"least(n - at, n2 - at2) * {100 + percent} >= {percent} * (n + n2)").select(F.col("cid2").alias("cid"), F.col("cid").alias("leader"))
+    # the first common token stands first in both; what follows it bounds the common tokens.
+    # Later ones have a smaller bound, so a pair passes exactly if one of its rows does.
+    bound = f"least(n - at, n2 - at2) * {100 + percent} >= {percent} * (n + n2)"
+    near = rows.join(other, "token").where(f"cid < cid2 AND component <> component2 AND {bound}")
+    near = near.select(F.col("cid2").alias("cid"), F.col("cid").alias("leader")).distinct()
     return _compare(save(near, "near"), sets, percent, tuple(_ORDER[LEADERS:]))
 
 
