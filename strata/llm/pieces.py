@@ -3,7 +3,8 @@
 Texts are cut into words where no piece can cross: before a space mark that
 follows another character, and around characters that stand alone in every
 piece. Equal words of a run are encoded once; words of equal length advance
-together, one end position at a time. Hashes of all substrings probe the sorted
+together, one end position at a time, and a bounded number of words is
+remembered for the next runs. Hashes of all substrings probe the sorted
 keys of the pieces of that length, and the best candidate for each end position
 is kept by a vectorised maximum with its length as backpointer.
 
@@ -33,6 +34,7 @@ from strata.llm.words import mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RUN_CHARS = 1 << 21
 PAIRS = 1 << 20  #: remembered pairs of a task
+WORDS, WORD_CHARS = 1 << 18, 32  #: remembered words of a task, and their length at most
 SPACE = "▁"
 
 # Numbers of the public model format.
@@ -125,6 +127,8 @@ class Encoder:
         self.known = np.full(PAIRS, -1, np.int64)
         self.stable = np.zeros(PAIRS, bool)
         self.size = len(vocabulary.pieces)
+        self.byte_ids = np.array([vocabulary.bytes.get(b, vocabulary.unknown) for b in range(256)])
+        self.seen, self.seen_ids = np.zeros(0, np.uint64), []
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best pair, leftmost first, until none is left."""
@@ -217,17 +221,30 @@ class Encoder:
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
         """Characters without piece become their UTF-8 bytes' pieces, or unknown."""
-        if not (ids >= self.size).any():
+        wide = ids >= self.size
+        if not wide.any():
             return ids
-        out: list[int] = []
-        for i in ids.tolist():
-            if i < self.size:
-                out.append(i)
-            elif self.v.bytes:
-                out += [self.v.bytes[b] for b in chr(i - self.size).encode()]
-            elif not out or out[-1] != self.v.unknown:  # a run of unknown characters is one piece
-                out.append(self.v.unknown)
-        return np.array(out, np.int64)
+        if not self.v.bytes:  # a run of unknown characters is one piece
+            first = ~wide
+            first[:1] = True
+            first[1:] |= ~wide[:-1]
+            return np.where(wide, self.v.unknown, ids)[first]
+        codes = ids[wide] - self.size
+        count = np.ones(len(ids), np.int64)
+        count[wide] += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        out = np.repeat(ids, count)
+        raw = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+        out[np.repeat(wide, count)] = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        return out
+
+    def _remember(self, keys: np.ndarray, ids: list, new: np.ndarray) -> None:
+        """Keep the ids of new words for the next runs; a full memory starts anew."""
+        if len(self.seen) + len(new) > WORDS:
+            self.seen, self.seen_ids, new = self.seen[:0], [], new[:WORDS]
+        keys = np.concatenate([self.seen, keys[new]])
+        ids = self.seen_ids + [ids[r] for r in new.tolist()]
+        order = np.argsort(keys)
+        self.seen, self.seen_ids = keys[order], [ids[i] for i in order.tolist()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; memory for a run of texts or the longest one."""
@@ -263,15 +280,22 @@ class Encoder:
         up[:1] = 1
         place = np.arange(len(codes)) - np.repeat(starts, length)
         h = np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(up)[place], starts)
-        _, one, back = np.unique(mix(h + length.astype(np.uint64) * _BASE), return_index=True, return_inverse=True)
+        keys, one, back = np.unique(mix(h + length.astype(np.uint64) * _BASE), return_index=True, return_inverse=True)
         ids: list = [None] * len(one)
-        for n in np.unique(length[one]):
-            rows = np.flatnonzero(length[one] == n)
+        new = np.ones(len(one), bool)
+        if len(self.seen):
+            at = np.minimum(np.searchsorted(self.seen, keys), len(self.seen) - 1)
+            new = self.seen[at] != keys
+            for r in np.flatnonzero(~new).tolist():
+                ids[r] = self.seen_ids[at[r]]
+        for n in np.unique(length[one[new]]):
+            rows = np.flatnonzero(new & (length[one] == n))
             step = max(1, (1 << 18) // int(n))
             for k in range(0, len(rows), step):
                 part = rows[k:k + step]
                 for r, w in zip(part.tolist(), self.words(codes[starts[one[part]][:, None] + np.arange(n)]), strict=True):
                     ids[r] = w
+        self._remember(keys, ids, np.flatnonzero(new & (length[one] <= WORD_CHARS)))
         count = np.array([len(w) for w in ids])
         flat, at = np.concatenate(ids), np.cumsum(count) - count
         each = count[back]
