@@ -76,23 +76,24 @@ def table_sanity(df: DataFrame) -> DataFrame:
 
     An empty table yields no findings (nothing is all-NULL in zero rows).
     """
-    prof = profile(df)
-    findings = F.array(
-        F.when(
-            (F.col("nulls") == F.col("total_rows")) & (F.col("total_rows") > 0),
-            F.struct(F.lit("warning").alias("severity"), F.lit("All values are NULL").alias("message")),
-        ),
-        F.when(
-            (F.col("distinct_values") == 1) & (F.col("total_rows") > 1),
-            F.struct(
-                F.lit("info").alias("severity"),
-                F.lit("Only one distinct value - check if meaningful").alias("message"),
-            ),
-        ),
-    )
-    return prof.select("column_name", F.explode(F.filter(findings, lambda x: x.isNotNull())).alias("f")).select(
-        "column_name", "f.severity", "f.message"
-    )
+    cols = df.columns
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        # one distinct value: the smallest is the largest, so no distinct count is needed
+        one_value = (F.min(F.col(c)) == F.max(F.col(c))).alias(f"_same{i}")
+        aggs += [F.count(F.col(c)).alias(f"_some{i}"), one_value]
+    one = df.agg(*aggs)
+
+    def finding(name: str, severity: str, message: str):
+        return F.struct(F.lit(name).alias("column_name"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+
+    findings = []
+    for i, c in enumerate(cols):
+        findings += [
+            F.when((F.col(f"_some{i}") == 0) & (F.col("_rows") > 0), finding(c, "warning", "All values are NULL")),
+            F.when(F.col(f"_same{i}") & (F.col("_rows") > 1), finding(c, "info", "Only one distinct value - check if meaningful")),
+        ]
+    return one.select(F.inline(F.filter(F.array(*findings), lambda x: x.isNotNull())))
 
 
 # Short type names accepted in expected schemas, mapped to the
