@@ -1,13 +1,19 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance down the folders.
 
 Everything is DataFrame operations. Lines that mention a licence are taken from
-the whole texts, wherever they stand; equal lines are scored once. A file's own
-licence is the best template of its lines; a file without one takes that of the
-licence file in its nearest ancestor folder, found by joining folders.
+the whole texts, wherever they stand; equal lines are scored once. Besides, the
+words around every cue are scored in windows as long as a template, across line
+breaks and inside longer lines. A file's own licence is the best template of its
+lines and windows; a file without one takes that of the licence file in its
+nearest ancestor folder, found by joining folders.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import log, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +21,7 @@ from strata.llm.common import load, pick, save
 
 CUT = 0.6  #: cosine from which a line states a licence
 CUE = "licen[sc]e|copyright|copyleft|redistribut|public domain|permission is hereby|spdx"
+CUE_WORD = "licen[sc]|copyright|copyleft|redistribut|domain|permission|spdx"  #: every template holds one
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
 FILE = "(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 
@@ -74,10 +81,67 @@ def match_lines(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     return best.select("line", "b.license", (-F.col("b.s")).alias("score"))
 
 
+def _weighed(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float, list[tuple]]:
+    """Weights of the templates' words, the weight of any other word, and (license, length, norm, [(word, y)]) of each template.
+
+    A word's weight is ln((1 + licences) / (1 + licences with it)) + 1.
+    """
+    rows = [(name, re.findall(WORD, text.lower())) for name, text in templates]
+    names = {name for name, _ in rows}
+    df = Counter(w for _, w in {(name, w) for name, words in rows for w in words})
+    idf = {w: log((1 + len(names)) / (1 + n)) + 1 for w, n in df.items()}
+    out = []
+    for name, words in rows:
+        y = {w: n * idf[w] for w, n in Counter(words).items()}
+        out.append((name, len(words), sqrt(sum(v * v for v in y.values())), list(y.items())))
+    return idf, log(1 + len(names)) + 1, out
+
+
+def match_windows(d: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cut: float = CUT) -> DataFrame:
+    """(path, license, score) of every window of consecutive words that reaches ``cut``.
+
+    ``d`` is (path, text). A window holds a cue word and as many words as the
+    template (fewer only if the text has no more), so words beside a sentence do
+    not weigh, nor does the number of documents. A window belongs to its first cue.
+    """
+    if not templates:
+        return d.select("path", F.lit("").alias("license"), F.lit(0.0).alias("score")).where("false")
+    idf, other, known = _weighed(templates)
+    longest = max(n for _, n, _, _ in known)
+    words = d.where(F.col("text").rlike(f"(?i){CUE_WORD}")).select("path", _words(F.col("text")).alias("words"))
+    words = save(words, "texts")  # so that no lambda below splits a text again
+    cues = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CUE_WORD), i)), lambda i: i.isNotNull())
+    cues = save(words.withColumn("cues", cues), "cues")
+
+    def around(cue, j):
+        first = F.greatest(F.when(j > 0, F.get("cues", j - 1) + 1).otherwise(0), cue - (longest - 1))
+        return F.named_struct(F.lit("head"), first == 0, F.lit("at"), cue - first, F.lit("words"), F.slice("words", first + 1, cue - first + longest))
+
+    near = save(cues.select("path", F.inline(F.transform("cues", around))), "near")
+    weights = F.create_map(*[F.lit(v) for pair in idf.items() for v in pair])
+    weighed = F.transform("words", lambda w: F.named_struct(F.lit("w"), w, F.lit("x"), F.coalesce(F.try_element_at(weights, w), F.lit(other))))
+    t = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("k"), F.lit(norm).alias("norm_t"),
+                           F.array(*[F.struct(F.lit(w).alias("w"), F.lit(v).alias("y")) for w, v in y]).alias("y")) for name, n, norm, y in known])
+    pairs = near.select("path", "head", "at", weighed.alias("words"), F.inline(t))
+
+    def total(column, value):
+        return F.aggregate(column, F.lit(0.0), lambda a, v: a + value(v))
+
+    def cosine(v, y):
+        dot = total(v, lambda p: p["x"] * total(y, lambda q: F.when(q["w"] == p["w"], q["y"]).otherwise(0.0)))
+        norm = total(v, lambda p: p["x"] * p["x"] * total(v, lambda q: F.when(q["w"] == p["w"], 1.0).otherwise(0.0)))
+        return F.round(dot / F.sqrt(norm) / F.col("norm_t"), 6)
+
+    starts = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k") + 1), F.greatest(F.lit(0), F.least(F.col("at"), F.size("words") - F.col("k"))))
+    windows = F.filter(F.transform(starts, lambda i: F.slice("words", i + 1, F.col("k"))), lambda v: (F.size(v) == F.col("k")) | F.col("head"))
+    scored = pairs.select("path", "license", F.array_max(F.transform(windows, lambda v: cosine(v, F.col("y")))).alias("score"))
+    return scored.where(F.col("score") >= cut)
+
+
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, cut: float = CUT) -> DataFrame:
     """Licence of every path: path, license, score, origin, licensed_by.
 
-    origin is ``own`` (the file's best line), ``inherited`` (from the licence
+    origin is ``own`` (the file's best line or window), ``inherited`` (from the licence
     file licensed_by in the nearest ancestor folder, its own folder included;
     of several there the first by path) or ``none``. Null texts state nothing;
     rows without a path are left out; rows with one path count as one file. An
@@ -88,7 +152,8 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     lines = d.where(F.col("text").rlike(f"(?i){CUE}")).select("path", F.explode(F.split("text", "\n")).alias("l")).select("path", line.alias("line"))
     lines = save(lines.where(F.col("line").rlike(CUE)), "lines")
     matched = save(match_lines(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), templates, cut), "matched")
-    own = lines.join(matched, "line").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    found = lines.join(matched, "line").select("path", "license", "score").unionByName(match_windows(d, templates, cut))
+    own = found.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     own = save(own.select("path", "b.license", (-F.col("b.s")).alias("score")), "own")
 
     parts = F.split("path", "/")

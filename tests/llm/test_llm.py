@@ -257,6 +257,27 @@ def test_licenses(spark):
     assert scan_licenses(empty(df)).count() == 0
 
 
+def test_licenses_inside_lines_and_across_them(spark):
+    from strata.llm.licenses import scan_licenses
+
+    filler = " ".join(f"word{i}" for i in range(300))
+    rows = [("in_line", "Copyright 2021 Acme Corporation. Licensed under the Apache License, Version 2.0."),
+            ("long_line", f"{filler} Licensed under the Apache License, Version 2.0. {filler}"),
+            ("wrapped", f"# {filler}\n# This work is licensed under the GNU General\n# Public License,\n# version 3.\n# {filler}"),
+            ("split", "This work is licensed under the GNU General Public License,\nversion 3."),
+            ("isc/LICENSE", "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"),
+            ("isc/x.c", "int x;"),
+            ("affero", f"{filler} and this work is licensed under the GNU Affero General Public License, version 3. Then {filler}"),
+            ("other", "The words were released under the bsd license"), ("talk", f"{filler} the license, permission of the domain and its copyright {filler}")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["license"], r["origin"]) for r in scan_licenses(df).collect()}
+    assert got == {"in_line": ("Apache-2.0", "own"), "long_line": ("Apache-2.0", "own"), "wrapped": ("GPL-3.0", "own"), "split": ("GPL-3.0", "own"),
+                   "isc/LICENSE": ("ISC", "own"), "isc/x.c": ("ISC", "inherited"), "affero": ("AGPL-3.0", "own"), "other": (None, "none"), "talk": (None, "none")}
+    plain = spark.createDataFrame([(f"p{i}", f"a copyright line {i}") for i in range(1000)], "path string, text string")
+    again = {r["path"]: (r["license"], r["origin"]) for r in scan_licenses(df.unionByName(plain)).collect()}
+    assert {k: again[k] for k in got if k != "other"} == {k: v for k, v in got.items() if k != "other"}  # lines are weighed by the corpus, windows are not
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
 
