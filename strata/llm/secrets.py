@@ -1,8 +1,10 @@
 """Secret scans with a random forest against false positives.
 
 Candidates are runs of letters, digits and + / _ - in the whole text: 12 bytes
-or more with a digit, 16 or more in capitals, or 8 or more right after an
-assignment. A forest judges
+or more with a digit, 16 or more in capitals, or 8 or more after an assignment;
+besides, the whole quoted or blank-delimited value of 8 bytes or more assigned to
+a secret-like name, and whole web tokens. What lies inside a whole value is left
+to that value, unless the value is no secret. A forest judges
 each by its length, its character mix and transitions (against transition
 counts over all documents), how much of it dictionary words cover, its path and
 the words beside it. It is trained on labelled findings, a table of (before,
@@ -46,21 +48,81 @@ _SYMBOL[0x61:0x7B] = _SYMBOL[0x41:0x5B] = np.arange(26)
 _SYMBOL[_DIGIT] = 26
 _ASSIGN = re.compile(rb"""([=:]|=>)\s*["'`]?$""")
 _WORD = re.compile(r"[a-z][a-z0-9_-]*")
+_UNLIKE = ("author ", "author_", "authors", "authored", "authority", "keyword", "keyboard", "keynote", "monkey", "donkey", "turkey", "hockey", "journey")  #: words that only look like SECRET_WORDS
+_NAME = re.compile(rb"""([A-Za-z0-9_-]+)["'`\]]*\s*(?::\s*\w+\s*|[:=])?\Z""")
+_VALUE = re.compile(rb"""[ \t]*(?:(?:bearer|basic|token)[ \t]+)?(?:"((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|`([^`\r\n]+)`|([^\s"'`]\S*))""", re.IGNORECASE)
+_TAIL = b"\"'`,;)]}>."  #: what ends a blank-delimited value without being part of it
+_WEB_TOKEN = re.compile(rb"(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9+/_-]*")
+
+
+def _speaks(word: str) -> bool:
+    return any(w in word for w in SECRET_WORDS) and not any(w in word + " " for w in _UNLIKE)
+
+
+def _values(data: np.ndarray, off: np.ndarray):
+    """Starts, ends and text numbers of whole web tokens and of whole values assigned to a secret-like name; none overlap.
+
+    Of an assignment inside a blank-delimited value the inner value counts, otherwise the outer.
+    """
+    raw, found = data.tobytes(), []
+    signs = np.flatnonzero((data == 0x3D) | (data == 0x3A))
+    for s, d in zip(signs.tolist(), (np.searchsorted(off, signs, "right") - 1).tolist(), strict=True):
+        lo, hi = int(off[d]), int(off[d + 1])
+        name = _NAME.search(raw, max(lo, s - NEAR), s)
+        if name is None or not _speaks(name[1].decode().lower()):
+            continue
+        value = _VALUE.match(raw, s + 2 if raw[s:min(s + 2, hi)] == b"=>" else s + 1, hi)
+        if value is not None:
+            start, end = value.span(value.lastindex)
+            if value.lastindex == 4:
+                end = start + len(raw[start:end].rstrip(_TAIL))
+            if end - start >= ASSIGNED:
+                found.append((start, -end, d, value.lastindex == 4, True))
+    for m in _WEB_TOKEN.finditer(raw):
+        d = int(np.searchsorted(off, m.start(), "right")) - 1
+        whole = _WEB_TOKEN.match(raw, m.start(), int(off[d + 1]))
+        if whole is not None:
+            found.append((m.start(), -whole.end(), d, False, False))
+    out, last = [], 0
+    open_ended = False
+    for start, end, d, bare, named in sorted(found):
+        if start < last and open_ended and named:  # an assignment inside a blank-delimited value: its own value counts
+            out.pop()
+        elif start < last:
+            continue
+        out.append((start, -end, d))
+        last, open_ended = -end, bare
+    return np.array(out, np.int64).reshape(-1, 3).T
 
 
 def candidates(data: np.ndarray, off: np.ndarray):
-    """Starts, ends and text numbers of the runs worth judging."""
+    """Starts, ends and text numbers of what is worth judging, in order, and the number of the whole value that a run lies in (-1: none)."""
     starts, ends, doc = spans(_TOKEN[data], off)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     length, some = ends - starts, digits[ends] > digits[starts]
-    before = np.where(starts > 0, data[np.maximum(starts - 1, 0)], 0)
-    quoted = np.isin(before, np.frombuffer(b"\"'`", np.uint8))
-    behind = np.where(quoted, data[np.maximum(starts - 2, 0)], before)
-    assigned = np.isin(behind, np.frombuffer(b"=: ", np.uint8)) & quoted | np.isin(before, np.frombuffer(b"=:", np.uint8))
+    blank = np.isin(data, np.frombuffer(b" \t\r\n\v\f", np.uint8))
+    solid = np.maximum.accumulate(np.where(blank, -1, np.arange(len(data))))  # the last byte here or before that is not blank
+
+    def byte(at):
+        return np.where(at >= off[doc], data[np.maximum(at, 0)], 0) if len(data) else at
+
+    quoted = np.isin(byte(starts - 1), np.frombuffer(b"\"'`", np.uint8))
+    behind = starts - 1 - quoted
+    sign = np.where(behind >= 0, solid[np.maximum(behind, 0)], -1) if len(data) else behind
+    assigned = np.isin(byte(sign), np.frombuffer(b"=:", np.uint8)) | (byte(sign) == 0x3E) & (byte(sign - 1) == 0x3D) | quoted & (byte(behind) == 0x20)
     small = np.concatenate([[0], np.cumsum((data >= 0x61) & (data <= 0x7A))])
     capitals = (small[ends] == small[starts]) & (length >= CAPITALS)
     keep = (length >= LONG) & some | capitals | (length >= ASSIGNED) & assigned
-    return starts[keep], ends[keep], doc[keep]
+    starts, ends, doc = starts[keep], ends[keep], doc[keep]
+    first, last, text = _values(data, off)
+    place = np.searchsorted(first, starts, "right") - 1
+    within = (place >= 0) & (ends <= last[place]) if len(first) else np.zeros(len(starts), bool)
+    same = within & (starts == first[place]) & (ends == last[place]) if len(first) else within
+    starts, ends, doc, inner = np.concatenate([first, starts[~same]]), np.concatenate([last, ends[~same]]), np.concatenate([text, doc[~same]]), np.where(within, place, -1)[~same]
+    order = np.lexsort((-ends, starts))
+    at = np.argsort(order)  # where each value has gone
+    inner = np.concatenate([np.full(len(first), -1), np.where(inner >= 0, at[np.maximum(inner, 0)], -1) if len(first) else inner])
+    return starts[order], ends[order], doc[order], inner[order]
 
 
 FEATURES = ["length", "digits", "upper", "lower", "hex", "base64", "classes", "entropy", "transition", "dictionary", "assigned", "quoted",
@@ -89,7 +151,7 @@ def describe(before: bytes, value: bytes, after: bytes, path: str, logs: np.ndar
     left = before.decode("utf-8", "ignore").lower()
     near = _WORD.findall(left)[-2:]
     assigned = bool(_ASSIGN.search(before))
-    speaks = any(w in x for x in near[-2:] for w in SECRET_WORDS)
+    speaks = any(_speaks(x) for x in near)
     others = any(x == w or x.startswith(w + "_") for x in near for w in OTHER_WORDS)
     hexed = all(c in "0123456789abcdef" for c in low)
     return [len(v), digits / n, upper / n, lower / n, hexed, bool(re.fullmatch(r"[A-Za-z0-9+/_-]+", text)) and not hexed, changes, entropy, step,
@@ -142,6 +204,30 @@ def labelled_findings(seed: int = 8, each: int = 60) -> list[tuple[bytes, bytes,
         ]
         out += [(f"{prose()}{p}".encode(), v.encode(), f"{q} {prose()}".encode(), str(rng.choice(places)), 1) for p, v, q in true]
         out += [(f"{prose()}{p}".encode(), v.encode(), f"{q} {prose()}".encode(), str(rng.choice(places + tests)), 0) for p, v, q in false]
+    letters += lower
+    for _ in range(each):  # whole values
+        sign, quote = rng.choice(["=", " = ", ": ", ":"]), rng.choice(['"', "'", ""])
+        name = rng.choice(["password", "passwd", "pwd", "db_password", "secret", "client_secret"])
+        key = rng.choice(["token", "api_key", "apikey", "auth_token", "access_key", "private_key", "secret_key", "api-key"])
+        a, b = word(6), word(5)
+        web = f"eyJ{draw(letters, 17)}.eyJ{draw(letters, int(rng.integers(20, 90)))}.{draw(mixed.replace('+', '').replace('/', ''), 43)}"
+        true = [
+            (f" {name}{sign}{quote}", draw(mixed, int(rng.integers(3, 10))) + draw("!@#$%^&*.~?", int(rng.integers(1, 4))) + draw(letters, int(rng.integers(4, 9))), quote),
+            (f" {name}{sign}{quote}", f"{a}{draw('0123456789', int(rng.integers(1, 4)))}{word(3)}{draw('!@#$.', int(rng.integers(0, 2)))}", quote),
+            (f" {name}{sign}{quote}", a[:2].title() + draw("0123456789", 1) + b + draw("0123456789", 1) + word(3), quote),
+            (f" {name}{sign}{quote}", f"{a}{b}{word(int(rng.integers(3, 9)))}", quote), (f' {name}{sign}"', f"{a} {b} {word(6)} {word(5)}", '"'),
+            (f" {key}{sign}{quote}", draw(letters, int(rng.integers(16, 41))), quote), (f" {key}{sign}{quote}", web, quote), (" ", web, " "), (" authorization: bearer ", web, " "),
+        ]
+        false = [
+            (f" {name}{sign}", str(rng.choice(["os.environ[\"DB_PASSWORD\"]", "getenv('SECRET')", f"get_{a}()", f"config.{a}", f"self.{a}.{b}", f"user.{a}.strip()"])), ""),
+            (f" {key}{sign}", str(rng.choice(["os.environ.get(\"TOKEN\")", f"{a}.{b}_token", f"get_{a}({b})", f"request.headers.{a}", f"new {a}()"])), ""),
+            (f" {name}{sign}{quote}", str(rng.choice(["${DB_PASSWORD}", "${SECRET}", "<your-password>", "{{password}}", "********", "%(password)s", "$PASSWORD"])), quote),
+            (f" {key}{sign}{quote}", str(rng.choice(["${API_KEY}", "<your-token>", "{{token}}", "****************", "%(token)s", f"https://{a}.com/{b}/{word(5)}"])), quote),
+            (f" {rng.choice(['author', 'keyword', 'keyboard', 'title', 'note', word(5)])}{sign}{quote}", word(int(rng.integers(8, 20))), quote),
+            (f" {rng.choice(['secret', 'key', 'token'])}: ", word(int(rng.integers(8, 11))), ""),
+        ]
+        out += [(f"{prose()}{p}".encode(), v.encode(), f"{q} {prose()}".encode(), str(rng.choice(places)), 1) for p, v, q in true]
+        out += [(f"{prose()}{p}".encode(), v.encode(), f"{q} {prose()}".encode(), str(rng.choice(places + tests)), 0) for p, v, q in false]
     return out
 
 
@@ -188,15 +274,17 @@ def train(logs: np.ndarray, findings=None) -> Forest:
     return Forest(x, np.array([y for *_, y in rows], float))
 
 
-def _judge(forest: Forest, logs: np.ndarray, column, paths: list):
-    """(text number, start, length, score) of all candidates, starts counted in bytes of the text."""
+def _judge(forest: Forest, logs: np.ndarray, column, paths: list, cut: float):
+    """(text number, start, length, score) of all candidates but those inside a secret value, starts counted in bytes of the text."""
     data, off = flat(column)
     for first, last in runs(off):
         base, part, o = off[first], data[off[first]:off[last]], off[first:last + 1] - off[first]
-        starts, ends, doc = candidates(part, o)
+        starts, ends, doc, inner = candidates(part, o)
         x = np.array([describe(part[max(o[d], s - NEAR):s].tobytes(), part[s:e].tobytes(), part[e:min(o[d + 1], e + NEAR)].tobytes(), paths[first + d] or "", logs)
                       for s, e, d in zip(starts, ends, doc, strict=True)], float).reshape(-1, len(FEATURES))
         score = forest.score(x)
+        own = np.array([i < 0 or score[i] < cut for i in inner.tolist()], bool)
+        starts, ends, doc, score = starts[own], ends[own], doc[own], score[own]
         for s, e, d, p in zip(starts.tolist(), ends.tolist(), doc.tolist(), score.tolist(), strict=True):
             yield first + d, int(s + base - off[first + d]), int(e - s), p
 
@@ -205,7 +293,7 @@ def _scan(forest, logs, cut):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            found = list(_judge(forest, logs, batch.column("text"), batch.column("path").to_pylist()))
+            found = list(_judge(forest, logs, batch.column("text"), batch.column("path").to_pylist(), cut))
             doc, start, length, score = [list(c) for c in zip(*found, strict=True)] if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(score, pa.float64()),
@@ -218,7 +306,7 @@ def _mask(forest, logs, cut, mask: bytes):
     def run(batches):
         for batch in batches:
             spots: dict[int, list] = {}
-            for doc, start, length, score in _judge(forest, logs, batch.column("text"), batch.column("path").to_pylist()):
+            for doc, start, length, score in _judge(forest, logs, batch.column("text"), batch.column("path").to_pylist(), cut):
                 if score >= cut:
                     spots.setdefault(doc, []).append((start, length))
             texts = batch.column("text").to_pylist()
