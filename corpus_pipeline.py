@@ -7,7 +7,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import load, pick, save
@@ -32,12 +32,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without doc_id stay."""
+    """The row with the smallest doc_id of each group of texts; rows without doc_id stay.
+
+    Every row is judged by its own text, also where others share its doc_id. Of
+    rows with one doc_id the first by text, lang, source and n_chars stays; texts
+    without words group with equal rows of their doc_id only.
+    """
     d = pick(docs, *COLUMNS)
-    kept = near_duplicate_texts(d).where("doc_id = component_id").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    named = d.join(kept, "doc_id").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return named.select(*COLUMNS).unionByName(d.where("doc_id IS NULL"))
+    rows = save(d.where("doc_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "rows")
+    judged = save(near_duplicate_texts(rows, id_col="row").toDF("row", "n_shingles", "group"), "groups")
+    least = rows.select("row", "doc_id").join(judged.where("n_shingles > 0"), "row").select("row", "doc_id", "group")
+    least = save(least.join(least.groupBy("group").agg(F.min("doc_id").alias("doc_id")), ["group", "doc_id"]), "least")
+    sized = least.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("row"))
+    kept = sized.where("size = 1").select("row")
+    ties = sized.where("size > 1").select("group")
+    if ties.limit(1).count():  # rows of one group and one doc_id: the first by text
+        order = F.struct("text", "lang", "source", "n_chars", "row")
+        kept = kept.unionByName(rows.join(least.join(ties, "group").select("row", "group"), "row").groupBy("group").agg(F.min(order).alias("x")).select("x.row"))
+    wordless = rows.where(F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).join(judged.where("n_shingles = 0").select("row"), "row")
+    wordless = wordless.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars", "row")).alias("x")).select("x.row")
+    kept = save(kept.unionByName(wordless), "kept")
+    return rows.join(kept, "row").select(*COLUMNS).unionByName(d.where("doc_id IS NULL"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

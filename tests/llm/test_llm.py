@@ -308,3 +308,14 @@ def test_pipeline_stages(spark, docs):
     assert third.columns == fourth.columns == p.COLUMNS and {r["doc_id"] for r in fourth.collect()} <= kept
     last = p.tokens(spark, fourth, "")
     assert last.where("n_tokens > 0").count() == fourth.count()
+
+
+def test_pipeline_near_duplicates_of_shared_ids(spark):
+    import corpus_pipeline as p
+
+    t = texts()
+    rows = [(1, t[4], "a"), (1, t[5], "a"), (2, t[5], "b"), (3, t[6], "c"), (3, t[7], "c"), (3, t[7], "c"), (4, t[6], "d"), (5, t[7], "e"), (6, None, "f"), (6, None, "f"), (6, " ", "f"),
+            (7, t[8], None), (None, t[8], "g")]
+    df = spark.createDataFrame([(i, x, "en", s, len(x or "")) for i, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, t[4]), (1, t[5]), (3, t[6]), (3, t[7]), (6, None), (6, " "), (7, t[8]), (None, t[8])], key=str)
