@@ -10,6 +10,7 @@ from __future__ import annotations
 from strata.llm.ann import op1_hilbert_neighbours
 from strata.llm.jaccard_join import op5_ngram_jaccard_join
 from strata.llm.language import op9_language_id
+from strata.llm.lexical import SEARCH_SQL, op13_lexical_search
 from strata.llm.licenses import LICENSE_SQL, op7_license_scan
 from strata.llm.mixing import op8_source_mixing
 from strata.llm.pieces import op6_sentencepiece
@@ -29,4 +30,5 @@ QUERIES = {
     "op8_source_mixing": (op8_source_mixing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_secret_scan": (op10_secret_scan, None),
+    "op13_lexical_search": (op13_lexical_search, SEARCH_SQL),
 }
