@@ -18,6 +18,7 @@ from strata.llm.quality import op2_rule_quality
 from strata.llm.secrets import op10_secret_scan
 from strata.llm.suffix_dedup import op4_suffix_dedup
 from strata.llm.vectors_dedup import op3_vector_near_duplicates
+from strata.llm.word_runs import op11_word_runs
 
 QUERIES = {
     "op1_hilbert_neighbours": (op1_hilbert_neighbours, None),
@@ -30,5 +31,6 @@ QUERIES = {
     "op8_source_mixing": (op8_source_mixing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_secret_scan": (op10_secret_scan, None),
+    "op11_word_runs": (op11_word_runs, None),
     "op13_lexical_search": (op13_lexical_search, SEARCH_SQL),
 }
