@@ -17,6 +17,7 @@ from strata.llm.pieces import op6_sentencepiece
 from strata.llm.quality import op2_rule_quality
 from strata.llm.secrets import op10_secret_scan
 from strata.llm.suffix_dedup import op4_suffix_dedup
+from strata.llm.url_models import op12_url_filter
 from strata.llm.vectors_dedup import op3_vector_near_duplicates
 from strata.llm.word_runs import op11_word_runs
 
@@ -32,5 +33,6 @@ QUERIES = {
     "op9_language_id": (op9_language_id, None),
     "op10_secret_scan": (op10_secret_scan, None),
     "op11_word_runs": (op11_word_runs, None),
+    "op12_url_filter": (op12_url_filter, None),
     "op13_lexical_search": (op13_lexical_search, SEARCH_SQL),
 }
