@@ -76,11 +76,14 @@ def classify_results(
     error: str = "error",
     rows: str = "rows",
     table: str = "table_name",
+    details: tuple[str, ...] = ("view", "report", "description"),
 ) -> DataFrame:
     """Learning records from task results; results of unknown task types are dropped.
 
-    Result fields are nullable columns: ``error`` (message), ``rows`` (count)
-    and ``table_name``; a NULL means the field is absent from the result.
+    Result fields are nullable columns: ``error`` (message), ``rows`` (count),
+    ``table_name`` and ``details`` (further fields of the body, in this order,
+    where ``results`` has them); a NULL means the field is absent from the
+    result. Every field of a body is cut at 300 characters.
     """
     tt, ag, er, rw, tb = F.col(task_type), F.col(agent_type), F.col(error), F.col(rows), F.col(table)
     title = (
@@ -98,6 +101,7 @@ def classify_results(
             F.concat(F.lit("Agent: "), ag),
             F.when(rw.isNotNull(), F.concat(F.lit("rows: "), F.substring(rw.cast("string"), 1, 300))),
             F.when(tb.isNotNull(), F.concat(F.lit("table: "), F.substring(tb, 1, 300))),
+            *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.substring(F.col(c), 1, 300))) for c in details if c in results.columns],
         )
     )
     confidence = (
@@ -145,9 +149,18 @@ def counts_by_axes(records: DataFrame) -> DataFrame:
     return out.where(~((F.col("axis") == "domain") & (F.coalesce(F.col("key"), F.lit("")) == "")))
 
 
-def counts_by_project(records: DataFrame) -> DataFrame:
-    """Harvested records per project plus a total row (project NULL)."""
-    return records.rollup("project_name").agg(F.count(F.lit(1)).alias("harvested"))
+def counts_by_project(records: DataFrame, registry: DataFrame, applied: Column) -> DataFrame:
+    """Status per project plus a total row (project NULL).
+
+    registered and active count projects of ``registry`` (project_name, status;
+    one row each), harvested the project's records, applied those for which
+    ``applied`` holds. Projects without records, and records without a
+    registered project, have rows too.
+    """
+    per = records.groupBy("project_name").agg(F.count(F.lit(1)).alias("harvested"), F.count_if(applied).alias("applied"))
+    known = registry.groupBy("project_name").agg(F.lit(1).alias("registered"), F.max((F.col("status") == "active").cast("int")).alias("active"))
+    per = known.join(per, "project_name", "full")
+    return per.rollup("project_name").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("registered", "active", "harvested", "applied")])
 
 
 def prune(records: DataFrame, applied_ids: DataFrame, key: str = "id") -> DataFrame:
@@ -183,15 +196,56 @@ def harvest(records: DataFrame, registry: DataFrame) -> DataFrame:
     return j.where(F.col("last_harvest").isNull() | (F.col("ts") >= F.col("last_harvest"))).drop("last_harvest")
 
 
-def new_watermarks(harvested: DataFrame) -> DataFrame:
-    """Watermark = latest harvested timestamp per project; boundary rows are re-upserted."""
-    return harvested.groupBy("project_name").agg(
-        F.max("ts").alias("last_harvest"), F.count(F.lit(1)).alias("learning_count")
-    )
+def new_watermarks(harvested: DataFrame, records: DataFrame, marks: DataFrame) -> DataFrame:
+    """(project_name, last_harvest, learning_count) after a harvest of ``records``.
+
+    last_harvest is the latest harvested timestamp, or the old mark where
+    nothing new came; rows at the mark are harvested again and merged away.
+    learning_count is the number of all the project's records, not of the new ones.
+    """
+    latest = harvested.groupBy("project_name").agg(F.max("ts").alias("latest"))
+    total = records.groupBy("project_name").agg(F.count(F.lit(1)).alias("learning_count"))
+    old = marks.select("project_name", F.col("last_harvest").alias("old"))
+    out = latest.join(total, "project_name", "left").join(old, "project_name", "left")
+    return out.select("project_name", F.greatest("latest", "old").alias("last_harvest"), F.coalesce("learning_count", F.lit(0)).cast("long").alias("learning_count"))
 
 
-def apply_plan(records: DataFrame) -> DataFrame:
-    """Dry-run plan: one row per record in the four applied categories."""
+WATERMARK_SCHEMA = T.StructType(
+    [
+        T.StructField("project_name", T.StringType()),
+        T.StructField("last_harvest", T.TimestampNTZType()),
+        T.StructField("learning_count", T.LongType()),
+        T.StructField("harvest_no", T.LongType()),
+    ]
+)
+
+
+def harvest_into(records: DataFrame, registry: DataFrame, store, marks) -> dict:
+    """Harvest the records of active projects since their stored watermarks into a stored table.
+
+    ``store`` (records, keyed) and ``marks`` (``WATERMARK_SCHEMA``, keyed by
+    project) are versioned stores. Records are published before watermarks: a
+    job lost in between harvests some records again, which changes nothing. A
+    harvest without new records publishes no version of the records. Returns
+    the store's version and the numbers of added and changed records.
+    """
+    active = registry.where(F.col("status") == "active").select("project_name", "status")
+    old = marks.read()
+    due = harvest(records, active.join(old.select("project_name", "last_harvest"), "project_name", "left"))
+    result = store.merge(due, "ts")
+    new = new_watermarks(due, records, old).join(old.select("project_name", F.col("last_harvest").alias("_t"), F.col("learning_count").alias("_n")), "project_name", "left")
+    new = new.where(~(F.col("last_harvest").eqNullSafe(F.col("_t")) & F.col("learning_count").eqNullSafe(F.col("_n")))).drop("_t", "_n")
+    marks.merge(new.withColumn("harvest_no", F.lit(marks.version() + 1).cast("long")), "harvest_no")
+    return result
+
+
+def apply_plan(records: DataFrame, min_confidence: float | None = None) -> DataFrame:
+    """Dry-run plan: one row per record in the four applied categories.
+
+    ``min_confidence`` leaves out less certain records (off by default).
+    """
+    if min_confidence is not None:
+        records = records.where(F.col("confidence") >= min_confidence)
     return records.where(F.col("category").isin(*APPLIED_CATEGORIES)).select(
         "id",
         "category",
@@ -211,11 +265,15 @@ def liveness(
     capability: str,
     idle_state: str,
     tiebreak: str | None = None,
+    capabilities: DataFrame | None = None,
 ) -> DataFrame:
     """Latest heartbeat per agent; alive when ``as_of - last <= ttl`` (total seconds).
 
-    ``capability`` flags agents that ever reported that state; ``idle`` are
-    alive agents whose latest state is ``idle_state``. Times are wall-clock
+    ``capabilities`` (key, array column ``capabilities``) lists what each agent
+    can do; ``has_capability`` is membership of ``capability`` in that list
+    (false without a list). Without the table the flag marks agents that ever
+    reported ``capability`` as their state. ``idle`` are alive agents whose
+    latest state is ``idle_state``. Times are wall-clock
     TIMESTAMP_NTZ values; ages are computed without the session time zone.
     """
     t_us = epoch_us(F.col(ts))
@@ -225,6 +283,9 @@ def liveness(
         F.max_by(F.col(state), order).alias("last_state"),
         F.max(F.col(state) == capability).alias("has_capability"),
     )
+    if capabilities is not None:
+        listed = capabilities.select(key, F.array_contains("capabilities", capability).alias("_listed"))
+        agg = agg.join(listed, key, "left").withColumn("has_capability", F.coalesce("_listed", F.lit(False))).drop("_listed")
     alive = (epoch_us(ntz_literal(as_of)) - F.col("last_seen_us")) <= F.lit(ttl_seconds * 1_000_000)
     return agg.select(
         key,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.time import epoch_us
 from strata.operators import ledger as L
@@ -16,6 +17,7 @@ from strata.operators import scoring as S
 from strata.plans.registry import load, query
 from strata.session import scratch_path
 from strata.sources import files as src
+from strata.sources.store import VersionedStore
 
 # ---------------------------------------------------------------- derived inputs
 
@@ -35,6 +37,9 @@ def _results_exprs(k: str) -> list[str]:
         "CASE WHEN event_type = 'error' THEN 'failed with ' || props END AS error",
         f"CASE WHEN event_type = 'view' THEN {k} END AS rows",
         f"CASE WHEN event_type = 'click' THEN 't_' || CAST({k} AS STRING) END AS table_name",
+        f"CASE WHEN event_type = 'view' AND {k} >= 50 THEN 'gold_' || CAST({k} AS STRING) END AS view",
+        "CASE WHEN event_type = 'purchase' THEN repeat(props || ' ', 40) END AS report",
+        "CASE WHEN event_type IN ('click', 'purchase') AND value > 20 THEN 'event of user ' || CAST(user_id AS STRING) END AS description",
     ]
 
 
@@ -71,11 +76,15 @@ RECORDS_SQL = (
     "CASE WHEN error IS NOT NULL THEN 'Task ' || task_type || ' by ' || agent_type || ' failed: ' || error "
     "ELSE concat_ws(chr(10), 'Task: ' || task_type, 'Agent: ' || agent_type, "
     "CASE WHEN rows IS NOT NULL THEN 'rows: ' || substr(CAST(rows AS VARCHAR), 1, 300) END, "
-    "CASE WHEN table_name IS NOT NULL THEN 'table: ' || substr(table_name, 1, 300) END) END AS body, "
+    "CASE WHEN table_name IS NOT NULL THEN 'table: ' || substr(table_name, 1, 300) END, "
+    "CASE WHEN view IS NOT NULL THEN 'view: ' || substr(view, 1, 300) END, "
+    "CASE WHEN report IS NOT NULL THEN 'report: ' || substr(report, 1, 300) END, "
+    "CASE WHEN description IS NOT NULL THEN 'description: ' || substr(description, 1, 300) END) END AS body, "
     "CASE WHEN error IS NOT NULL THEN 0.3 WHEN coalesce(rows, 0) > 0 THEN 0.8 ELSE 0.6 END AS confidence, "
     f"project_name, agent_type AS source_agent FROM ({TASK_RESULTS_SQL})) WHERE category IS NOT NULL"
 )
 
+_FIRST_HARVEST = "2024-01-15"
 _REC_COLS = "id, category, domain, title, body, CAST(confidence AS DOUBLE) AS confidence, project_name, source_agent"
 
 
@@ -92,16 +101,19 @@ def q_classify_results(spark: SparkSession, data_dir: str) -> DataFrame:
     f"FROM ({RECORDS_SQL}) WHERE category = 'kb_insight'",
 )
 def q_records_scan(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Records written as a JSON store partitioned by category (plus a corrupt file),
-    scanned back with a schema; the category filter prunes folders."""
+    """Records written as a JSON store partitioned by category and appended to (plus a
+    corrupt file), scanned back with a schema; the category filter prunes folders."""
     root = scratch_path(spark, "records")
-    src.write_records(records(spark, data_dir), root, mode="overwrite")
+    recs = records(spark, data_dir)
+    early = F.col("ts") < F.lit(_FIRST_HARVEST).cast("timestamp_ntz")
+    src.write_records(recs.where(early), root, mode="overwrite")
+    src.write_records(recs.where(~early), root)
     # A malformed file inside the scanned category folder, next to good ones.
     spark.createDataFrame([("{not json",), ('{"id": "x", "category": ',)], "value string").coalesce(1).write.mode(
         "append"
     ).text(root + "/category=kb_insight")
     scanned = src.read_records(spark, root, R.RECORD_SCHEMA, category="kb_insight")
-    return scanned.where(F.col("id").isNotNull()).select("id", "category", "project_name", "title", "confidence")
+    return scanned.select("id", "category", "project_name", "title", "confidence")
 
 
 @query(
@@ -142,11 +154,21 @@ def q_records_by_category(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @query(
     "records_status",
-    oracle=f"SELECT project_name, count(*) AS harvested FROM ({RECORDS_SQL}) GROUP BY ROLLUP (project_name)",
+    oracle=(
+        "WITH p AS (SELECT 'project-' || CAST(user_id AS VARCHAR) AS project_name, "
+        "CASE WHEN count(*) >= 60 THEN 1 ELSE 0 END AS active FROM events GROUP BY user_id), "
+        f"r AS (SELECT project_name, count(*) AS harvested, count(*) FILTER (WHERE confidence >= 0.8 AND category IN "
+        "('kb_insight', 'agent_improvement', 'error_resolution', 'pattern_discovered')) AS applied "
+        f"FROM ({RECORDS_SQL}) GROUP BY project_name) "
+        "SELECT project_name, count(p.active) AS registered, coalesce(sum(active), 0)::BIGINT AS active, "
+        "coalesce(sum(harvested), 0)::BIGINT AS harvested, coalesce(sum(applied), 0)::BIGINT AS applied "
+        "FROM p FULL JOIN r USING (project_name) GROUP BY ROLLUP (project_name)"
+    ),
 )
 def q_records_status(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Harvested records per project plus the total."""
-    return R.counts_by_project(records(spark, data_dir))
+    """Registered and active projects, harvested and applied records: per project and in total."""
+    applied = (F.col("confidence") >= 0.8) & F.col("category").isin(*R.APPLIED_CATEGORIES)
+    return R.counts_by_project(records(spark, data_dir), _registry(spark, data_dir), applied)
 
 
 @query(
@@ -185,10 +207,13 @@ def _upsert_inputs(spark: SparkSession, data_dir: str):
     ),
 )
 def q_records_upsert(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Idempotent upsert by (category, project, id): a re-harvested slice replaces older versions."""
+    """Idempotent upsert by (category, project, id) into a stored table: a re-harvested slice
+    replaces older versions, and merging it again changes nothing."""
     existing, incoming = _upsert_inputs(spark, data_dir)
-    out = R.upsert_latest(existing, incoming, ["category", "project_name", "id"], "version")
-    return out.select("id", "category", "project_name", "confidence", "version")
+    store = VersionedStore(spark, scratch_path(spark, "upsert"), existing.schema, ["category", "project_name", "id"], ["category"])
+    for rows in (existing, incoming, incoming):
+        store.merge(rows, "version")
+    return store.read().select("id", "category", "project_name", "confidence", "version")
 
 
 _REGISTRY_SQL = (
@@ -218,20 +243,49 @@ def q_incremental_harvest(spark: SparkSession, data_dir: str) -> DataFrame:
     return got.select("id", "project_name", "category", "confidence")
 
 
+RECORD_KEYS = ["category", "project_name", "id"]
+_STORED = T.StructType([f for f in R.RECORD_SCHEMA.fields if f.name != "metadata"])
+
+
+def _stored_harvest(spark: SparkSession, data_dir: str) -> tuple[VersionedStore, VersionedStore]:
+    """Two harvests of growing sources into stored records and watermarks: the events up to a day, then all."""
+    root = scratch_path(spark, "harvest-store")
+    store = VersionedStore(spark, f"{root}/records", _STORED, RECORD_KEYS, ["category"])
+    marks = VersionedStore(spark, f"{root}/watermarks", R.WATERMARK_SCHEMA, ["project_name"])
+    registry = _registry(spark, data_dir).drop("last_harvest")
+    recs = records(spark, data_dir).drop("metadata")
+    for part in (recs.where(F.col("ts") < F.lit(_FIRST_HARVEST).cast("timestamp_ntz")), recs):
+        R.harvest_into(part, registry, store, marks)
+    return store, marks
+
+
+_ACTIVE_SQL = "SELECT 'project-' || CAST(user_id AS VARCHAR) AS project_name FROM events GROUP BY user_id HAVING count(*) >= 60"
+
+
 @query(
     "harvest_watermarks",
     oracle=(
-        f"SELECT r.project_name, epoch_us(max(r.ts)) AS last_harvest_us, count(*) AS learning_count "
-        f"FROM ({RECORDS_SQL}) r JOIN ({_REGISTRY_SQL}) p ON r.project_name = p.project_name "
-        "WHERE p.status = 'active' AND (p.last_harvest IS NULL OR r.ts >= p.last_harvest) GROUP BY r.project_name"
+        "SELECT project_name, epoch_us(max(ts)) AS last_harvest_us, count(*) AS learning_count "
+        f"FROM ({RECORDS_SQL}) JOIN ({_ACTIVE_SQL}) USING (project_name) GROUP BY project_name"
     ),
 )
 def q_harvest_watermarks(spark: SparkSession, data_dir: str) -> DataFrame:
-    """New per-project watermark (latest harvested timestamp) and harvested count."""
-    got = R.harvest(records(spark, data_dir), _registry(spark, data_dir))
-    wm = R.new_watermarks(got)
-    return wm.select("project_name", epoch_us(F.col("last_harvest")).alias("last_harvest_us"),
-                     "learning_count")
+    """The stored watermark table after two harvests: latest harvested time and all records of each project."""
+    _, marks = _stored_harvest(spark, data_dir)
+    return marks.read().select("project_name", epoch_us(F.col("last_harvest")).alias("last_harvest_us"), "learning_count")
+
+
+@query(
+    "harvest_store",
+    oracle=(
+        "SELECT r.id, r.project_name, r.category, r.title, epoch_us(r.ts) AS ts_us, CAST(r.confidence AS DOUBLE) AS confidence "
+        f"FROM ({RECORDS_SQL}) r JOIN ({_ACTIVE_SQL}) USING (project_name)"
+    ),
+)
+def q_harvest_store(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The stored records after two harvests, the second from the first one's watermarks on."""
+    store, _ = _stored_harvest(spark, data_dir)
+    return store.read().select("id", "project_name", "category", "title", epoch_us(F.col("ts")).alias("ts_us"), "confidence")
 
 
 @query(
@@ -246,21 +300,35 @@ def q_apply_plan(spark: SparkSession, data_dir: str) -> DataFrame:
     return R.apply_plan(records(spark, data_dir))
 
 
+@query(
+    "apply_plan_confident",
+    oracle=(
+        "SELECT id, category, title, '(dry run) ' || domain || '/' || title AS target_file, "
+        f"'Would apply from ' || project_name AS description FROM ({RECORDS_SQL}) "
+        "WHERE category IN ('kb_insight', 'agent_improvement', 'error_resolution', 'pattern_discovered') AND confidence >= 0.7"
+    ),
+)
+def q_apply_plan_confident(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The dry-run plan with a minimum confidence."""
+    return R.apply_plan(records(spark, data_dir), min_confidence=0.7)
+
+
 @query(
     "liveness_latest",
     oracle=(
         "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_state, epoch_us(max(ts)) AS last_seen_us, "
         "epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(max(ts)) <= 21600000000 AS alive, "
-        "bool_or(event_type = 'purchase') AS has_capability, "
+        "list_contains(list(DISTINCT event_type) FILTER (WHERE value > 50), 'purchase') IS TRUE AS has_capability, "
         "(epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(max(ts)) <= 21600000000) "
         "AND arg_max(event_type, (ts, event_id)) = 'view' AS idle FROM events GROUP BY user_id"
     ),
 )
 def q_liveness_latest(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Latest heartbeat per agent (user), alive within a 6 h TTL, capability and idle flags."""
+    """Latest heartbeat per agent (user), alive within a 6 h TTL, membership of a capability list, idle flag."""
     ev = load(spark, data_dir, "events")
+    listed = ev.groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 50, F.col("event_type"))).alias("capabilities"))
     return R.liveness(ev, "user_id", "ts", "2024-01-30 12:00:00", 6 * 3600, "event_type", "purchase", "view",
-                      tiebreak="event_id")
+                      tiebreak="event_id", capabilities=listed)
 
 
 @query(

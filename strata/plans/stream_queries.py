@@ -1,6 +1,7 @@
-"""Streaming queries: events land as time-ordered files and are consumed by
-Structured Streaming jobs run to completion (availableNow); each returns the
-batch view of its sink so it can be compared with the equivalent batch SQL."""
+"""Streaming queries: events land as files in slices of time, in no order within
+a slice, and are consumed by Structured Streaming jobs run to completion
+(availableNow), several files at a time; each returns the batch view of its sink
+so it can be compared with the equivalent batch SQL."""
 
 from __future__ import annotations
 
@@ -16,28 +17,25 @@ from strata.session import scratch_path
 from strata.sources.files import path_exists
 from strata.streaming import streams as ST
 
-# Arrival slices of the event stream (oldest first).
-EVENT_CUTS = ["2024-01-11", "2024-01-21"]
+_LANDINGS: dict[tuple, tuple[str, int]] = {}
 
 
-_LANDINGS: dict[tuple, str] = {}
-
-
-def _landing(spark: SparkSession, df: DataFrame, replay: DataFrame | None, tag: tuple) -> str:
-    """Arrival files of the stream, written once per session and input; every
-    run still gets its own checkpoint and sink."""
-    key = (id(spark), *tag)
-    if key not in _LANDINGS or not path_exists(spark, _LANDINGS[key]):
+def _landing(spark: SparkSession, df: DataFrame, tag: tuple, again=None, marker: bool = False) -> tuple[str, int]:
+    """Arrival files of the stream and the seconds of a slice, written once per application and
+    input; every run still gets its own checkpoint and sink."""
+    key = (spark.sparkContext.applicationId, *tag)
+    if key not in _LANDINGS or not path_exists(spark, _LANDINGS[key][0]):
         root = scratch_path(spark, "stream-landing")
-        ST.land_in_order(df, "ts", EVENT_CUTS, root)
-        if replay is not None:
-            replay.coalesce(1).write.mode("append").parquet(root)
-        _LANDINGS[key] = root
+        seconds = ST.land_slices(df, "ts", root, again=again)
+        if marker:
+            ST.land_marker(df, "ts", root, 30 * 86_400)
+        _LANDINGS[key] = root, seconds
     return _LANDINGS[key]
 
 
-def _source(spark: SparkSession, df: DataFrame, tag: tuple, replay: DataFrame | None = None) -> DataFrame:
-    return ST.file_stream(spark, _landing(spark, df, replay, tag), df.schema, files_per_trigger=1)
+def _source(spark: SparkSession, df: DataFrame, tag: tuple, again=None, marker: bool = False) -> tuple[DataFrame, int]:
+    root, seconds = _landing(spark, df, tag, again, marker)
+    return ST.file_stream(spark, root, df.schema, files_per_trigger=4), seconds
 
 
 @query(
@@ -51,16 +49,20 @@ def q_stream_harvest(spark: SparkSession, data_dir: str) -> DataFrame:
     def to_records(batch: DataFrame) -> DataFrame:
         return classify_results(batch.selectExpr(*_results_exprs(_K_SPARK))).drop("metadata")
 
-    out = ST.harvest_stream(spark, _source(spark, events, ("events", data_dir)), to_records, ["category", "project_name", "id"])
+    source, _ = _source(spark, events, ("events", data_dir))
+    out = ST.harvest_stream(spark, source, to_records, ["category", "project_name", "id"], partition_by=["category"], every=2)
     return out.select("id", "category", "project_name", "confidence")
 
 
 @query("stream_dedup", oracle="SELECT event_id, user_id, event_type FROM events")
 def q_stream_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Event stream with a replayed slice (all error events again) de-duplicated by id."""
+    """Event stream in which all error events arrive again a slice later, de-duplicated by id.
+
+    The watermark delay of two slices covers the replay: it goes by de-duplication, not by lateness.
+    """
     events = load(spark, data_dir, "events")
-    replay = events.where(F.col("event_type") == "error")
-    out = ST.dedup_stream(spark, _source(spark, events, ("events+replay", data_dir), replay), "event_id", "ts", "1 hour")
+    source, seconds = _source(spark, events, ("events+replay", data_dir), again=F.col("event_type") == "error")
+    out = ST.dedup_stream(spark, source, "event_id", "ts", f"{2 * seconds} seconds")
     return out.select("event_id", "user_id", "event_type")
 
 
@@ -76,9 +78,10 @@ def q_stream_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     ),
 )
 def q_stream_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Per-user activity sessions (inactivity gap 1 day) from the event stream."""
+    """Per-user activity sessions (inactivity gap 1 day) from the event stream, closed by its end marker."""
     events = load(spark, data_dir, "events")
-    return ST.session_stream(spark, _source(spark, events, ("events", data_dir)), "user_id", "ts", "1 day", "1 day")
+    source, seconds = _source(spark, events, ("events+marker", data_dir), marker=True)
+    return ST.session_stream(spark, source, "user_id", "ts", "1 day", f"{seconds} seconds")
 
 
 STREAM_CHECKS = [
@@ -101,7 +104,8 @@ STREAM_CHECKS = [
 def q_stream_quality_split(spark: SparkSession, data_dir: str) -> DataFrame:
     """Streaming ingest routed to pass / quarantine by row rules (NULLs injected)."""
     ev = events_with_nulls(spark, data_dir)
-    out = ST.quality_split_stream(spark, _source(spark, ev, ("events_nulls", data_dir)), STREAM_CHECKS)
+    source, _ = _source(spark, ev, ("events_nulls", data_dir))
+    out = ST.quality_split_stream(spark, source, STREAM_CHECKS)
     return out.select("event_id", "route", "failed_rules")
 
 
@@ -111,6 +115,7 @@ def q_stream_quality_split(spark: SparkSession, data_dir: str) -> DataFrame:
     "FROM events GROUP BY ALL",
 )
 def q_stream_event_counts(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Hourly counts per event type, update mode with a 1-hour watermark."""
+    """Hourly counts per event type, update mode with a watermark of one slice."""
     events = load(spark, data_dir, "events")
-    return ST.event_count_stream(spark, _source(spark, events, ("events", data_dir)), "ts", "event_type", "1 hour", "1 hour")
+    source, seconds = _source(spark, events, ("events", data_dir))
+    return ST.event_count_stream(spark, source, "ts", "event_type", "1 hour", f"{seconds} seconds", every=2)
