@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.text import WHITESPACE_CLASS
 from strata.operators import corpus as C
+from strata.operators import vector_index as V
 from strata.operators.drift import manifest_diff
 from strata.operators.vector_search import cosine_top_k, lsh_top_k
 from strata.plans.registry import load, query
@@ -99,6 +100,51 @@ def q_vector_topk_lsh(spark: SparkSession, data_dir: str) -> DataFrame:
     return lsh_top_k(emb, "vec_id", "embedding", [float(x) for x in qv], k=5)
 
 
+_INDEXES: dict[tuple, V.VectorIndex] = {}
+
+
+def _index(spark: SparkSession, data_dir: str) -> V.VectorIndex:
+    """The inverted-file index of all embeddings, built once per application and input."""
+    key = (spark.sparkContext.applicationId, data_dir)
+    if key not in _INDEXES:
+        emb = load(spark, data_dir, "embeddings")
+        _INDEXES[key] = V.build_index(emb, "vec_id", "embedding", scratch_path(spark, "vector-index"), carry=("label",))
+    return _INDEXES[key]
+
+
+@query("vector_topk_ivf", oracle=_topk_oracle("vec_id % 100 = 0"))
+def q_vector_topk_ivf(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Cosine top-5 of every hundredth vector from the cells that can hold them; exact by the cells' bounds."""
+    queries = load(spark, data_dir, "embeddings").where("vec_id % 100 = 0")
+    out = V.search(_index(spark, data_dir), queries, "vec_id", "embedding", 5, exact=True, carry=("label",))
+    return out.select("query_id", "vec_id", "label", F.round("score", 4).alias("score"), "rank")
+
+
+@query("vector_ivf_one", oracle=_topk_oracle("vec_id = 0", k=1))
+def q_vector_ivf_one(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The nearest vector to vec_id 0, from one cell's folder only (the vector's own)."""
+    queries = load(spark, data_dir, "embeddings").where("vec_id = 0")
+    out = V.search(_index(spark, data_dir), queries, "vec_id", "embedding", 1, probes=1, carry=("label",))
+    return out.select("query_id", "vec_id", "label", F.round("score", 4).alias("score"), "rank")
+
+
+@query(
+    "vector_ivf_recall",
+    oracle="SELECT count(*) AS queries, 5 * count(*) AS wanted, true AS recall_ok FROM embeddings WHERE vec_id % 20 = 0",
+)
+def q_vector_ivf_recall(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Share of the exact top-5 that the index finds from 60 % of its cells, for every twentieth vector.
+
+    The given vectors have no clusters; with clusters a few cells do (see the tests).
+    """
+    emb = load(spark, data_dir, "embeddings")
+    queries, index = emb.where("vec_id % 20 = 0"), _index(spark, data_dir)
+    found = V.search(index, queries, "vec_id", "embedding", 5, probes=-(-len(index.centres) * 6 // 10))
+    exact = cosine_top_k(emb, "vec_id", "embedding", queries, "vec_id", "embedding", 5)
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(True).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+
+
 # ---------------------------------------------------------------- rule scans
 
 # Rule-table rows with markers that occur in the corpus (alongside the review rules).
