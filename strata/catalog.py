@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import shared_root
@@ -88,15 +88,36 @@ class Lake:
         partition_by: list[str] | None = None,
     ) -> int:
         """Write ``df`` as a layer table; the row count comes from the write itself."""
+        return self.write_observed(df, layer, table, {}, mode, partition_by)["rows"]
+
+    def write_observed(
+        self,
+        df: DataFrame,
+        layer: str,
+        table: str,
+        metrics: dict[str, Column],
+        mode: str = "overwrite",
+        partition_by: list[str] | None = None,
+    ) -> dict[str, int]:
+        """Write ``df`` as a layer table; ``metrics`` (aggregates) and ``rows`` are measured by the write itself."""
         self._ensure(layer)
         check_identifier(table)
         obs = Observation(f"rows_{layer}_{table}")
-        observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        observed = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in metrics.items()])
         writer = observed.write.mode(mode).format("parquet")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(self.name(layer, table))
-        return int(obs.get["rows"])
+        return {name: int(n) for name, n in obs.get.items()}
+
+    def rename(self, layer: str, table: str, to: str) -> None:
+        """Give ``table`` the name ``to``, in place of a table that has it."""
+        check_identifier(to)
+        self.drop(layer, to)
+        self.spark.sql(f"ALTER TABLE {self.name(layer, table)} RENAME TO {self.name(layer, to)}")
+
+    def drop(self, layer: str, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(layer, table)}")
 
     def create_view(self, layer: str, view: str, sql: str) -> None:
         self._ensure(layer)

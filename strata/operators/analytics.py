@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.distinct import column_counts, column_sketches, merge_sketches
+
 
 def aggregate(df: DataFrame, measures: list[str] | None = None, group_by: list[str] | None = None) -> DataFrame:
     """Measures (SQL expressions, aliased with AS) with optional grouping.
@@ -42,33 +44,16 @@ def zscore_anomalies(df: DataFrame, column: str, threshold: float = 3.0) -> Data
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: type, nulls, distinct values, null percent (1 decimal).
 
-    Exact distinct counts of several columns plan as one Expand + aggregate
-    (map-side partial aggregation of (value, column) keys); ``approx=True``
-    switches to HyperLogLog++ sketches, which avoids the Expand entirely.
+    Exact distinct counts come from one scan and one shuffle of (column, value)
+    pairs, added up inside the tasks first; ``approx=True`` takes one sketch for
+    each column instead and shuffles no values.
     """
     cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"_n{i}"))
-        aggs.append(
-            (F.approx_count_distinct(F.col(c)) if approx else F.count_distinct(F.col(c))).alias(f"_d{i}")
-        )
-    one = df.agg(*aggs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(types[c]).alias("data_type"),
-            F.col(f"_n{i}").alias("nulls"),
-            F.col(f"_d{i}").cast("long").alias("distinct_values"),
-            F.when(F.col("_rows") > 0, F.round(F.col(f"_n{i}") * 100.0 / F.col("_rows"), 1))
-            .otherwise(F.lit(0.0))
-            .alias("null_pct"),
-            F.col("_rows").alias("total_rows"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    counts = merge_sketches(column_sketches(df, cols)) if approx else column_counts(df, cols)
+    types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column_name string, data_type string")
+    counts = types.join(counts, "column_name", "left").na.fill(0, ["rows", "nulls", "distinct"])
+    pct = F.when(F.col("rows") > 0, F.round(F.col("nulls") * 100.0 / F.col("rows"), 1)).otherwise(F.lit(0.0))
+    return counts.select("column_name", "data_type", "nulls", F.col("distinct").cast("long").alias("distinct_values"), pct.alias("null_pct"), F.col("rows").alias("total_rows"))
 
 
 def table_sanity(df: DataFrame) -> DataFrame:

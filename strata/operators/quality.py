@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.rules import get_rule
+from strata.operators.distinct import as_text, column_counts, value_counts
 
 RESULT_SCHEMA = "column_name string, rule string, severity string, passed boolean, failed_rows bigint, error string"
 
@@ -56,16 +57,8 @@ def _result_row(column: str, rule: str, severity: str, failed: Column, error: st
 
 
 def duplicate_groups(df: DataFrame, column: str) -> DataFrame:
-    """Number of values (NULL counts as a value) that occur more than once.
-
-    Two-level aggregate: the per-value count is partially aggregated on the
-    map side, so a hot value costs one row per map task in the shuffle.
-    """
-    return (
-        df.groupBy(F.col(column).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .agg(F.count_if(F.col("_n") > 1).alias("failed_rows"))
-    )
+    """Number of values (NULL counts as a value) that occur more than once."""
+    return column_counts(df, [column]).select(F.col("repeated").alias("failed_rows"))
 
 
 def check_table(df: DataFrame, checks: list[Check]) -> DataFrame:
@@ -76,6 +69,7 @@ def check_table(df: DataFrame, checks: list[Check]) -> DataFrame:
     """
     spark = df.sparkSession
     row_checks: list[tuple[int, Check]] = []
+    group_checks: list[Check] = []
     parts: list[DataFrame] = []
     literal_rows: list[Column] = []
     for i, chk in enumerate(checks):
@@ -90,26 +84,14 @@ def check_table(df: DataFrame, checks: list[Check]) -> DataFrame:
             )
         elif spec.kind == "row":
             row_checks.append((i, chk))
-        elif chk.rule == "unique":
-            groups = duplicate_groups(df, chk.column)
-            parts.append(
-                groups.select(
-                    F.inline(F.array(_result_row(chk.column, chk.rule, chk.severity, F.col("failed_rows"), None)))
-                )
-            )
-        elif chk.rule == "unique_strict":
-            strict = unique_strict(df, [chk.column])
-            parts.append(
-                strict.select(
-                    F.inline(
-                        F.array(
-                            _result_row(
-                                chk.column, chk.rule, chk.severity, F.col("total") - F.col("unique_values"), None
-                            )
-                        )
-                    )
-                )
-            )
+        else:
+            group_checks.append(chk)
+    if group_checks:
+        # one scan and one shuffle for all of them
+        counts = column_counts(df, list(dict.fromkeys(c.column for c in group_checks)))
+        failed = {"unique": F.col("repeated"), "unique_strict": F.col("rows") - F.col("distinct")}
+        found = F.array(*[F.when(F.col("column_name") == c.column, _result_row(c.column, c.rule, c.severity, failed[c.rule], None)) for c in group_checks])
+        parts.append(counts.select(F.inline(F.filter(found, lambda x: x.isNotNull()))))
     if row_checks:
         aggs = [F.count_if(~row_condition(df, chk)).alias(f"_c{i}") for i, chk in row_checks]
         fused = df.agg(*aggs)
@@ -154,46 +136,54 @@ def summarize(results: DataFrame) -> DataFrame:
 
 
 def failing_sample(df: DataFrame, checks: list[Check], order_by: list[str], limit: int = 5) -> DataFrame:
-    """Up to ``limit`` failing rows per row rule, first by ``order_by``.
+    """Failing rows of every check: order_by, column_name, rule, value, sample_rank.
+
+    Row rules: up to ``limit`` rows for each, first by ``order_by``, from one
+    scan: each row carries the list of rules it fails, the list is exploded, and
+    a per-check ``row_number <= limit`` is planned as a WindowGroupLimit, so only
+    ``limit`` rows per check and task are shuffled.
 
-    One scan: each row carries the list of rules it fails, the list is
-    exploded, and a per-check ``row_number <= limit`` is planned as a
-    WindowGroupLimit, so only ``limit`` rows per check and task are shuffled.
+    ``unique``: up to ``limit`` of its most frequent repeated values (ties by
+    value), and up to ``limit`` rows of each, ranked within the value. The
+    values are found for all columns together; their rows are picked by a second
+    scan against that short list.
     """
-    rows = [c for c in checks if (get_rule(c.rule) is not None and get_rule(c.rule).kind == "row")]
-    fails = F.array(
-        *[
-            F.when(~row_condition(df, c), F.struct(F.lit(c.column).alias("column_name"), F.lit(c.rule).alias("rule"),
-                                                 F.col(c.column).cast("string").alias("value"), F.lit(i).alias("_check")))
-            for i, c in enumerate(rows)
-        ]
-    )
-    exploded = (
-        df.select(*[F.col(k) for k in order_by], F.filter(fails, lambda x: x.isNotNull()).alias("_f"))
-        .where(F.size("_f") > 0)
-        .select(*order_by, F.inline("_f"))
-    )
-    w = Window.partitionBy("_check").orderBy(*[F.col(k) for k in order_by])
-    ranked = exploded.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit)
-    return ranked.drop("_check")
+    known = [c for c in checks if get_rule(c.rule) is not None]
+    rows = [c for c in known if get_rule(c.rule).kind == "row"]
+    unique = list(dict.fromkeys(c.column for c in known if c.rule == "unique"))
+    keys = [F.col(k) for k in order_by]
+    parts = []
+    if rows:
+        fails = F.array(
+            *[
+                F.when(~row_condition(df, c), F.struct(F.lit(c.column).alias("column_name"), F.lit(c.rule).alias("rule"),
+                                                     F.col(c.column).cast("string").alias("value"), F.lit(i).alias("_check")))
+                for i, c in enumerate(rows)
+            ]
+        )
+        exploded = df.select(*keys, F.filter(fails, lambda x: x.isNotNull()).alias("_f")).where(F.size("_f") > 0).select(*order_by, F.inline("_f"))
+        w = Window.partitionBy("_check").orderBy(*keys)
+        parts.append(exploded.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit).drop("_check"))
+    if unique:
+        by_count = Window.partitionBy("column_no").orderBy(F.col("n").desc(), F.col("value"))
+        worst = value_counts(df, unique).where("n > 1").withColumn("_r", F.row_number().over(by_count)).where(F.col("_r") <= limit)
+        worst = worst.select(F.col("column_no").alias("_c"), F.col("value").alias("_v"))  # limit rows for each column
+        pairs = F.array(*[F.struct(F.lit(i).alias("column_no"), F.when(F.col(c).isNotNull(), as_text(df, c)).alias("value")) for i, c in enumerate(unique)])
+        hit = df.select(*keys, F.inline(pairs)).join(F.broadcast(worst), (F.col("column_no") == F.col("_c")) & F.col("value").eqNullSafe(F.col("_v")))
+        w = Window.partitionBy("column_no", "value").orderBy(*keys)
+        hit = hit.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= limit)
+        name = F.element_at(F.array(*[F.lit(c) for c in unique]), F.col("column_no") + 1)
+        parts.append(hit.select(*order_by, name.alias("column_name"), F.lit("unique").alias("rule"), "value", "sample_rank"))
+    if not parts:
+        schema = T.StructType([*[df.schema[k] for k in order_by], *T.StructType.fromDDL("column_name string, rule string, value string, sample_rank int").fields])
+        return df.sparkSession.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def unique_strict(df: DataFrame, columns: list[str]) -> DataFrame:
     """Strict uniqueness: count(*) == count(DISTINCT col); any NULL fails."""
-    aggs = [F.count(F.lit(1)).alias("total")]
-    for i, c in enumerate(columns):
-        aggs.append(F.count_distinct(F.col(c)).alias(f"_d{i}"))
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col("total").alias("total"),
-            F.col(f"_d{i}").alias("unique_values"),
-            (F.col("total") == F.col(f"_d{i}")).alias("passed"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    out = column_counts(df, columns)
+    return out.select("column_name", F.col("rows").alias("total"), F.col("distinct").alias("unique_values"), (F.col("rows") == F.col("distinct")).alias("passed"))
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -215,14 +205,18 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 SILVER_RULES = ("not_null", "unique", "positive", "non_negative", "valid_date")
 
 
-def silver_checks(df: DataFrame, checks: list[dict]) -> DataFrame:
-    """Silver-step checks keyed ``column.rule``; unknown rules or columns are skipped."""
-    valid = [
-        Check(c["column"], c["rule"], c.get("params", {}))
+def silver_rules(df: DataFrame, checks: list[dict]) -> list[Check]:
+    """The checks (column, rule, params, severity) that the silver step knows; unknown rules or columns are skipped."""
+    return [
+        Check(c["column"], c["rule"], c.get("params", {}), c.get("severity", "warning"))
         for c in checks
         if c.get("column") and c.get("rule") in SILVER_RULES and c["column"] in df.columns
     ]
-    res = check_table(df, valid)
+
+
+def silver_checks(df: DataFrame, checks: list[dict]) -> DataFrame:
+    """Silver-step checks keyed ``column.rule``; unknown rules or columns are skipped."""
+    res = check_table(df, silver_rules(df, checks))
     return res.select(
         F.concat_ws(".", "column_name", "rule").alias("check_key"),
         "passed",

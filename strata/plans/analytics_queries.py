@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.analytics import aggregate, profile, schema_check, table_sanity, zscore_anomalies
+from strata.operators.distinct import column_counts, column_sketches, merge_sketches
 from strata.operators.voting import majority_vote, top_k_per_group
 from strata.plans.quality_queries import EVENTS_WITH_NULLS_SQL, events_with_nulls
 from strata.plans.registry import load, query
-from strata.plans.tables import union_sql
+from strata.plans.tables import TABLE_COLUMNS, union_sql
+from strata.session import scratch_path
 
 _MEASURES = [
     "count(*) AS n_lines",
@@ -71,6 +73,21 @@ def q_profile_table(spark: SparkSession, data_dir: str) -> DataFrame:
     return profile(events_with_nulls(spark, data_dir))
 
 
+@query(
+    "profile_sketches",
+    oracle=union_sql([f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, true AS close FROM orders" for c in TABLE_COLUMNS["orders"]]),
+)
+def q_profile_sketches(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Distinct values of orders from stored sketches, one for each order status, merged; close: within 3 % of the exact counts."""
+    orders = load(spark, data_dir, "orders")
+    path = scratch_path(spark, "sketches")
+    column_sketches(orders, orders.columns, F.col("o_orderstatus")).write.partitionBy("part").parquet(path)
+    merged = merge_sketches(spark.read.parquet(path))
+    exact = column_counts(orders, orders.columns).select("column_name", F.col("distinct").alias("exact"))
+    close = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+    return merged.join(exact, "column_name").select("column_name", "rows", "nulls", close.alias("close"))
+
+
 def _orders_sanity_frame(spark: SparkSession, data_dir: str) -> DataFrame:
     o = load(spark, data_dir, "orders")
     return o.select(

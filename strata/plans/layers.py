@@ -15,9 +15,10 @@ from strata.plans.medallion import (
     layer_trace,
     medallion_flow,
 )
-from strata.plans.registry import load, query
+from strata.plans.registry import TABLES, load, query
 from strata.plans.tables import TABLE_COLUMNS, union_sql
 from strata.session import scratch_path
+from strata.sources import datagen as gen
 from strata.sources import files as src
 
 # ---------------------------------------------------------------- flagship
@@ -207,23 +208,20 @@ def q_layer_trace(spark: SparkSession, data_dir: str) -> DataFrame:
     return layer_trace(lake, "orders")
 
 
-_SUMMARY_TABLES = ("orders", "customer", "lineitem", "events")
-
-
 @query(
     "dataset_summary",
     oracle=union_sql(
         [
             f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS rows, "
             f"'{','.join(TABLE_COLUMNS[t])}' AS columns"
-            for t in _SUMMARY_TABLES
+            for t in TABLES
         ]
     ),
 )
 def q_dataset_summary(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Report inputs: row count and column list per table."""
+    """Report inputs: row count and column list of every table."""
     parts = []
-    for t in _SUMMARY_TABLES:
+    for t in TABLES:
         df = load(spark, data_dir, t)
         parts.append(
             df.agg(F.count(F.lit(1)).alias("rows")).select(
@@ -250,13 +248,10 @@ def q_gold_view(spark: SparkSession, data_dir: str) -> DataFrame:
     return create_aggregation(lake, _GOLD_SQL.format(customer=lake.name("bronze", "customer")), "segment_balance")
 
 
-_AUTO_TABLES = ("customer", "orders", "lineitem")
-
-
 @query(
     "gold_auto_views",
     oracle=union_sql(
-        [f"SELECT '{t}_analytics' AS view_name, count(*) AS rows FROM (SELECT DISTINCT * FROM {t})" for t in _AUTO_TABLES]
+        [f"SELECT '{t}_analytics' AS view_name, count(*) AS rows FROM (SELECT DISTINCT * FROM {t})" for t in TABLES]
     ),
 )
 def q_gold_auto_views(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -268,8 +263,8 @@ def q_gold_auto_views(spark: SparkSession, data_dir: str) -> DataFrame:
         src.ingest(lake, t, f"{data_dir.rstrip('/')}/{t}.parquet", "parquet")
         lake.write(dedup_with_audit(lake.table("bronze", t), t), "silver", t)
 
-    with ThreadPoolExecutor(max_workers=len(_AUTO_TABLES)) as pool:
-        list(pool.map(to_silver, _AUTO_TABLES))
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(to_silver, TABLES))
     parts = [
         v.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("view_name"), "rows")
         for name, v in build_analytics_views(lake)
@@ -280,16 +275,85 @@ def q_gold_auto_views(spark: SparkSession, data_dir: str) -> DataFrame:
     return out
 
 
-# ---------------------------------------------------------------- generator
+# ---------------------------------------------------------------- generators
+
+
+def _n(key: str, salt: str) -> str:
+    return f"('0x' || substr(md5({key}::VARCHAR || ':42:{salt}'), 1, 13))::BIGINT"
+
+
+def _pick(options: str, key: str, salt: str) -> str:
+    words = ", ".join(f"'{w}'" for w in options.split())
+    return f"list_extract([{words}], ({_n(key, salt)} % {len(options.split())} + 1)::INT)"
+
+
+def _day(key: str, salt: str, days: int) -> str:
+    return f"(DATE '2023-01-01' + ({_n(key, salt)} % {days})::INT)"
+
+
+def _share(key: str, salt: str) -> str:
+    return f"({_n(key, salt)}::DOUBLE / 4503599627370496)"
 
 
-@query("generate_orders")
+_FIRST, _LAST = "Ada Bruno Carla Davi Elena Felix Gita Hugo Ines Jonas Kaya Leon", "Almeida Berger Costa Duarte Evans Fischer Garcia Hansen Ito Jansen"
+_GEN_CUSTOMERS_SQL = (
+    f"SELECT c_custkey AS id, {_pick(_FIRST, 'c_custkey', 'first')} || ' ' || {_pick(_LAST, 'c_custkey', 'last')} AS name, "
+    f"lower({_pick(_FIRST, 'c_custkey', 'first')} || '.' || {_pick(_LAST, 'c_custkey', 'last')}) || c_custkey || '@' || "
+    f"{_pick('example.com example.org example.net', 'c_custkey', 'domain')} AS email, "
+    f"{_pick('Curitiba Recife Manaus Santos Niteroi Olinda Londrina', 'c_custkey', 'city')} AS city, "
+    f"{_pick('PR PE AM SP RJ PE PR', 'c_custkey', 'city')} AS state, "
+    f"{_pick('consumer business enterprise vip', 'c_custkey', 'segment')} AS segment, {_day('c_custkey', 'created', 730)} AS created_at FROM customer"
+)
+_GEN_PRODUCTS_SQL = (
+    f"SELECT p_partkey AS id, {_pick('Compact Durable Elegant Folding Quiet Robust Smart', 'p_partkey', 'adjective')} || ' ' || "
+    f"{_pick('Lamp Backpack Kettle Notebook Speaker Jacket Racket Blender', 'p_partkey', 'noun')} AS name, "
+    f"{_pick('electronics clothing food books home sports', 'p_partkey', 'category')} AS category, "
+    f"(500 + {_n('p_partkey', 'price')} % 49501)::DOUBLE / 100 AS price, "
+    f"{_pick('Norte Palma Quasar Ribeira Solano Tucano', 'p_partkey', 'brand')} AS brand, ({_n('p_partkey', 'stock')} % 501)::INT AS stock FROM part"
+)
+_ORDERED = _share("o_orderkey", "status")
+_GEN_ORDERS_SQL = (
+    f"WITH c AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM ({_GEN_CUSTOMERS_SQL})), "
+    f"p AS (SELECT id, price, row_number() OVER (ORDER BY id) AS i FROM ({_GEN_PRODUCTS_SQL})), "
+    f"o AS (SELECT o_orderkey AS id, {_n('o_orderkey', 'customer')} % (SELECT count(*) FROM c) + 1 AS ci, "
+    f"{_n('o_orderkey', 'product')} % (SELECT count(*) FROM p) + 1 AS pi, ({_n('o_orderkey', 'qty')} % 5 + 1)::INT AS qty, "
+    f"CASE WHEN {_ORDERED} < 0.7::DOUBLE THEN 'completed' WHEN {_ORDERED} < 0.85::DOUBLE THEN 'pending' "
+    f"WHEN {_ORDERED} < 0.95::DOUBLE THEN 'cancelled' ELSE 'refunded' END AS status, "
+    f"{_pick('web mobile pos api', 'o_orderkey', 'channel')} AS channel, {_day('o_orderkey', 'ordered', 365)} AS created_at FROM orders) "
+    "SELECT o.id, c.id AS customer_id, p.id AS product_id, qty, round(price * qty, 2) AS total, status, channel, created_at "
+    "FROM o JOIN c ON o.ci = c.i JOIN p ON o.pi = p.i"
+)
+_METHOD, _PAID = _share("event_id", "method"), _share("event_id", "pay_status")
+_GEN_TRANSACTIONS_SQL = (
+    f"WITH g AS ({_GEN_ORDERS_SQL}), r AS (SELECT id, total, row_number() OVER (ORDER BY id) AS i FROM g) "
+    f"SELECT event_id AS id, r.id AS order_id, r.total AS amount, "
+    f"CASE WHEN {_METHOD} < 0.4::DOUBLE THEN 'credit_card' WHEN {_METHOD} < 0.6::DOUBLE THEN 'debit_card' WHEN {_METHOD} < 0.8::DOUBLE THEN 'pix' "
+    f"WHEN {_METHOD} < 0.9::DOUBLE THEN 'boleto' ELSE 'wallet' END AS method, "
+    f"CASE WHEN {_PAID} < 0.1::DOUBLE THEN 'authorized' WHEN {_PAID} < 0.4::DOUBLE THEN 'captured' WHEN {_PAID} < 0.8::DOUBLE THEN 'settled' "
+    f"WHEN {_PAID} < 0.95::DOUBLE THEN 'declined' ELSE 'refunded' END AS status, {_day('event_id', 'paid', 365)} AS created_at "
+    f"FROM events JOIN r ON {_n('event_id', 'order')} % (SELECT count(*) FROM r) + 1 = r.i"
+)
+
+
+@query("generate_customers", oracle=_GEN_CUSTOMERS_SQL)
+def q_generate_customers(spark: SparkSession, data_dir: str) -> DataFrame:
+    """One synthetic customer per customer key."""
+    return gen.generate_customers(load(spark, data_dir, "customer"), "c_custkey")
+
+
+@query("generate_products", oracle=_GEN_PRODUCTS_SQL)
+def q_generate_products(spark: SparkSession, data_dir: str) -> DataFrame:
+    """One synthetic product per part key."""
+    return gen.generate_products(load(spark, data_dir, "part"), "p_partkey")
+
+
+@query("generate_orders", oracle=_GEN_ORDERS_SQL)
 def q_generate_orders(spark: SparkSession, data_dir: str) -> DataFrame:
-    """One synthetic e-commerce order per order key: customers from customer,
-    products and prices from part, weighted status and channel."""
-    from strata.sources.datagen import generate_orders
+    """One synthetic e-commerce order per order key: generated customers and products, weighted status and channel."""
+    return gen.generate_orders(load(spark, data_dir, "orders"), "o_orderkey", q_generate_customers(spark, data_dir), q_generate_products(spark, data_dir))
 
-    orders = load(spark, data_dir, "orders")
-    customers = load(spark, data_dir, "customer").select(F.col("c_custkey").alias("id"))
-    products = load(spark, data_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    return generate_orders(orders, "o_orderkey", customers, products)
+
+@query("generate_transactions", oracle=_GEN_TRANSACTIONS_SQL)
+def q_generate_transactions(spark: SparkSession, data_dir: str) -> DataFrame:
+    """One synthetic payment per event, each for one of the generated orders."""
+    return gen.generate_transactions(q_generate_orders(spark, data_dir), keys=load(spark, data_dir, "events"), key="event_id")

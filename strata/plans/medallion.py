@@ -3,8 +3,8 @@
 * bronze: every source file of a landing folder becomes a table (schema
   inferred once here and stored with Parquet, so later layers never re-infer);
 * silver: full-row de-duplication (audit columns excluded, NULL equals NULL),
-  audit columns with ONE pinned run timestamp, and the table's quality checks
-  fused into one aggregate;
+  audit columns with ONE pinned run timestamp, and the table's quality checks,
+  measured by the write; failures of severity error stop the job;
 * gold: one analytics view per silver table.
 
 De-duplication is a hash aggregate with map-side combine, so a row copied a
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from strata.catalog import Lake, check_identifier
 from strata.functions.time import ntz_literal
-from strata.operators.quality import silver_checks, summarize
+from strata.operators.distinct import column_counts
+from strata.operators.quality import row_condition, silver_rules, summarize
 from strata.session import scratch_path
 from strata.sources.files import ingest_all
 
 # Audit column names added by the silver step.
 AUDIT_COLUMNS = ("_ingested_at", "_source")
+GROUP_RULES = ("unique",)
 # A pinned run timestamp keeps reruns reproducible; callers pass their own.
 DEFAULT_RUN_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
 
@@ -46,6 +48,14 @@ def dedup_with_audit(df: DataFrame, source: str, run_ts: _dt.datetime = DEFAULT_
     return deduped.withColumns({"_ingested_at": ntz_literal(run_ts), "_source": F.lit(source)})
 
 
+class QualityError(RuntimeError):
+    """Rows fail a check of severity ``error``; the silver table was not replaced."""
+
+    def __init__(self, table: str, failed: dict[str, int]):
+        super().__init__(f"{table}: " + ", ".join(f"{k} fails for {n} rows" for k, n in sorted(failed.items())))
+        self.table, self.failed = table, failed
+
+
 def bronze_to_silver(
     lake: Lake,
     source: str,
@@ -54,12 +64,53 @@ def bronze_to_silver(
     run_ts: _dt.datetime = DEFAULT_RUN_TS,
     partition_by: list[str] | None = None,
 ) -> tuple[int, DataFrame | None]:
-    """De-duplicate, stamp and check one bronze table; returns (rows, quality results)."""
+    """De-duplicate, stamp and check one bronze table; returns (rows, quality results).
+
+    Row rules are measured by the write itself, so silver is scanned again only
+    for group rules (``unique``). A check's ``severity`` says what its failures do:
+
+    * ``warning`` (default), ``info``: they are counted;
+    * ``error``: the job fails with ``QualityError`` and the silver table stays
+      as it was;
+    * ``quarantine`` (row rules): failing rows go to ``<target>_quarantine``
+      with the names of the rules they fail, the others to silver.
+    """
     target = check_identifier(target or source)
-    bronze = lake.table("bronze", source)
-    rows = lake.write(dedup_with_audit(bronze, source, run_ts), "silver", target, partition_by=partition_by)
-    quality = silver_checks(lake.table("silver", target), checks) if checks else None
-    return rows, quality
+    bronze = dedup_with_audit(lake.table("bronze", source), source, run_ts)
+    if not checks:
+        return lake.write(bronze, "silver", target, partition_by=partition_by), None
+    valid = silver_rules(bronze, checks)
+    rows = [c for c in valid if c.rule not in GROUP_RULES]
+    split = [c for c in rows if c.severity == "quarantine"]
+    metrics = {f"c{i}": F.count_if(~row_condition(bronze, c)) for i, c in enumerate(rows)}
+    strict = split or any(c.severity == "error" for c in valid)
+    if split:
+        names = F.array(*[F.when(~row_condition(bronze, c), F.lit(f"{c.column}.{c.rule}")) for c in split])
+        bronze = bronze.withColumn("failed_rules", F.concat_ws(",", F.filter(names, lambda x: x.isNotNull())))
+    draft = f"{target}__draft" if strict else target
+    measured = lake.write_observed(bronze, "silver", draft, metrics, partition_by=None if split else partition_by)
+    failed = {f"{c.column}.{c.rule}": measured[f"c{i}"] for i, c in enumerate(rows)}
+    groups = [c for c in valid if c.rule in GROUP_RULES]
+    if groups:
+        written = lake.table("silver", draft)
+        counts = {r["column_name"]: r for r in column_counts(written, list(dict.fromkeys(c.column for c in groups))).collect()}
+        failed |= {f"{c.column}.{c.rule}": counts[c.column]["repeated"] for c in groups}
+    fatal = {f"{c.column}.{c.rule}": failed[f"{c.column}.{c.rule}"] for c in valid if c.severity == "error" and failed[f"{c.column}.{c.rule}"]}
+    if fatal:
+        lake.drop("silver", draft)
+        raise QualityError(target, fatal)
+    n = measured["rows"]
+    if split:
+        both = lake.table("silver", draft)
+        n = lake.write(both.where("failed_rules = ''").drop("failed_rules"), "silver", target, partition_by=partition_by)
+        lake.write(both.where("failed_rules <> ''"), "silver", f"{target}_quarantine")
+        lake.drop("silver", draft)
+    elif strict:
+        lake.rename("silver", draft, target)
+    found = [F.struct(F.lit(k).alias("check_key"), F.lit(n == 0).alias("passed"), F.lit(n).cast("long").alias("failed_rows")) for k, n in failed.items()]
+    if not found:
+        return n, lake.spark.createDataFrame([], "check_key string, passed boolean, failed_rows bigint")
+    return n, lake.spark.range(1).select(F.inline(F.array(*found)))
 
 
 def create_aggregation(lake: Lake, sql: str, view_name: str) -> DataFrame:
@@ -159,6 +210,7 @@ def layer_trace(lake: Lake, table: str) -> DataFrame:
 
 __all__ = [
     "AUDIT_COLUMNS",
+    "QualityError",
     "bronze_to_silver",
     "build_analytics_views",
     "create_aggregation",

@@ -233,6 +233,33 @@ def q_dq_failing_sample(spark: SparkSession, data_dir: str) -> DataFrame:
     return failing_sample(cust, [c for c, _ in SAMPLE_CHECKS], ["c_custkey"], limit=5)
 
 
+def _group_sample_oracle(column: str) -> str:
+    return (
+        f"SELECT l_orderkey, l_linenumber, '{column}' AS column_name, 'unique' AS rule, CAST({column} AS VARCHAR) AS value, "
+        f"row_number() OVER (PARTITION BY {column} ORDER BY l_orderkey, l_linenumber) AS sample_rank FROM lineitem "
+        f"WHERE {column} IN (SELECT {column} FROM lineitem GROUP BY {column} HAVING count(*) > 1 "
+        f"ORDER BY count(*) DESC, CAST({column} AS VARCHAR) LIMIT 5) "
+        f"QUALIFY row_number() OVER (PARTITION BY {column} ORDER BY l_orderkey, l_linenumber) <= 5"
+    )
+
+
+@query(
+    "dq_failing_groups",
+    oracle=union_sql(
+        [
+            _group_sample_oracle("l_partkey"),
+            _group_sample_oracle("l_suppkey"),
+            "SELECT * FROM (SELECT l_orderkey, l_linenumber, 'l_quantity' AS column_name, 'in_range' AS rule, CAST(l_quantity AS VARCHAR) AS value, "
+            "row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS sample_rank FROM lineitem WHERE NOT l_quantity <= 49) WHERE sample_rank <= 5",
+        ]
+    ),
+)
+def q_dq_failing_groups(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Rows of the most frequent repeated values of two columns, beside a row rule's sample."""
+    checks = [Check("l_partkey", "unique"), Check("l_suppkey", "unique"), Check("l_quantity", "in_range", {"max": 49})]
+    return failing_sample(load(spark, data_dir, "lineitem"), checks, ["l_orderkey", "l_linenumber"], limit=5)
+
+
 # ---------------------------------------------------------------- cross rules / sweeps
 
 _CROSS_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -346,6 +346,23 @@ def q_token_overlap(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "token_overlap_pairs",
+    oracle=(
+        f"WITH iw AS ({_words_sql('item_id', 'benchmark')}), dw AS ({_words_sql('doc_id', 'documents')}), "
+        "m AS (SELECT item_id, count(*) AS item_words FROM iw GROUP BY item_id) "
+        "SELECT item_id, doc_id, count(*) AS overlap, item_words FROM iw JOIN dw USING (word) JOIN m USING (item_id) "
+        "GROUP BY item_id, doc_id, item_words HAVING count(*) >= greatest(3, ceil(item_words * 0.5))"
+    ),
+)
+def q_token_overlap_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Benchmark items and the documents that share at least half of their distinct words."""
+    return C.word_overlap_pairs(
+        load(spark, data_dir, "benchmark"), "item_id", "text",
+        load(spark, data_dir, "documents"), "doc_id", "text", share=0.5,
+    )
+
+
 # ---------------------------------------------------------------- files / manifests
 
 
