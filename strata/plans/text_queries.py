@@ -248,8 +248,10 @@ def _secret_oracle() -> str:
 
 @query("secret_audit", oracle=_secret_oracle())
 def q_secret_audit(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Secret audit over a file table derived from the documents (paths by source/lang)."""
-    return C.secret_audit(_virtual_files(spark, data_dir), "path", "content")
+    """Secret audit over a tree of real files (one per document, paths by source and language), hidden ones too."""
+    root = _once(spark, "audit", data_dir, lambda: _virtual_files(spark, data_dir).select(F.col("path").alias("rel"), F.col("content").cast("binary").alias("content")))
+    files = src.read_files(src.list_tree(spark, root))
+    return C.secret_audit(files.select(F.col("rel").alias("path"), F.expr("make_valid_utf8(CAST(content AS STRING))").alias("content")))
 
 
 # ---------------------------------------------------------------- rubric / classes
@@ -366,33 +368,42 @@ def q_token_overlap_pairs(spark: SparkSession, data_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- files / manifests
 
 
-_TREES: dict[tuple[int, str], str] = {}
+_TREES: dict[tuple, str] = {}
 
 
-def _corpus_tree(spark: SparkSession, data_dir: str) -> str:
-    """One text file per document, written once per session and data folder."""
-    key = (id(spark), data_dir)
+def _once(spark: SparkSession, tag: str, data_dir: str, files) -> str:
+    """A file tree, written once per application and input; ``files`` gives its (rel, content)."""
+    key = (spark.sparkContext.applicationId, tag, data_dir)
     if key not in _TREES or not src.path_exists(spark, _TREES[key]):
-        docs = load(spark, data_dir, "documents")
-        root = scratch_path(spark, "corpus") + "/tree"
-        src.write_documents(docs, root, "doc_id")
-        decoys = docs.where(F.col("source") == "src0")
-        src.write_documents(decoys, root + "/.venv", "doc_id")
-        src.write_documents(decoys, root + "/__pycache__", "doc_id")
+        root = scratch_path(spark, tag)
+        src.write_tree(files(), root)
         _TREES[key] = root
     return _TREES[key]
 
 
+def _corpus_tree(spark: SparkSession, data_dir: str) -> str:
+    """One text file per document in a folder for each source, copies of one source in folders that are skipped."""
+
+    def files() -> DataFrame:
+        docs = load(spark, data_dir, "documents")
+        folder = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+        decoy = F.when(F.col("source") == "src0", F.array(F.lit(""), F.lit(".venv/"), F.lit("__pycache__/"))).otherwise(F.array(F.lit("")))
+        content = F.concat(F.col("text"), F.lit("\n")).cast("binary")
+        return docs.select(F.explode(decoy).alias("top"), folder.alias("rel"), content.alias("content")).select(F.concat("top", "rel").alias("rel"), "content")
+
+    return _once(spark, "corpus", data_dir, files)
+
+
 @query(
     "load_corpus",
     oracle="SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS sha256 FROM documents",
 )
 def q_load_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Documents written as one text file each (plus copies under skipped folders), loaded back."""
+    """Documents written as one text file each (plus some copies under skipped folders), loaded back."""
     loaded = src.load_documents(spark, _corpus_tree(spark, data_dir), "*.txt")
     text = src.strip_final_newline(F.col("text"))
     return loaded.select(
-        F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+        F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"),
         F.length(text).alias("n_chars"),
         F.sha2(text, 256).alias("sha256"),
     )
@@ -460,4 +471,4 @@ def q_file_manifest(spark: SparkSession, data_dir: str) -> DataFrame:
     """sha256 of every file of the document tree (binary content, skipped folders
     ignored); each file holds the text plus the sink's final newline."""
     man = src.file_manifest(spark, _corpus_tree(spark, data_dir), "*.txt")
-    return man.select(F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "sha256")
+    return man.select(F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), "sha256")

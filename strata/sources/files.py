@@ -158,8 +158,8 @@ IGNORED_FILES = ("uv.lock", ".harness_state.json", ".template-info.json")
 
 
 def _tree_tasks(pattern: str):
-    """Two task functions, self-contained so that executors need no copy of the package:
-    the files below each entry, and the contents of each file."""
+    """Task functions, self-contained so that executors need no copy of the package: the children
+    of a folder, the files below each entry, the contents of each file, and files written."""
 
     def store_of(path):
         from pyarrow import fs
@@ -171,19 +171,38 @@ def _tree_tasks(pattern: str):
         store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
         return store, base.rstrip("/") + "/" + key
 
+    def listed(path, recursive):
+        from pyarrow import fs
+
+        store, base = store_of(path)
+        found = store.get_file_info(fs.FileSelector(base.rstrip("/") or "/", recursive=recursive, allow_not_found=True))
+        cut = len(base.rstrip("/"))
+        return [(f.path[cut:], f.type == fs.FileType.Directory) for f in found if f.type != fs.FileType.NotFound]
+
+    def children(root):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    found = listed(root, False)
+                    for k in range(0, len(found), 10_000):
+                        part = found[k:k + 10_000]
+                        names = [name.lstrip("/") for name, _ in part]
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{root.rstrip('/')}/{n}" for n in names], pa.string()), pa.array(names, pa.string()),
+                                                          pa.array([d for _, d in part], pa.bool_())], names=["path", "name", "is_dir"])
+
+        return run
+
     def below(batches):
         from fnmatch import fnmatchcase
 
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
             paths, rels = [], []
             for path, name, is_dir in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = [""]
-                if is_dir:
-                    store, base = store_of(path)
-                    found = [f.path[len(base):] for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+                found = [f for f, folder in listed(path, True) if not folder] if is_dir else [""]
                 found = [f for f in found if fnmatchcase((name + f).rsplit("/", 1)[-1], pattern)]
                 paths += [path + f for f in found]
                 rels += [name + f for f in found]
@@ -194,37 +213,72 @@ def _tree_tasks(pattern: str):
 
         limit = 16 << 20  # file contents handed over at a time
 
-        def rows(paths, raw):
-            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raw, pa.binary())], names=["path", "content"])
+        def rows(paths, rels, raw):
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rels, pa.string()), pa.array(raw, pa.binary())], names=["path", "rel", "content"])
 
         for batch in batches:
-            paths, raw, size = [], [], 0
-            for path in batch.column("path").to_pylist():
+            paths, rels, raw, size = [], [], [], 0
+            for path, rel in zip(batch.column("path").to_pylist(), batch.column("rel").to_pylist(), strict=True):
                 store, base = store_of(path)
                 with store.open_input_stream(base, compression=None) as f:
                     raw.append(f.read())
                 paths.append(path)
+                rels.append(rel)
                 size += len(raw[-1])
                 if size >= limit:
-                    yield rows(paths, raw)
-                    paths, raw, size = [], [], 0
-            yield rows(paths, raw)
+                    yield rows(paths, rels, raw)
+                    paths, rels, raw, size = [], [], [], 0
+            yield rows(paths, rels, raw)
+
+    def put(root):
+        def run(batches):
+            import pyarrow as pa
 
-    return below, contents
+            made = set()
+            for batch in batches:
+                for rel, raw in zip(batch.column("rel").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    store, base = store_of(f"{root.rstrip('/')}/{rel}")
+                    folder = base.rsplit("/", 1)[0]
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    with store.open_output_stream(base, compression=None) as f:
+                        f.write(raw or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
+        return run
 
-def _tree(spark: SparkSession, directory: str, pattern: str) -> tuple[DataFrame, object]:
-    """(path, rel) of every file below ``directory`` whose name matches, and the reading function.
+    return children, below, contents, put
+
+
+def list_tree(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
+    """(path, rel) of every file below ``directory`` whose name matches; none where it does not exist.
 
     No name is hidden: Spark's own file sources pass over names that start with
-    a dot or an underscore, so tasks list and read the tree themselves. The
-    driver lists the direct children only.
+    a dot or an underscore. One task lists the folder's direct children, which
+    are dealt to all tasks; each lists what is below its share. The driver sees
+    no name.
+    """
+    children, below, _, _ = _tree_tasks(pattern)
+    width = 4 * spark.sparkContext.defaultParallelism
+    tops = spark.range(0, 1, 1, 1).mapInArrow(children(directory), "path string, name string, is_dir boolean")
+    return tops.repartition(width, "path").mapInArrow(below, "path string, rel string")
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """(path, rel, content) of listed files; a folder's files are dealt over all tasks."""
+    width = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "rel").repartition(width, "path").mapInArrow(_tree_tasks("*")[2], "path string, rel string, content binary")
+
+
+def write_tree(files: DataFrame, directory: str) -> int:
+    """Write every row (rel, content binary) as the file ``rel`` below ``directory``; returns how many.
+
+    Tasks write the files themselves, also a task that runs again: it puts the
+    same bytes into the same place. Null contents are empty files.
     """
-    below, contents = _tree_tasks(pattern)
-    tops = [(full, name, is_dir) for name, full, is_dir in list_files(spark, directory)]
-    entries = spark.createDataFrame(tops, "path string, name string, is_dir boolean")
-    width = max(1, min(len(tops), 4 * spark.sparkContext.defaultParallelism))
-    return entries.repartition(width, "path").mapInArrow(below, "path string, rel string"), contents
+    put = _tree_tasks("*")[3](directory)
+    return files.select("rel", "content").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
 
 
 def load_documents(spark: SparkSession, directory: str, pattern: str = "*.md") -> DataFrame:
@@ -235,11 +289,10 @@ def load_documents(spark: SparkSession, directory: str, pattern: str = "*.md") -
     has no documents. Tasks read the files through pyarrow's file systems
     (local, HDFS, S3, GCS).
     """
-    files, contents = _tree(spark, directory, pattern)
+    files = list_tree(spark, directory, pattern)
     for part in SKIP_PATHS:
         files = files.where(~F.col("path").contains(part))
-    read = files.repartition("path").mapInArrow(contents, "path string, content binary")
-    return read.select("path", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("text"))
+    return read_files(files).select("path", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("text"))
 
 
 def write_documents(df: DataFrame, directory: str, key: str, text: str = "text") -> str:
@@ -280,11 +333,10 @@ def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
 def file_manifest(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
     """(path, sha256) of every file below ``directory`` (binary content), hidden ones too,
     without the ignored names and files."""
-    files, contents = _tree(spark, directory, pattern)
+    files = list_tree(spark, directory, pattern)
     ignored = F.arrays_overlap(F.split("rel", "/"), F.array(*[F.lit(n) for n in IGNORED_NAMES]))
     files = files.where(~ignored & ~F.col("rel").isin(*IGNORED_FILES))
-    read = files.repartition("path").mapInArrow(contents, "path string, content binary")
-    return read.select("path", F.sha2("content", 256).alias("sha256"))
+    return read_files(files).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def text_manifest(df: DataFrame, path_col: str, text_col: str) -> DataFrame:

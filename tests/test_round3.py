@@ -125,3 +125,18 @@ def test_word_overlap_pairs(spark, hot):
                 want.append((i, d, n, len(w)))
     assert got == sorted(want) and got
     assert word_overlap_pairs(asked.where("1 = 0"), "item_id", "text", docs, "doc_id", "text").count() == 0
+
+
+def test_a_big_folder_is_read_by_several_tasks(spark):
+    from strata.session import scratch_path
+    from strata.sources import files as src
+
+    root = scratch_path(spark, "t-tree")
+    rows = spark.range(3000).select(F.concat(F.lit("one/"), F.col("id").cast("string"), F.lit(".md")).alias("rel"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    assert src.write_tree(rows, root) == 3000
+    assert src.write_tree(rows.where("id < 5"), root) == 5  # a task that runs again changes nothing
+    read = src.read_files(src.list_tree(spark, root, "*.md")).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in read.groupBy("task").count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 4 and max(sizes) < 1000
+    assert read.where("content <> encode(regexp_extract(rel, '([0-9]+)', 1), 'utf-8')").count() == 0
+    assert src.list_tree(spark, root + "/missing").count() == 0
