@@ -7,11 +7,11 @@ Exact search never materialises (query, vector) pairs as rows:
   normalised matrix; larger query sets run in hash batches under the bound,
   so the answer stays exact;
 * every Arrow batch of corpus vectors is scored against that matrix with one
-  matrix product (numpy, inside the task) and only its local top-k
-  candidates per query leave the task (ties at the cut are kept);
+  matrix product (numpy, inside the task); the task keeps its k best of each
+  query from batch to batch and hands over just those;
 * Spark ranks the candidates per query (``row_number() <= k``, a
   WindowGroupLimit), so each query's final group holds at most
-  k x batches rows, never the corpus.
+  k x tasks rows, never the corpus.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: lis
 
         ids_q, m = bc.value
         q_arr = np.asarray(ids_q, dtype=object)
+        best, least = None, np.full(len(ids_q), -np.inf)
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty:
@@ -60,15 +61,19 @@ def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: lis
                 continue
             s = x @ m.T  # rows x queries
             n = s.shape[0]
-            if n > k:
-                kth = np.partition(s, n - k, axis=0)[n - k]  # k-th largest per query
-                rows, cols = np.nonzero(s >= kth[None, :])
-            else:
-                rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
-            out = pd.DataFrame({"query_id": q_arr[cols], id_col: pdf[id_col].to_numpy()[rows]})
+            cut = np.maximum(least, np.partition(s, n - k, axis=0)[n - k]) if n > k else least
+            rows, cols = np.nonzero(s >= cut[None, :])
+            part = pdf[[id_col, *carry]].iloc[rows].assign(_q=cols, _s=s[rows, cols])
+            best = part if best is None else pd.concat([best, part])
+            best = best.sort_values(["_q", "_s", id_col], ascending=[True, False, True]).groupby("_q").head(k)
+            full = best.groupby("_q")["_s"].agg(["size", "min"])
+            full = full[full["size"] == k]
+            least[full.index.to_numpy()] = full["min"].to_numpy()
+        if best is not None and len(best):
+            out = pd.DataFrame({"query_id": q_arr[best["_q"].to_numpy()], id_col: best[id_col].to_numpy()})
             for c in carry:
-                out[c] = pdf[c].to_numpy()[rows]
-            out["score"] = s[rows, cols]
+                out[c] = best[c].to_numpy()
+            out["score"] = best["_s"].to_numpy()
             yield out
 
     return corpus.select(id_col, vec_col, *carry).mapInPandas(score_batches, schema)
@@ -87,6 +92,8 @@ def cosine_top_k(
 ) -> DataFrame:
     """Top-k corpus rows per query by cosine similarity (ties by id).
 
+    A query id counts once: of several rows with one id, the smallest vector.
+
     Output: query_id, id_col, carried corpus columns, score, rank.
     """
     spark = corpus.sparkSession
@@ -109,6 +116,7 @@ def cosine_top_k(
         rows = g.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).collect()  # bounded above
         if not rows:
             continue
+        rows = list({r[0]: r for r in sorted(rows, key=lambda r: list(r[1]), reverse=True)}.values())
         qmat, ok = _unit_rows([r[1] for r in rows])
         qids = [r[0] for r, keep in zip(rows, ok) if keep]
         if not qids:

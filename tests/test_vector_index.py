@@ -70,3 +70,14 @@ def test_only_probed_folders_are_read(built):
     out = V.search(index, df.where("id = 7"), "id", "vec", 5, probes=2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan and " IN (" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_repeated_query_ids_get_k_rows(spark):
+    from strata.operators.vector_search import cosine_top_k
+
+    df, x = _clusters(spark, 400)
+    q = spark.createDataFrame([(1, [1.0] * 16), (1, [1.0] * 16), (2, [0.5] * 16)], "q long, v array<double>")
+    got = cosine_top_k(df.repartition(5), "id", "vec", q, "q", "v", 6).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(i, k) for i in (1, 2) for k in range(1, 7)]
+    s = (x / np.linalg.norm(x, axis=1)[:, None]) @ np.full(16, 0.25)
+    assert [r["id"] for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))][:6] == sorted(range(400), key=lambda i: (-round(s[i], 12), i))[:6]
