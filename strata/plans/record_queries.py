@@ -446,23 +446,49 @@ def evidence(spark: SparkSession, data_dir: str) -> DataFrame:
 EVIDENCE_SQL = "SELECT " + ", ".join(_evidence_exprs(_K_DUCK, "hour(ts)")).replace("AS STRING", "AS VARCHAR") + " FROM events"
 
 
-def _score_sql_ctes(flags: dict[str, str] | None = None) -> str:
+# The expected scores, written out by hand from the rules (nothing of the operator is used):
+# one column for the score after every modifier, and a recursion over the research rounds.
+_LABELLED_SQL = (
+    f"e AS ({EVIDENCE_SQL}), "
+    "c AS (SELECT *, lower(description || ' ' || task_type) AS words, "
+    "CASE WHEN regexp_matches(words, 'security|auth|secret|credential|production_deploy|delete_data') THEN 'critical' "
+    "WHEN regexp_matches(words, 'architecture|breaking_change|migration|schema_change|config_change') THEN 'important' "
+    "WHEN regexp_matches(words, 'new_feature|refactor|pipeline|agent') THEN 'standard' ELSE 'advisory' END AS category FROM e), "
+    "t AS (SELECT *, (CASE category WHEN 'critical' THEN 0.98 WHEN 'important' THEN 0.95 WHEN 'standard' THEN 0.90 ELSE 0.80 END)::DOUBLE AS threshold, "
+    "CASE WHEN mcp_result = 'disagrees' THEN 'conflict' WHEN mcp_result = 'agrees' THEN if(kb_found, 'high', 'mcp_only') "
+    "ELSE if(kb_found, 'medium', 'low') END AS agreement_level, "
+    "(CASE agreement_level WHEN 'high' THEN 0.95 WHEN 'mcp_only' THEN 0.85 WHEN 'medium' THEN 0.75 ELSE 0.50 END)::DOUBLE AS base_score FROM c)"
+)
+
+
+def _scored_sql(base: str, fresh: str, stale: str, breaking: str, prod: str, noex: str, exact: str, tangential: str, multi: str, improved: str) -> str:
+    """Columns s1 .. s9: the score after each modifier, kept between 0 and 1."""
     return (
-        f"e AS ({EVIDENCE_SQL}), "
-        f"k AS (SELECT *, {S.category_sql('description', 'task_type')} AS category, {S.kb_key_sql('kb_found')} AS kb_key, "
-        f"{S.mcp_key_sql('mcp_result')} AS mcp_key FROM e), "
-        f"k2 AS (SELECT *, {S.threshold_sql('category')} AS threshold FROM k), "
-        f"j AS (SELECT k2.*, agreement.agreement_level, agreement.base_score FROM k2 LEFT JOIN {S.agreement_table_sql()} "
-        "ON k2.kb_key = agreement.kb_key AND k2.mcp_key = agreement.mcp_key), "
-        f"s AS (SELECT *, {S.fold_sql('base_score', flags or S.initial_flags())} AS final_score FROM j), "
-        f"d AS (SELECT *, {S.decide_sql('final_score', 'threshold', 'category', '0')} AS decision FROM s)"
+        f"greatest(0, least(1, {base} + if({fresh}, 0.05::DOUBLE, 0))) AS s1, greatest(0, least(1, s1 - if({stale}, 0.05::DOUBLE, 0))) AS s2, "
+        f"greatest(0, least(1, s2 - if({breaking}, 0.15::DOUBLE, 0))) AS s3, greatest(0, least(1, s3 + if({prod}, 0.05::DOUBLE, 0))) AS s4, "
+        f"greatest(0, least(1, s4 - if({noex}, 0.05::DOUBLE, 0))) AS s5, greatest(0, least(1, s5 + if({exact}, 0.05::DOUBLE, 0))) AS s6, "
+        f"greatest(0, least(1, s6 - if({tangential}, 0.05::DOUBLE, 0))) AS s7, greatest(0, least(1, s7 + if({multi}, 0.05::DOUBLE, 0))) AS s8, "
+        f"greatest(0, least(1, s8 + if({improved}, 0.03::DOUBLE, 0))) AS s9"
     )
 
 
-@query(
-    "score_records",
-    oracle=f"WITH {_score_sql_ctes()} SELECT id, category, threshold, agreement_level, base_score, final_score FROM d",
+def _decided_sql(score: str, rounds: str) -> str:
+    return (
+        f"CASE WHEN {score} >= threshold THEN 'execute' "
+        f"WHEN {rounds} < 3 AND (category IN ('standard', 'advisory') OR {score} >= threshold - 0.1::DOUBLE) THEN 'research' "
+        "WHEN category = 'critical' THEN 'refuse' WHEN category = 'important' THEN 'ask_user' WHEN category = 'advisory' THEN 'disclaim' "
+        f"WHEN {score} >= threshold - 0.1::DOUBLE THEN 'disclaim' ELSE 'ask_user' END"
+    )
+
+
+_SCORED_SQL = (
+    f"WITH {_LABELLED_SQL}, s AS (SELECT *, "
+    + _scored_sql("base_score", "c_fresh", "c_stale", "c_breaking", "c_prod", "c_noex", "c_exact", "c_tangential", "c_multi", "false")
+    + f", round(s9, 4) AS final_score, {_decided_sql('final_score', '0')} AS decision FROM t) "
 )
+
+
+@query("score_records", oracle=_SCORED_SQL + "SELECT id, category, threshold, agreement_level, base_score, final_score FROM s")
 def q_score_records(spark: SparkSession, data_dir: str) -> DataFrame:
     """Category, threshold, agreement level, base score and clamped modifier fold per evidence row."""
     return S.score(evidence(spark, data_dir)).select(
@@ -470,27 +496,34 @@ def q_score_records(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "score_decisions",
-    oracle=f"WITH {_score_sql_ctes()} SELECT id, final_score, decision FROM d",
-)
+@query("score_decisions", oracle=_SCORED_SQL + "SELECT id, final_score, decision FROM s")
 def q_score_decisions(spark: SparkSession, data_dir: str) -> DataFrame:
     return S.score(evidence(spark, data_dir)).select("id", "final_score", "decision")
 
 
 def _rounds_sql() -> str:
-    ctes = [_score_sql_ctes(S.lookup_flags())]
-    init = ", ".join(f"{v} AS {k}" for k, v in S.init_round_exprs())
-    ctes.append(f"r0 AS (SELECT *, {init}, false AS _go FROM d)")
-    prev = "r0"
-    for r in range(1, S.MAX_ROUNDS + 1):
-        rep = ", ".join(f"{v} AS {k}" for k, v in S.round_exprs(r))
-        ctes.append(f"r{r}a AS (SELECT * REPLACE ({rep}) FROM {prev})")
-        (fk, fv), (dk, dv) = S.rescore_exprs()
-        ctes.append(f"r{r}b AS (SELECT * REPLACE ({fv} AS {fk}) FROM r{r}a)")
-        ctes.append(f"r{r} AS (SELECT * REPLACE ({dv} AS {dk}) FROM r{r}b)")
-        prev = f"r{r}"
-    return "WITH " + ", ".join(ctes) + f" SELECT id, rounds, mcp_result_r AS mcp_result, final_score, decision FROM {prev}"
+    # what a lookup in the knowledge base can tell, and a breaking change is not among it
+    seen = "kb_found AND c_fresh AS fresh, kb_found AND c_stale AND NOT c_fresh AS stale, false AS breaking, kb_found AND c_prod AS prod, " \
+        "kb_found AND c_noex AND NOT c_prod AS noex, kb_found AND c_exact AS exact, kb_found AND c_tangential AND NOT c_exact AS tangential, " \
+        "kb_found AND c_multi AS multi, false AS improved"
+    flags = "fresh, stale, breaking, prod, noex, exact, tangential, multi, improved"
+    state = f"id, category, threshold, kb_found, mcp_available, mcp_agrees, mcp_fresh, mcp_prod, mcp_breaking, web_found, web_prod, {flags}"
+    columns = "fresh stale breaking prod noex exact tangential multi improved".split()
+    after = "(CASE WHEN told = 'agrees' THEN if(kb_found, 0.95, 0.85) WHEN told = 'disagrees' THEN 0.50 ELSE if(kb_found, 0.75, 0.50) END)::DOUBLE"
+    return (
+        f"WITH RECURSIVE {_LABELLED_SQL}, f AS (SELECT *, {seen} FROM t), "
+        f"r(rounds, {state}, mcp_result, final_score, decision) AS ("
+        f"SELECT 0, {state}, mcp_result, round(s9, 4) AS score, {_decided_sql('score', '0')} FROM (SELECT *, {_scored_sql('base_score', *columns)} FROM f) "
+        "UNION ALL "
+        f"SELECT n, {state}, told, round(s9, 4) AS score, {_decided_sql('score', 'n')} FROM (SELECT *, {_scored_sql(after, *columns)} FROM ("
+        "SELECT rounds + 1 AS n, mcp_available AND mcp_result = 'silent' AS asked, web_found AND final_score < threshold - 0.05::DOUBLE AS web, "
+        "id, category, threshold, kb_found, mcp_available, mcp_agrees, mcp_fresh, mcp_prod, mcp_breaking, web_found, web_prod, "
+        "fresh OR (asked AND mcp_fresh) AS fresh, stale, breaking OR (asked AND mcp_breaking) AS breaking, "
+        "prod OR (asked AND mcp_prod) OR (web AND web_prod) AS prod, noex, exact, tangential, multi, improved OR web AS improved, "
+        "CASE WHEN asked THEN if(mcp_agrees, 'agrees', 'disagrees') ELSE r.mcp_result END AS told "
+        "FROM r WHERE decision = 'research')) ) "
+        "SELECT id, rounds, mcp_result, final_score, decision FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY rounds DESC) = 1"
+    )
 
 
 @query("score_rounds", oracle=_rounds_sql())
