@@ -29,11 +29,6 @@ def chunk_starts(text: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:
-    """Array of chunk strings (character windows, not bytes)."""
-    return F.transform(chunk_starts(text, size, overlap), lambda s: F.substring(text, s + 1, size))
-
-
 def occurrences(text: Column, literal: str) -> Column:
     """Non-overlapping occurrences of a literal substring (like ``str.count``)."""
     if not literal:
@@ -60,10 +55,3 @@ def words(text: Column) -> Column:
 def slug(text: Column, width: int = 40) -> Column:
     """Lower-case, spaces and slashes to dashes, cut to ``width`` characters."""
     return F.substring(F.regexp_replace(F.lower(text), "[ /]", "-"), 1, width)
-
-
-def contains_any(text: Column, needles: list[str]) -> Column:
-    cond = F.lit(False)
-    for n in needles:
-        cond = cond | text.contains(n)
-    return cond

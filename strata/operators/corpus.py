@@ -10,6 +10,7 @@ item x index count, never by corpus size.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +59,7 @@ class TextRule:
 
 
 def _builtin_conditions(t: Column, lo: Column) -> dict[str, Column]:
+    # The texts the review rules look for.
     conds = {
         "print_without_logging": t.contains("print(") & ~t.contains("import logging"),
         "hardcoded_secret": lo.contains("password") | lo.contains("secret"),
@@ -191,6 +193,7 @@ def secret_audit(files: DataFrame, path: str = "path", content: str = "content")
 
 # Rubric phrases and weights of the document gates.
 DEFINE_CRITERIA = ("problem scope", "success metric", "stakeholders", "constraints", "dependencies")
+DESIGN_TOPICS = ("file manifest", "adr", "schema", "flow")
 DEFINE_POINTS = 3
 DEFINE_PASS = 12
 GATE_WEIGHTS = {"spec_completeness": 30, "code_quality": 70}
@@ -206,12 +209,9 @@ def rubric_columns(text: Column) -> dict[str, Column]:
         & (lo.contains("success") | lo.contains("criteria"))
     )
     define_score = sum(F.when(lo.contains(c), DEFINE_POINTS).otherwise(0) for c in DEFINE_CRITERIA)
-    design = (
-        (text.contains("## File Manifest") | lo.contains("file manifest"))
-        & lo.contains("adr")
-        & (lo.contains("schema") | text.contains("## Schema"))
-        & (lo.contains("flow") | lo.contains("data flow"))
-    )
+    design = F.lit(True)
+    for topic in DESIGN_TOPICS:  # in any case, as headings or in the text
+        design = design & lo.contains(topic)
     return {
         "approach_sections": occurrences(text, "## Approach"),
         "brainstorm_passed": brainstorm,
@@ -251,43 +251,49 @@ PATTERN_KEYWORDS = [
     ("hierarchical", ["complex_workflow", "multi_phase", "sub_orchestrate", "delegate", "escalate", "tiered"]),
 ]
 PATTERN_DEFAULT = "sequential"
-DOMAIN_KEYS = ["etl", "analytics", "ml", "rag", "real_time", "reporting", "full_stack", "data_quality",
-               "code_generation"]
+DOMAIN_KEYWORDS = [
+    ("etl", ["etl"]),
+    ("analytics", ["analytics"]),
+    ("ml", ["ml"]),
+    ("rag", ["rag"]),
+    ("real_time", ["real_time", "real time"]),
+    ("reporting", ["reporting"]),
+    ("full_stack", ["full_stack", "full stack"]),
+    ("data_quality", ["data_quality", "data quality"]),
+    ("code_generation", ["code_generation", "code generation"]),
+]
 DOMAIN_DEFAULT = "full_stack"
 
 
-def _first_match(lo: Column, table: list[tuple[str, list[str]]], default: str) -> Column:
+def whole_word(keyword: str) -> str:
+    """A pattern that finds ``keyword`` (lower case) only where no letter, digit or underscore touches it."""
+    return f"(^|[^a-z0-9_]){re.escape(keyword)}([^a-z0-9_]|$)"
+
+
+def _first_match(lo: Column, table: list[tuple[str, list[str]]], default: str, whole_words: bool = False) -> Column:
     expr = None
     for label, kws in table:
         cond = F.lit(False)
         for kw in kws:
-            cond = cond | lo.contains(kw)
+            cond = cond | (lo.rlike(whole_word(kw)) if whole_words else lo.contains(kw))
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(default))
 
 
-def domain_synonyms(key: str) -> list[str]:
-    out = [key]
-    for s in (key.replace("_", " "), key.replace("-", " ")):
-        if s not in out:
-            out.append(s)
-    return out
-
-
-def classify_frame(df: DataFrame, key: str, text: str) -> DataFrame:
+def classify_frame(df: DataFrame, key: str, text: str, whole_words: bool = False) -> DataFrame:
     """key, category, pattern, domain; the lower-cased text is projected once."""
     staged = df.select(F.col(key), F.lower(F.col(text)).alias("_lo"))
-    cls = classify(F.col("_lo"), lowered=True)
+    cls = classify(F.col("_lo"), lowered=True, whole_words=whole_words)
     return staged.select(F.col(key), *[v.alias(k) for k, v in cls.items()])
 
 
-def classify(text: Column, lowered: bool = False) -> dict[str, Column]:
+def classify(text: Column, lowered: bool = False, whole_words: bool = False) -> dict[str, Column]:
+    """First keyword that occurs, anywhere in the text ("author" has "auth") or, with ``whole_words``, as a word."""
     lo = text if lowered else F.lower(text)
-    domain = _first_match(lo, [(k, domain_synonyms(k)) for k in DOMAIN_KEYS], DOMAIN_DEFAULT)
     return {
-        "category": _first_match(lo, CATEGORY_KEYWORDS, CATEGORY_DEFAULT),
-        "pattern": _first_match(lo, PATTERN_KEYWORDS, PATTERN_DEFAULT),
-        "domain": domain,
+        "category": _first_match(lo, CATEGORY_KEYWORDS, CATEGORY_DEFAULT, whole_words),
+        "pattern": _first_match(lo, PATTERN_KEYWORDS, PATTERN_DEFAULT, whole_words),
+        "domain": _first_match(lo, DOMAIN_KEYWORDS, DOMAIN_DEFAULT, whole_words),
     }
 
 

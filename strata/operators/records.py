@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.time import epoch_us, ntz_literal
+from strata.operators.ledger import sequence_numbers
 
 # Task type -> learning category, agent type -> domain, and the
 # confidences assigned to error / non-empty / other results.
@@ -255,6 +256,18 @@ def apply_plan(records: DataFrame, min_confidence: float | None = None) -> DataF
     )
 
 
+def ordered_catalog(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Entries numbered within each ``key`` by ``order`` (entry_no from 1), and the key's number of entries (``<key>_entries``).
+
+    Positions come from range partitions and their offsets, so a key with most
+    of the entries is spread over many tasks; only its first position and its
+    size, one row for each key, are joined back.
+    """
+    placed = sequence_numbers(entries, [F.col(c) for c in (key, *order)])
+    firsts = placed.groupBy(key).agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias(f"{key}_entries"))
+    return placed.join(firsts, key).withColumn("entry_no", F.col("seq") - F.col("_first") + 1).drop("seq", "_first")
+
+
 def liveness(
     heartbeats: DataFrame,
     key: str,

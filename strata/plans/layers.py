@@ -16,6 +16,7 @@ from strata.plans.medallion import (
     medallion_flow,
 )
 from strata.plans.registry import TABLES, load, query
+from strata.plans.sqlrun import transform
 from strata.plans.tables import TABLE_COLUMNS, union_sql
 from strata.session import scratch_path
 from strata.sources import datagen as gen
@@ -155,13 +156,14 @@ def q_layer_tables(spark: SparkSession, data_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- export / CTAS
 
 
-@query("export_roundtrip", oracle="SELECT * FROM orders")
+@query("export_roundtrip", oracle="SELECT 'parquet' AS format, * FROM orders UNION ALL SELECT 'csv', * FROM orders")
 def q_export_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Orders exported as Parquet and as CSV, both read back."""
     orders = load(spark, data_dir, "orders")
     root = scratch_path(spark, "export")
-    src.export_table(orders, f"{root}/orders.parquet", "parquet")
-    src.export_table(orders, f"{root}/orders.csv", "csv")
-    return spark.read.parquet(f"{root}/orders.parquet")
+    parquet = spark.read.parquet(src.export_table(orders, f"{root}/orders.parquet", "parquet"))
+    csv = src.read_csv(spark, src.export_table(orders, f"{root}/orders.csv", "csv"), schema=orders.schema)
+    return parquet.select(F.lit("parquet").alias("format"), "*").unionByName(csv.select(F.lit("csv").alias("format"), "*"))
 
 
 _CTAS_SQL = (
@@ -176,7 +178,7 @@ def q_transform_ctas(spark: SparkSession, data_dir: str) -> DataFrame:
     """Materialise a SQL result as a table (create or replace)."""
     lake = fresh_lake(spark, "t")
     load(spark, data_dir, "orders").createOrReplaceTempView("orders")
-    lake.write(spark.sql(_CTAS_SQL), "gold", "order_status_totals")
+    transform(lake, _CTAS_SQL, "order_status_totals")
     return lake.table("gold", "order_status_totals")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.text import slug
 from strata.functions.time import epoch_us
 from strata.operators import ledger as L
 from strata.operators import records as R
@@ -366,6 +367,36 @@ def q_error_catalog(spark: SparkSession, data_dir: str) -> DataFrame:
     return entries.join(sizes, "day").orderBy("day", "ts_us", "event_id")
 
 
+@query(
+    "error_catalog_domains",
+    oracle=(
+        "SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY ts, id) AS entry_no, "
+        "'### ' || title || chr(10) || chr(10) || substr(body, 1, 500) AS entry, "
+        "count(*) OVER (PARTITION BY domain) AS domain_entries "
+        f"FROM ({RECORDS_SQL}) WHERE category IN ('error_resolution', 'agent_improvement')"
+    ),
+)
+def q_error_catalog_domains(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Catalog entries of each domain in order of time, numbered without one task for a domain."""
+    recs = records(spark, data_dir).where(F.col("category").isin("error_resolution", "agent_improvement"))
+    entry = F.concat(F.lit("### "), F.col("title"), F.lit("\n\n"), F.substring("body", 1, 500))
+    return R.ordered_catalog(recs.select("domain", "ts", "id", entry.alias("entry")), "domain", ["ts", "id"]).select(
+        "domain", "id", "entry_no", "entry", "domain_entries")
+
+
+@query(
+    "article_files",
+    oracle=(
+        "SELECT id, 'kb/' || domain || '/concepts/' || substr(regexp_replace(lower(title), '[ /]', '-', 'g'), 1, 40) || '.md' AS file "
+        f"FROM ({RECORDS_SQL}) WHERE category = 'kb_insight'"
+    ),
+)
+def q_article_files(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The article file that each insight goes to: its domain's folder, its title as a slug."""
+    recs = records(spark, data_dir).where(F.col("category") == "kb_insight")
+    return recs.select("id", F.concat(F.lit("kb/"), F.col("domain"), F.lit("/concepts/"), slug(F.col("title")), F.lit(".md")).alias("file"))
+
+
 # ---------------------------------------------------------------- ledger
 
 

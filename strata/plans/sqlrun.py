@@ -22,20 +22,9 @@ def run_query(spark: SparkSession, sql: str, args: dict[str, Any] | None = None)
     return spark.sql(sql, args=args) if args else spark.sql(sql)
 
 
-def describe_result(df: DataFrame) -> DataFrame:
-    """Rows and column list of a result (the count is the only action)."""
-    spark = df.sparkSession
-    return spark.createDataFrame([(df.count(), ",".join(df.columns))], "rows bigint, columns string")
-
-
 def transform(lake: Lake, sql: str, output_table: str, layer: str = "gold") -> int:
     """CTAS (create or replace); returns the row count observed on the write."""
-    check_identifier(output_table)
-    return lake.write(spark_sql(lake.spark, sql), layer, output_table)
-
-
-def spark_sql(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql)
+    return lake.write(lake.spark.sql(sql), layer, check_identifier(output_table))
 
 
 def read_jdbc(

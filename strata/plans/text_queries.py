@@ -262,9 +262,7 @@ def _occ_sql(lit: str) -> str:
 
 
 _DESIGN_SQL = (
-    "((contains(text, '## File Manifest') OR contains(lower(text), 'file manifest')) AND contains(lower(text), 'adr') "
-    "AND (contains(lower(text), 'schema') OR contains(text, '## Schema')) "
-    "AND (contains(lower(text), 'flow') OR contains(lower(text), 'data flow')))"
+    "(contains(lower(text), 'file manifest') AND contains(lower(text), 'adr') AND contains(lower(text), 'schema') AND contains(lower(text), 'flow'))"
 )
 _DEFINE_SQL = " + ".join(f"CASE WHEN contains(lower(text), '{c}') THEN 3 ELSE 0 END" for c in C.DEFINE_CRITERIA)
 
@@ -315,7 +313,7 @@ def _first_match_sql(table, default) -> str:
     oracle=(
         f"SELECT doc_id, {_first_match_sql(C.CATEGORY_KEYWORDS, C.CATEGORY_DEFAULT)} AS category, "
         f"{_first_match_sql(C.PATTERN_KEYWORDS, C.PATTERN_DEFAULT)} AS pattern, "
-        f"{_first_match_sql([(k, C.domain_synonyms(k)) for k in C.DOMAIN_KEYS], C.DOMAIN_DEFAULT)} AS domain "
+        f"{_first_match_sql(C.DOMAIN_KEYWORDS, C.DOMAIN_DEFAULT)} AS domain "
         "FROM documents"
     ),
 )
@@ -324,6 +322,23 @@ def q_keyword_classify(spark: SparkSession, data_dir: str) -> DataFrame:
     return C.classify_frame(load(spark, data_dir, "documents"), "doc_id", "text")
 
 
+def _whole_word_sql(table: list, default: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])({'|'.join(kws)})([^a-z0-9_]|$)') THEN '{label}'" for label, kws in table)
+    return f"CASE {cases} ELSE '{default}' END"
+
+
+@query(
+    "keyword_classify_words",
+    oracle=(
+        f"SELECT doc_id, {_whole_word_sql(C.CATEGORY_KEYWORDS, C.CATEGORY_DEFAULT)} AS category, "
+        f"{_whole_word_sql(C.PATTERN_KEYWORDS, C.PATTERN_DEFAULT)} AS pattern, {_whole_word_sql(C.DOMAIN_KEYWORDS, C.DOMAIN_DEFAULT)} AS domain FROM documents"
+    ),
+)
+def q_keyword_classify_words(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same classes, keywords counting as whole words only."""
+    return C.classify_frame(load(spark, data_dir, "documents"), "doc_id", "text", whole_words=True)
+
+
 def _words_sql(key: str, table: str) -> str:
     return (
         f"SELECT DISTINCT {key}, w AS word FROM (SELECT {key}, "

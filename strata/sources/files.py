@@ -37,14 +37,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def _has_quoted_newlines(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether some line of a CSV leaves a quote open: then a record goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False,
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None,
     sampling_ratio: float = 1.0,
 ) -> DataFrame:
-    """Header CSV. ``multi_line`` (quoted newlines) makes files unsplittable, so
-    it is off by default. Without a schema, types are inferred from a
-    ``sampling_ratio`` share of the rows (one extra pass over that share);
-    very large inputs should pass a schema or a small ratio."""
+    """Header CSV. Records with quoted newlines need ``multi_line``, which makes
+    files unsplittable; by default one pass over the lines finds out whether
+    there are any (it stops at the first; pass False or True to save it).
+    Without a schema, types are inferred from a ``sampling_ratio`` share of the
+    rows (one extra pass over that share); very large inputs should pass a
+    schema or a small ratio."""
+    if multi_line is None:
+        multi_line = _has_quoted_newlines(spark, path)
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)

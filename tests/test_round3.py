@@ -140,3 +140,41 @@ def test_a_big_folder_is_read_by_several_tasks(spark):
     assert sum(sizes) == 3000 and len(sizes) > 4 and max(sizes) < 1000
     assert read.where("content <> encode(regexp_extract(rel, '([0-9]+)', 1), 'utf-8')").count() == 0
     assert src.list_tree(spark, root + "/missing").count() == 0
+
+
+def test_csv_with_quoted_newlines_keeps_its_records(spark):
+    import os
+
+    from strata.session import local_path, scratch_path
+    from strata.sources.files import read_csv
+
+    root = local_path(scratch_path(spark, "t-csv"))
+    os.makedirs(root)
+    for name, text in (("plain.csv", 'id,note\n1,"a ""quoted"" word"\n2,b\n'), ("lines.csv", 'id,note\n1,"two\nlines, ""here"""\n2,b\n')):
+        with open(f"{root}/{name}", "w") as f:
+            f.write(text)
+    assert [tuple(r) for r in read_csv(spark, f"{root}/plain.csv").orderBy("id").collect()] == [(1, 'a "quoted" word'), (2, "b")]
+    assert [tuple(r) for r in read_csv(spark, f"{root}/lines.csv").orderBy("id").collect()] == [(1, 'two\nlines, "here"'), (2, "b")]
+    assert read_csv(spark, f"{root}/lines.csv", multi_line=False).count() == 3
+
+
+def test_catalog_numbers_follow_each_key(spark):
+    from strata.operators.records import ordered_catalog
+
+    rows = [("a", i % 7, i, f"e{i}") for i in range(200)] + [("b", 1, 500, "x"), ("c", 1, 501, "y"), ("c", 0, 502, "z")]
+    got = ordered_catalog(spark.createDataFrame(rows, "domain string, ts int, id int, entry string"), "domain", ["ts", "id"]).collect()
+    want = {}
+    for key in "abc":
+        mine = sorted((t, i) for d, t, i, _ in rows if d == key)
+        want |= {i: (key, k + 1, len(mine)) for k, (_, i) in enumerate(mine)}
+    assert {r["id"]: (r["domain"], r["entry_no"], r["domain_entries"]) for r in got} == want
+
+
+def test_whole_word_keywords(spark):
+    from strata.operators.corpus import classify_frame
+
+    df = spark.createDataFrame([(1, "the author"), (2, "auth failed"), (3, "re-auth, now"), (4, "AUTH"), (5, "oauth_token")], "id int, t string")
+    anywhere = {r["id"]: r["category"] for r in classify_frame(df, "id", "t").collect()}
+    words = {r["id"]: r["category"] for r in classify_frame(df, "id", "t", whole_words=True).collect()}
+    assert anywhere == dict.fromkeys(range(1, 6), "critical")
+    assert words == {1: "advisory", 2: "critical", 3: "critical", 4: "critical", 5: "advisory"}
