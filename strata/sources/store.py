@@ -154,50 +154,54 @@ class VersionedStore:
         """
         current = self.version()
         old = self.manifest(current)
-        note = old["note"] | (note or {})
+        note, new = old["note"] | (note or {}), current + 1
         incoming = incoming.select(*self.schema.names)
         rows = upsert_latest(incoming.limit(0), incoming, self.keys, version).select(*self.schema.names).withColumn(BUCKET, self._bucket())
-        stored = self._folders(old["folders"])
-        a, b = rows.alias("a"), stored.alias("b")
+        if not old["folders"]:
+            self._write(rows, f"{self.root}/data/v={new}")
+            return self._close(current, old, {}, note, self._read(f"{self.root}/data/v={new}").count(), 0)
+        drafts = f"{self.root}/_drafts/{uuid.uuid4().hex[:12]}"
+        # incoming rows by partition: only the stored folders of those partitions are read
+        self._write(rows, f"{drafts}/rows")
+        touched = {f: v for f, v in old["folders"].items() if f in set(self._list_partitions(f"{drafts}/rows"))}
+        a, b = self._read(f"{drafts}/rows").alias("a"), self._folders(touched).alias("b")
         known = a.join(b, self._same_key("a", "b"), "left").where(F.col(f"b.{BUCKET}").isNull() | (~self._same("a", "b") & (F.col(f"a.{version}") >= F.col(f"b.{version}"))))
-        changed = known.select("a.*", F.col(f"b.{BUCKET}").isNull().alias("_new"))
-        draft = f"{self.root}/_drafts/{uuid.uuid4().hex[:12]}"
-        changed.write.parquet(draft)
-        changed = self.spark.read.schema(changed.schema).parquet(draft)
-        counts = changed.agg(F.count_if("_new").alias("added"), F.count_if(~F.col("_new")).alias("changed")).collect()[0]
-        result = {"version": current, "added": counts["added"], "changed": counts["changed"]}
-        if not (counts["added"] or counts["changed"]):
-            delete_path(self.spark, draft)
-            if note != old["note"]:
-                self._publish(current + 1, old["folders"], note)
-                result["version"] = current + 1
-            return result
-        touched = self._touched(changed, old["folders"])
-        fresh = changed.drop("_new")
-        a, b = self._folders(touched).alias("a"), fresh.select(*self.keys, BUCKET).alias("b")
-        merged = a.join(b, self._same_key("a", "b"), "left_anti").unionByName(fresh)
-        new = current + 1
-        out = f"{self.root}/data/v={new}"
-        delete_path(self.spark, out)  # what an attempt that never published may have left
+        changed = known.select("a.*", F.col(f"b.{BUCKET}").isNull().alias("_added"))
+        self._write(changed, f"{drafts}/changed", "_added")
+        fresh = self._read(f"{drafts}/changed", "_added")
+        counts = {r["_added"]: r["count"] for r in fresh.groupBy("_added").count().collect()}
+        kept = old["folders"]
+        if counts:
+            hit = set(self._list_partitions(f"{drafts}/changed"))
+            touched = {f: v for f, v in touched.items() if f in hit}
+            kept = {f: v for f, v in kept.items() if f not in hit}
+            a, b = self._folders(touched).alias("a"), fresh.select(*self.keys, BUCKET).alias("b")
+            self._write(a.join(b, self._same_key("a", "b"), "left_anti").unionByName(fresh.drop("_added")), f"{self.root}/data/v={new}")
+        result = self._close(current, old, kept, note, counts.get(True, 0), counts.get(False, 0))
+        delete_path(self.spark, drafts)
+        return result
+
+    def _close(self, current: int, old: dict, kept: dict, note: dict, added: int, changed: int) -> dict:
+        """Publish the version after ``current`` if rows or the note changed."""
+        result = {"version": current, "added": added, "changed": changed}
+        if added or changed:
+            kept = kept | {f: current + 1 for f in self._list_partitions(f"{self.root}/data/v={current + 1}")}
+        if added or changed or note != old["note"]:
+            self._publish(current + 1, kept, note)
+            result["version"] = current + 1
+        return result
+
+    def _write(self, rows: DataFrame, path: str, *more: str) -> None:
+        """Rows by partition below ``path``."""
+        delete_path(self.spark, path)  # what an attempt that never published may have left
         width = max(1, min(self.spark.sparkContext.defaultParallelism * 4, 4 * self.buckets))
-        merged.select(*self._stored_schema().names).repartition(width, *self.partitions).write.partitionBy(*self.partitions).parquet(out)
-        written = self._list_partitions(out)
-        self._publish(new, {k: v for k, v in old["folders"].items() if k not in touched} | {k: new for k in written}, note)
-        delete_path(self.spark, draft)
-        return result | {"version": new}
-
-    def _touched(self, changed: DataFrame, folders: dict[str, int]) -> dict[str, int]:
-        """The stored folders that hold partitions of ``changed``."""
-        hit = {tuple(None if x is None else str(x) for x in r) for r in changed.select(*self.partitions).distinct().collect()}
-        return {f: v for f, v in folders.items() if self._values(f) in hit}
-
-    def _values(self, folder: str) -> tuple:
-        out = []
-        for part in folder.split("/"):
-            value = part.split("=", 1)[1]
-            unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-            out.append(None if value == "__HIVE_DEFAULT_PARTITION__" else unescape(value))
-        return tuple(out)
+        rows.select(*self._stored_schema().names, *more).repartition(width, *self.partitions).write.partitionBy(*self.partitions).parquet(path)
+
+    def _read(self, path: str, *flags: str) -> DataFrame:
+        schema = T.StructType([*self._stored_schema().fields, *[T.StructField(f, T.BooleanType()) for f in flags]])
+        if not self._list_partitions(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
     def _list_partitions(self, path: str) -> list[str]:
         level = [""]
