@@ -46,19 +46,12 @@ def asof_latest(
     )
     in_bucket = both.withColumn("_m", F.last("_rv", ignorenulls=True).over(w)).where(F.col("_side") == 1)
 
-    # Last right row of each (key, bucket), then carried forward to later buckets.
-    per_bucket = right.groupBy(F.col(key), b.alias("_b")).agg(
-        F.max_by(F.col(right_value), F.struct(F.col(ts), F.col(right_value))).alias("_last")
-    )
+    # Last right row of each (key, bucket), carried forward to later buckets, also to those with left
+    # rows only: one row per (key, bucket) from a partial aggregate, so its window stays small.
+    right_row = F.when(F.col("_side") == 0, F.struct(F.col(ts), F.col("_rv")))
+    per_bucket = both.groupBy(key, "_b").agg(F.max(right_row).alias("_last"))
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # Buckets holding only left rows also need the carried value; this table
-    # has one row per (key, bucket), so its window stays small.
-    left_buckets = in_bucket.select(key, "_b").distinct()
-    all_buckets = per_bucket.select(key, "_b").unionByName(left_buckets).distinct()
-    carry = (
-        all_buckets.join(per_bucket, [key, "_b"], "left")
-        .select(key, "_b", F.last("_last", ignorenulls=True).over(wb).alias("_prev"))
-    )
+    carry = per_bucket.select(key, "_b", F.last("_last", ignorenulls=True).over(wb)["_rv"].alias("_prev"))
     out = in_bucket.join(carry, [key, "_b"], "left")
     return out.select(
         F.col(left_id), F.col(key), F.col(ts), F.coalesce(F.col("_m"), F.col("_prev")).alias(out_col)

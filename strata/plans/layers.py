@@ -90,12 +90,12 @@ _LANDING_FORMATS = {
 }
 
 
-_LANDINGS: dict[tuple[int, str], str] = {}
+_LANDINGS: dict[tuple[str, str], str] = {}
 
 
 def _landing_folder(spark: SparkSession, data_dir: str) -> str:
-    """Source files of every table in mixed formats, written once per session and data folder."""
-    key = (id(spark), data_dir)
+    """Source files of every table in mixed formats, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, data_dir)
     if key not in _LANDINGS or not src.path_exists(spark, _LANDINGS[key]):
         _LANDINGS[key] = _write_landing_folder(spark, data_dir)
     return _LANDINGS[key]
