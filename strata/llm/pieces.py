@@ -29,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import load, pick
-from strata.llm.words import mix
+from strata.llm.words import flat, mix, runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RUN_CHARS = 1 << 21
+RUN_CHARS = 1 << 20
 PAIRS = 1 << 20  #: remembered pairs of a task
 WORDS, WORD_CHARS = 1 << 18, 32  #: remembered words of a task, and their length at most
+BLOCK, OVERLAP = 1024, 128  #: blocks of longer words, and how far each starts before its place
 SPACE = "▁"
+FEW = 48  #: pairs that are faster merged one by one
+NO_CHARACTER = np.uint32(0xFFFFFFFF)
 
 # Numbers of the public model format.
 _UNIGRAM, _BPE = 1, 2
@@ -89,6 +92,19 @@ class Vocabulary:
             h = _hash(np.array([[ord(c) for c in p] for p in names], np.uint32))
             order = np.argsort(h)
             self.keys[length] = (h[order], np.array([self.id[p] for p in names])[order])
+        # for merging many pairs at once: characters of every piece as ids, and what two pieces merge into
+        self.longest = max((len(p) for p in self.id), default=1)
+        self.chars = np.full((len(pieces), self.longest), -1, np.int32)
+        self.width = np.zeros(len(pieces), np.int32)  # 0: a piece with a character that is none
+        merges = {}
+        for p, i in self.id.items():
+            if all(c in self.id for c in p):
+                self.chars[i, :len(p)], self.width[i] = [self.id[c] for c in p], len(p)
+            for k in range(1, len(p)):
+                if p[:k] in self.id and p[k:] in self.id:
+                    merges[self.id[p[:k]] * len(pieces) + self.id[p[k:]]] = i
+        self.merge_keys = np.array(sorted(merges), np.int64)
+        self.merge_ids = np.array([merges[k] for k in sorted(merges)], np.int32)
         self.raw = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() if k == _NORMAL else b"" for p, k in zip(pieces, kinds, strict=True)]
         self.raw[self.unknown] = " ⁇ ".encode()
 
@@ -121,6 +137,13 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return (mix(codes.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(up)).sum(axis=1, dtype=np.uint64)
 
 
+def _gather(pool: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches pool[at:at + count] behind each other, and where each starts now."""
+    count = count.astype(np.int64)
+    begin = np.cumsum(count) - count
+    return pool[np.repeat(at - begin, count) + np.arange(int(count.sum()))], begin
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -128,7 +151,10 @@ class Encoder:
         self.stable = np.zeros(PAIRS, bool)
         self.size = len(vocabulary.pieces)
         self.byte_ids = np.array([vocabulary.bytes.get(b, vocabulary.unknown) for b in range(256)])
-        self.seen, self.seen_ids = np.zeros(0, np.uint64), []
+        # remembered words: keys in order, when last used, and the place and number of their ids in one array
+        self.seen, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.seen_at, self.seen_count, self.seen_ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.turn, self.memo = 0, {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best pair, leftmost first, until none is left."""
@@ -141,6 +167,64 @@ class Encoder:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that a and b side by side merge into, and their scores; -inf: none."""
+        keys = self.v.merge_keys
+        if not len(keys):
+            return np.zeros(a.shape, np.int32), np.full(a.shape, -np.inf)
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = (keys[at] == key) & (a >= 0) & (b >= 0)
+        piece = self.v.merge_ids[at]
+        return piece, np.where(hit, self.v.scores[piece], -np.inf)
+
+    def _merge_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the characters of left and right ends with just these two pieces (left = -1: right alone).
+
+        All pairs take their best merge, leftmost first, in the same step; a pair
+        whose best merge crosses its boundary is out.
+        """
+        out = np.zeros(len(left), bool)
+        wl, wr = np.where(left >= 0, self.v.width[left], 0).astype(np.int64), self.v.width[right].astype(np.int64)
+        odd = (wr == 0) | ((left >= 0) & (wl == 0)) | (len(left) < FEW)
+        for k in np.flatnonzero(odd).tolist():
+            parts = ([self.v.pieces[left[k]]] if left[k] >= 0 else []) + [self.v.pieces[right[k]]]
+            out[k] = self.merge("".join(parts)) == parts
+        rows = np.flatnonzero(~odd)
+        if not len(rows):
+            return out
+        wl, total = wl[rows], (wl + wr)[rows]
+        place = np.arange(int(total.max()))
+        m = np.full((len(rows), len(place)), -1, np.int32)
+        first, second = place < wl[:, None], (place >= wl[:, None]) & (place < total[:, None])
+        cols = np.arange(self.v.longest)
+        m[first] = self.v.chars[left[rows]][cols < wl[:, None]]
+        m[second] = self.v.chars[right[rows]][cols < (total - wl)[:, None]]
+        piece, score = self._merged(m[:, :-1], m[:, 1:])
+        bound, count = wl, total  # parts before the boundary, and all
+        while len(rows) and m.shape[1] > 1:
+            each = np.arange(len(rows))
+            best = score.argmax(axis=1)
+            value = score[each, best]
+            done = value == -np.inf
+            out[rows[done]] = (count[done] - bound[done] == 1) & (bound[done] <= 1)
+            live = ~done & (best != bound - 1)  # a merge across the boundary ends it
+            rows, best, bound, count, m, piece, score = rows[live], best[live], bound[live], count[live], m[live], piece[live], score[live]
+            if not len(rows):
+                return out
+            each, cols = np.arange(len(rows)), np.arange(m.shape[1] - 1)
+            m[each, best] = piece[each, best]
+            m = np.take_along_axis(m, cols + (cols > best[:, None]), axis=1)
+            bound, count = bound - (best < bound - 1), count - 1
+            cols = cols[:-1]
+            shift = cols + (cols > best[:, None])
+            piece, score = np.take_along_axis(piece, shift, axis=1), np.take_along_axis(score, shift, axis=1)
+            for at in (best - 1, best):  # both neighbours of the new part
+                here = np.flatnonzero((at >= 0) & (at < m.shape[1] - 1))
+                piece[here, at[here]], score[here, at[here]] = self._merged(m[here, at[here]], m[here, at[here] + 1])
+        out[rows] = (count - bound == 1) & (bound <= 1)
+        return out
+
     def _pairs_stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pieces a and b side by side stay what they are (a = -1: b alone)."""
         key = (a + 1) * self.size + b
@@ -149,21 +233,17 @@ class Encoder:
         missing = np.flatnonzero(self.known[slot] != key)
         if len(missing):
             new, back = np.unique(key[missing], return_inverse=True)
-            answer = np.zeros(len(new), bool)
-            for k, pair in enumerate(new.tolist()):
-                left, right = pair // self.size - 1, pair % self.size
-                parts = ([self.v.pieces[left]] if left >= 0 else []) + [self.v.pieces[right]]
-                answer[k] = self.merge("".join(parts)) == parts
+            answer = np.concatenate([self._merge_pairs(part // self.size - 1, part % self.size) for part in np.split(new, range(1 << 14, len(new), 1 << 14))])
             out[missing] = answer[back]
-            self.known[slot[missing]], self.stable[slot[missing]] = key[missing], answer[back]
-            # two new keys may share a place: only the one that stands there last is remembered
             place = (mix(new.astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+            self.known[place] = new
+            # two new keys may share a place: only the one that stands there last is remembered
             here = self.known[place] == new
             self.stable[place[here]] = answer[here]
         return out
 
-    def words(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Piece ids of (n, length) words; a character without piece is size + its code."""
+    def _matches(self, codes: np.ndarray):
+        """All pieces in (n, length) words as (row, start, size, piece) in order of their ends, and the first of each end."""
         n, length = codes.shape
         up = np.full(length + 1, _BASE, np.uint64)
         up[:1] = 1
@@ -173,43 +253,72 @@ class Encoder:
         down = np.multiply.accumulate(down)
         total = np.zeros((n, length + 1), np.uint64)
         np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * up[:length], axis=1, out=total[:, 1:])
-        found = {}
+        found = []
         for size, (keys, ids) in self.v.keys.items():
             if size <= length:
                 h = (total[:, size:] - total[:, :-size]) * down[:length - size + 1]
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = np.where(keys[at] == h, ids[at], -1)
-                if (hit >= 0).any():
-                    found[size] = hit
-        alone = found.get(1, np.full((n, length), -1)) < 0  # characters without a piece of their own
+                row, start = np.nonzero(keys[at] == h)
+                found.append((row, start, np.full(len(row), size), ids[at[row, start]]))
+        row, start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(start + size, kind="stable")
+        row, start, size, piece = row[order], start[order], size[order], piece[order]
+        return row, start, size, piece, np.searchsorted(start + size, np.arange(length + 2))
+
+    def _advance(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length + 1, n): the last piece of the encoding of each word's every prefix, and its size."""
+        n, length = codes.shape
+        row, start, size, piece, first = self._matches(codes)
+        alone = np.ones((n, length), bool)  # characters without a piece of their own
+        one = size == 1
+        alone[row[one], start[one]] = False
+        some = alone.any(axis=0)
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
-        last = np.full((length + 1, n), -1, np.int64)
-        step = np.ones((length + 1, n), np.int64)
+        last = np.full((length + 1, n), -1, np.int32)
+        step = np.ones((length + 1, n), np.int32)
         worst = float(self.v.scores.min()) - 10
         for end in range(1, length + 1):
-            # a character without piece: always open, at a price in unigram models
-            bare = alone[:, end - 1]
-            best[end] = np.where(bare, best[end - 1] + (0 if self.v.bpe else worst), -np.inf)
-            last[end] = np.where(bare, self.size + codes[:, end - 1].astype(np.int64), -1)
-            for size, hit in found.items():
-                if size > end:
-                    continue
-                piece, before = hit[:, end - size], last[end - size]
-                rows = np.flatnonzero((piece >= 0) & (best[end - size] > -np.inf))
-                if not len(rows):
-                    continue
-                p, q = piece[rows], before[rows]
-                if self.v.bpe:
-                    # nothing merges with a character without piece: beside it, the piece stands alone
-                    value = np.where(self._pairs_stable(np.where(q >= self.size, -1, q), p), 1.0, -np.inf)
-                else:
-                    value = best[end - size][rows] + self.v.scores[p]
-                better = rows[value > best[end][rows]]
-                best[end][better] = value[value > best[end][rows]] if self.v.bpe else (best[end - size][better] + self.v.scores[piece[better]])
-                last[end][better], step[end][better] = piece[better], size
-        out = np.full((n, length), -1, np.int64)
-        at = np.full(n, length)
+            if some[end - 1]:  # a character without piece: always open, at a price in unigram models
+                bare = alone[:, end - 1]
+                best[end] = np.where(bare, best[end - 1] + (0 if self.v.bpe else worst), -np.inf)
+                last[end] = np.where(bare, self.size + codes[:, end - 1].astype(np.int64), -1).astype(np.int32)
+            here = slice(first[end], first[end + 1])
+            r, at, z, p = row[here], start[here], size[here], piece[here]
+            before = best[at, r]
+            ok = before > -np.inf
+            if not ok.all():
+                r, at, z, p, before = r[ok], at[ok], z[ok], p[ok], before[ok]
+            if not len(r):
+                continue
+            if self.v.bpe:
+                q = last[at, r]
+                # nothing merges with a character without piece: beside it, the piece stands alone
+                ok = self._pairs_stable(np.where(q >= self.size, -1, q), p)
+                r, z, p = r[ok], z[ok], p[ok]
+                best[end, r], last[end, r], step[end, r] = 1.0, p, z
+            else:
+                value = before + self.v.scores[p]
+                order = np.lexsort((-z, value, r))  # the best of each row comes last; of equal ones the shortest
+                r, z, p, value = r[order], z[order], p[order], value[order]
+                keep = np.append(r[1:] != r[:-1], True)
+                keep &= value > best[end, r]
+                r = r[keep]
+                best[end, r], last[end, r], step[end, r] = value[keep], p[keep], z[keep]
+        return last, step
+
+    def words(self, codes: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of (n, length) words behind each other, and how many each has; a character without piece is size + its code.
+
+        ``lengths``: where shorter words are, filled up with characters that are in no piece.
+        """
+        n, length = codes.shape
+        if n == 1 and self.v.bpe and length > 2 * BLOCK:
+            ids = self._long(codes[0])
+            return ids, np.array([len(ids)])
+        last, step = self._advance(codes)
+        out = np.full((n, length), -1, np.int32)
+        at = np.full(n, length) if lengths is None else lengths.copy()
         column = length - 1
         while (at > 0).any():
             live = at > 0
@@ -217,13 +326,69 @@ class Encoder:
             out[row, column] = last[at[row], row]
             at[row] -= step[at[row], row]
             column -= 1
-        return [r[r >= 0] for r in out]
+        return out[out >= 0], (out >= 0).sum(axis=1)
+
+    def _long(self, codes: np.ndarray) -> np.ndarray:
+        """Piece ids of one long word (BPE), its blocks advancing together.
+
+        The last piece of a prefix depends only on those of the prefixes that
+        are shorter by up to the longest piece. Every block starts a little
+        before its place, as if a word began there; if its last pieces have met
+        those of the block before by then, all that follows is right. Otherwise
+        the block is followed character by character from the block before.
+        """
+        n, reach = len(codes), self.v.longest
+        last, step = np.full(n + 1, -1, np.int64), np.ones(n + 1, np.int64)
+        a, b = self._advance(codes[None, :BLOCK])
+        last[:BLOCK + 1], step[:BLOCK + 1] = a[:, 0], b[:, 0]
+        starts = np.arange(BLOCK, n, BLOCK)
+        for k in range(0, len(starts), 128):
+            group = starts[k:k + 128]
+            whole = group[group + BLOCK <= n]
+            for part in (whole, group[len(whole):]):
+                if not len(part):
+                    continue
+                width = min(BLOCK, n - int(part[-1]))
+                a, b = self._advance(codes[part[:, None] + np.arange(-OVERLAP, width)])
+                for c, at in enumerate(part.tolist()):
+                    if (last[at - reach + 1:at + 1] == a[OVERLAP - reach + 1:OVERLAP + 1, c]).all():
+                        last[at + 1:at + width + 1], step[at + 1:at + width + 1] = a[OVERLAP + 1:, c], b[OVERLAP + 1:, c]
+                    else:
+                        self._follow(codes, last, step, at, at + width)
+        out, at = [], n
+        while at > 0:
+            out.append(last[at])
+            at -= step[at]
+        return np.array(out[::-1], np.int64)
+
+    def _follow(self, codes: np.ndarray, last: np.ndarray, step: np.ndarray, lo: int, hi: int) -> None:
+        """Last pieces and their sizes at the ends lo + 1 .. hi, from those before."""
+        from_ = max(0, lo - self.v.longest)
+        _, start, size, piece, first = self._matches(codes[None, from_:hi])
+        start, size, piece, first = (start + from_).tolist(), size.tolist(), piece.tolist(), first.tolist()
+        have = dict(zip(range(from_, lo + 1), last[from_:lo + 1].tolist(), strict=True))
+        for end in range(lo + 1, hi + 1):
+            here = range(first[end - from_], first[end - from_ + 1])
+            have[end] = self.size + int(codes[end - 1])
+            step[end] = 1
+            for e in here:
+                q = have.get(start[e], -1) if start[e] else -1
+                key = (-1 if q >= self.size else q, piece[e])
+                if key not in self.memo:
+                    if len(self.memo) > PAIRS:
+                        self.memo.clear()
+                    self.memo[key] = bool(self._pairs_stable(np.array([key[0]]), np.array([key[1]]))[0])
+                if self.memo[key]:
+                    have[end], step[end] = piece[e], size[e]
+                    break
+            last[end] = have[end]
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
         """Characters without piece become their UTF-8 bytes' pieces, or unknown."""
         wide = ids >= self.size
         if not wide.any():
             return ids
+        ids = ids.astype(np.int64)
         if not self.v.bytes:  # a run of unknown characters is one piece
             first = ~wide
             first[:1] = True
@@ -237,14 +402,21 @@ class Encoder:
         out[np.repeat(wide, count)] = self.byte_ids[np.frombuffer(raw, np.uint8)]
         return out
 
-    def _remember(self, keys: np.ndarray, ids: list, new: np.ndarray) -> None:
-        """Keep the ids of new words for the next runs; a full memory starts anew."""
-        if len(self.seen) + len(new) > WORDS:
-            self.seen, self.seen_ids, new = self.seen[:0], [], new[:WORDS]
-        keys = np.concatenate([self.seen, keys[new]])
-        ids = self.seen_ids + [ids[r] for r in new.tolist()]
+    def _remember(self, keys: np.ndarray, at: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Keep the ids of new words for the next runs; a full memory loses the half not used for longest."""
+        keys, at, count = keys[:WORDS // 2], at[:WORDS // 2], count[:WORDS // 2]
+        keys = np.concatenate([self.seen, keys])
+        used = np.concatenate([self.used, np.full(len(at), self.turn, np.int32)])
+        place = np.concatenate([self.seen_at, at + len(self.seen_ids)])
+        count = np.concatenate([self.seen_count, count.astype(np.int32)])
         order = np.argsort(keys)
-        self.seen, self.seen_ids = keys[order], [ids[i] for i in order.tolist()]
+        if len(keys) > WORDS:
+            keep = np.zeros(len(keys), bool)
+            keep[np.argsort(-used, kind="stable")[:WORDS // 2]] = True
+            order = order[keep[order]]
+        self.seen, self.used = keys[order], used[order]
+        self.seen_ids, self.seen_at = _gather(np.concatenate([self.seen_ids, ids]), place[order], count[order])
+        self.seen_count = count[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; memory for a run of texts or the longest one."""
@@ -264,7 +436,7 @@ class Encoder:
         codes = np.frombuffer("".join(ready).encode("utf-32-le"), np.uint32)
         off = np.cumsum([0, *[len(t) for t in ready]])
         if not len(codes):
-            return [np.zeros(0, np.int64) for _ in texts]
+            return [np.zeros(0, np.int32) for _ in texts]
         first = np.zeros(len(codes), bool)
         first[off[:-1][off[:-1] < len(codes)]] = True
         if not self.v.crosses:
@@ -278,30 +450,44 @@ class Encoder:
         doc = np.searchsorted(off, starts, "right") - 1
         up = np.full(int(length.max()), _BASE, np.uint64)
         up[:1] = 1
-        place = np.arange(len(codes)) - np.repeat(starts, length)
-        h = np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(up)[place], starts)
+        h = mix(codes.astype(np.uint64) + np.uint64(1))
+        h *= np.multiply.accumulate(up)[np.arange(len(codes)) - np.repeat(starts, length)]
+        h = np.add.reduceat(h, starts)
         keys, one, back = np.unique(mix(h + length.astype(np.uint64) * _BASE), return_index=True, return_inverse=True)
-        ids: list = [None] * len(one)
-        new = np.ones(len(one), bool)
+        # for every distinct word: how many ids, and where they stand in the pool
+        count, at, new = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.ones(len(one), bool)
+        self.turn += 1
         if len(self.seen):
-            at = np.minimum(np.searchsorted(self.seen, keys), len(self.seen) - 1)
-            new = self.seen[at] != keys
-            for r in np.flatnonzero(~new).tolist():
-                ids[r] = self.seen_ids[at[r]]
-        for n in np.unique(length[one[new]]):
-            rows = np.flatnonzero(new & (length[one] == n))
-            step = max(1, (1 << 18) // int(n))
+            there = np.minimum(np.searchsorted(self.seen, keys), len(self.seen) - 1)
+            new = self.seen[there] != keys
+            self.used[there[~new]] = self.turn
+            count[~new], at[~new] = self.seen_count[there[~new]], self.seen_at[there[~new]]
+        pool, filled = [self.seen_ids], len(self.seen_ids)
+        # words of up to WORD_CHARS by their length; of the few longer ones, those of like length together, filled up
+        size = length[one]
+        like = np.where(size <= WORD_CHARS, size, (2.0 ** (np.ceil(np.log2(np.maximum(size, 1)) * 4) / 4)).astype(np.int64) + 1)
+        like = np.where(size > 2 * BLOCK, size, like)
+        for n in np.unique(like[new]):
+            rows = np.flatnonzero(new & (like == n))
+            step = max(1, (1 << 17) // int(n)) if n <= 2 * BLOCK else 1
             for k in range(0, len(rows), step):
                 part = rows[k:k + step]
-                for r, w in zip(part.tolist(), self.words(codes[starts[one[part]][:, None] + np.arange(n)]), strict=True):
-                    ids[r] = w
-        self._remember(keys, ids, np.flatnonzero(new & (length[one] <= WORD_CHARS)))
-        count = np.array([len(w) for w in ids])
-        flat, at = np.concatenate(ids), np.cumsum(count) - count
-        each = count[back]
-        order = np.repeat(at[back], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        cuts = np.cumsum(np.bincount(doc, weights=each, minlength=len(texts)).astype(np.int64))[:-1]
-        return [self.expand(x) for x in np.split(flat[order], cuts)]
+                begin, own = starts[one[part]], size[part]
+                widest = int(own.max())
+                grid = codes[np.minimum(begin[:, None] + np.arange(widest), len(codes) - 1)]
+                if own.min() < widest:
+                    grid = np.where(np.arange(widest) < own[:, None], grid, NO_CHARACTER)
+                got, many = self.words(grid, own)
+                pool.append(got.astype(np.int32))
+                count[part], at[part] = many, filled + np.cumsum(many) - many
+                filled += len(got)
+        pool = np.concatenate(pool)
+        fresh = np.flatnonzero(new & (size <= WORD_CHARS))
+        stream, _ = _gather(pool, at[back], count[back])
+        ids, place = _gather(pool, at[fresh], count[fresh])
+        self._remember(keys[fresh], place, count[fresh], ids)
+        cuts = np.cumsum(np.bincount(doc, weights=count[back], minlength=len(texts)).astype(np.int64))[:-1]
+        return [self.expand(x) for x in np.split(stream, cuts)]
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -311,14 +497,22 @@ class Encoder:
         return raw.decode("utf-8", "replace")
 
 
+def _slices(batches):
+    """Batches cut to about RUN_CHARS bytes of text; a longer text is alone."""
+    for batch in batches:
+        _, off = flat(batch.column("text"))
+        for first, last in runs(off, RUN_CHARS):
+            yield batch.slice(first, last - first)
+
+
 def _encode(vocabulary: Vocabulary):
     def run(batches):
         encoder = Encoder(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             rest = [c for c in batch.schema.names if c != "text"]
             cuts = pa.array(np.cumsum([0, *[len(x) for x in ids]]), pa.int32())
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32))
+            flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.ListArray.from_arrays(cuts, flat)], names=[*rest, "ids"])
 
     return run
@@ -340,7 +534,7 @@ def _digests(vocabulary: Vocabulary):
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = encoder.encode(texts)
             rest = [c for c in batch.schema.names if c != "text"]
