@@ -37,6 +37,12 @@ def valid_vector(col: Column) -> Column:
     return col.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(col, lambda x: x != 0)
 
 
+def usual_length(rows: DataFrame) -> int:
+    """The commonest length of the vectors v (ties: the smaller); 0 without any."""
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    return sizes[0]["dim"] if sizes else 0
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double>): valid vectors of the table's usual length, one row for each id.
 
@@ -46,9 +52,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     d = pick(vectors, id_col, vector_col).toDF("vec_id", "v").where("vec_id IS NOT NULL")
     d = d.select(F.col("vec_id").cast("long"), F.col("v").cast("array<double>"))
     d = d.where(valid_vector(F.col("v")))
-    sizes = d.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 0
-    return d.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return d.where(F.size("v") == usual_length(d)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column):
