@@ -9,6 +9,8 @@ job reuses or cuts lineage with is written below ``spark.checkpoint.dir``
 from __future__ import annotations
 
 import sys
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +39,61 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(places, names, strict=True)])
 
 
+_WRITTEN: list[tuple[str, str | None, str]] = []  # folders that save() and stage_texts() wrote, tables over them, and for whom
+_OWNER: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextmanager
+def owner(name: str):
+    """Scratch written inside belongs to ``name``, for ``release``."""
+    token = _OWNER.set(name)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
+def written(path: str, table: str | None = None) -> None:
+    """Note a scratch folder, so that ``discard`` or ``release`` can delete it."""
+    _WRITTEN.append((path, table, _OWNER.get()))
+
+
 def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write to a fresh folder below the shared root and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer.option("compression", "zstd").parquet(path)
+    written(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str, table: str | None) -> None:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``save`` or ``stage_texts`` wrote for these frames: nothing reads them any more."""
+    for f in frames:
+        for entry in [e for e in _WRITTEN if e[0] == getattr(f, "scratch", None)]:
+            _delete(f.sparkSession, *entry[:2])
+            _WRITTEN.remove(entry)
+
+
+def release(name: str, docs: DataFrame) -> None:
+    """Delete the scratch of owner ``name`` that ``docs`` does not read."""
+    mine = [e for e in _WRITTEN if e[2] == name]
+    files = docs.inputFiles() if mine else []
+    for entry in mine:
+        folder = entry[0].rsplit("/", 1)[1]  # unique
+        if not any(folder in f for f in files):
+            _delete(docs.sparkSession, *entry[:2])
+            _WRITTEN.remove(entry)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -90,11 +140,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         spread = label.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        spread = save(spread, "spread")
+        old, spread = label, save(spread, "spread")
         up = spread.select(F.col("node").alias("component"), F.col("component").alias("up"))
         jumped = spread.join(up, "component", "left").select("node", "old", F.coalesce("up", "component").alias("component"))
         jumped = save(jumped, "label")
+        discard(old, spread)
         changed = jumped.where("component <> old").limit(1).count()
         label = jumped.select("node", "component")
+        label.scratch = jumped.scratch
         if not changed:
+            discard(both)
             return label

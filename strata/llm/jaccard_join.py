@@ -14,7 +14,8 @@ filters alone; a candidate has to pass all of them before its sets are compared.
   token under a few hashes, if the exact similarity allows. That joins large
   groups of near copies by one comparison for each member.
 - A token of order 1 then proposes pairs only if its classes lie in different
-  components, and only pairs across components. Orders 2 and 3 (by other
+  components, and only pairs across components; in a crowd, first with one class
+  after the other, until that links nothing more. Orders 2 and 3 (by other
   hashes) must confirm such a pair; then the sets are compared exactly.
 
 Only connectivity is returned, so no link between different components is lost,
@@ -29,12 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, load, pick, save
-from strata.llm.slots import ANSWERS, KEYS, bucketed, emit, stage_texts
+from strata.llm.common import components, discard, load, pick, save
+from strata.llm.slots import ANSWERS, KEYS, bucketed, distinct, emit, stage_texts
 from strata.llm.words import mix, shingle_sets
 
 THRESHOLD = 80  #: percent
 LEADERS = 4  #: hashes whose smallest token finds a leader
+CROWD = 64  #: classes with one prefix token, beyond which links are sought through single classes first
 SPREAD = 1000  #: members compared with one copy of a leader's set
 _ORDER = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 2**63, LEADERS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 
@@ -69,12 +71,27 @@ def _slot_sets(table):
     return table["uid"].to_numpy()[own], list(shingle_sets(table["text"].take(pa.array(own))))
 
 
+def _slot_counts(sets: list, buckets: int):
+    """The distinct keys of a slot in order: buckets, keys, in how many of its texts each stands (up to 255), and for
+    every token of the sets the number of its key."""
+    bucket, key, order = bucketed(mix(np.concatenate([*sets, np.zeros(0, np.uint64)])), buckets, 32)
+    first = distinct(bucket, key)
+    many = np.diff(np.append(first, len(key)))
+    of = np.empty(len(key), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), many)
+    return bucket[first], key[first], np.minimum(many, 255).astype(np.uint8), of
+
+
 def _counts(_, table):
-    """How many texts have each key of a bucket, up to 255."""
+    """How many texts have each key of a bucket, up to 255; every slot sends a key once, with its own count behind the keys."""
     table = table.combine_chunks()
-    keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
-    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    parts = np.split(np.minimum(count, 255).astype(np.uint8)[back], np.cumsum([len(k) for k in keys])[:-1])
+    raw = table["keys"].to_pylist()
+    n = [len(x) // 5 for x in raw]
+    keys = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(raw, n, strict=True)])
+    many = np.concatenate([np.frombuffer(x, np.uint8, k, 4 * k) for x, k in zip(raw, n, strict=True)])
+    _, back = np.unique(keys, return_inverse=True)
+    total = np.minimum(np.bincount(back, weights=many), 255).astype(np.uint8)
+    parts = np.split(total[back], np.cumsum(n)[:-1])
     return table.drop_columns(["keys"]).append_column("bits", pa.array([p.tobytes() for p in parts], pa.binary()))
 
 
@@ -97,12 +114,10 @@ def _survivors(buckets: int, percent: int):
         for i, u in zip(table["doc_id"].to_pylist(), table["uid"].to_pylist(), strict=True):
             if i in speaks:
                 ids.setdefault(u, []).append(i)
-        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        bucket, _, order = bucketed(mix(flat), buckets, 32)
-        count = np.ones(len(flat), np.uint8)
+        bucket, _, _, of = _slot_counts(sets, buckets)
         got = dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True))
         ranked = [np.frombuffer(got[b], np.uint8) for b in np.unique(bucket).tolist()]
-        count[order] = np.concatenate([*ranked, np.zeros(0, np.uint8)])
+        count = np.concatenate([*ranked, np.zeros(0, np.uint8)])[of]
         cols: dict = {c.split()[0]: [] for c in SETS.split(", ")}
         at = 0
         for uid, s in zip(uids.tolist(), sets, strict=True):
@@ -164,14 +179,15 @@ def _with_leader(percent: int, orders: tuple):
     return run
 
 
-def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", staged: tuple | None = None) -> DataFrame:
     """Components of texts linked by 100 * |A and B| >= percent * |A or B| over 5-word shingles.
 
     Returns doc_id, n_shingles and component_id (smallest doc_id reachable,
     itself included), one row for each doc_id. Texts without words (null, empty,
     blank) have no shingles and link with nothing. Repeated rows count once; of
     different texts with one doc_id the one with the smallest digest counts.
-    Rows without doc_id are left out; an empty table gives no rows.
+    Rows without doc_id are left out; an empty table gives no rows. ``staged`` is
+    what ``stage_texts`` made of the rows with doc_id, if the caller has it.
     """
     texts = pick(docs, id_col, text_col).toDF("doc_id", "text").where("doc_id IS NOT NULL")
     texts = texts.select(F.col("doc_id").cast("long"), "text")
@@ -180,12 +196,17 @@ def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str
     members = save(members.select("doc_id", "k.d1", "k.d2", "k.n"), "members")
     classes = save(members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid")), "classes")
 
-    staged, buckets = stage_texts(texts)
+    mine = staged is None
+    staged, buckets = stage_texts(texts) if mine else staged
 
     def tokens(key, table):
         _, sets = _slot_sets(table)
-        bucket, keys, _ = bucketed(mix(np.concatenate([*sets, np.zeros(0, np.uint64)])), buckets, 32)
-        return emit(key[0].as_py(), 1, bucket, keys, np.uint32)
+        bucket, keys, many, _ = _slot_counts(sets, buckets)
+        out = emit(key[0].as_py(), 1, bucket, keys, np.uint32)
+        edges = np.flatnonzero(np.diff(bucket)) + 1
+        behind = [m.tobytes() for m in np.split(many, edges)] if len(many) else []
+        joined = [k + m for k, m in zip(out["keys"].to_pylist(), behind, strict=True)]
+        return out.set_column(3, "keys", pa.array(joined, pa.binary()))
 
     own = staged.where("text IS NOT NULL")
     counts = own.groupBy("slot").applyInArrow(tokens, KEYS).groupBy("bucket").applyInArrow(_counts, ANSWERS)
@@ -197,9 +218,10 @@ def near_duplicate_texts(docs: DataFrame, percent: int = THRESHOLD, id_col: str
     several = prefix.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
     prefix = save(prefix.join(several, "token"), "prefix")
 
-    led = _leader_links(sets, percent)
-    links = led.unionByName(_cross_links(prefix, sets, components(led), percent))
-    component = components(save(links, "links")).toDF("cid", "component")
+    discard(*[staged] * mine)
+    links = save(_cross_links(prefix, sets, _leader_links(sets, percent), percent), "links")
+    discard(sets, prefix)
+    component = components(links).toDF("cid", "component")
     of_class = classes.join(component, "cid", "left").select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
     out = members.join(of_class, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -226,18 +248,45 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, orders: tuple) ->
     return save(met.mapInArrow(_with_leader(percent, orders), "a long, b long"), "compared")
 
 
-def _cross_links(prefix: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of different components that share prefix tokens under every order."""
+def _mixed(prefix: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows of the tokens whose classes lie in different components."""
     rows = prefix.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    rows = save(rows.join(mixed, "token").select("token", "cid", "n", "at", "component"), "mixed")
-    other = rows.toDF("token", "cid2", "n2", "at2", "component2")
+    return save(rows.join(mixed, "token").select("token", "cid", "n", "at", "component"), "mixed")
+
+
+def _cross_links(prefix: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links``, and those between classes of different components that share prefix tokens under every order.
+
+    While a token stands in many classes, each token's classes are first compared
+    with one of them, another one every time, and what they link is contracted:
+    as long as that finds links, the pairs of a crowd need not be looked at.
+    """
     # the first common token stands first in both; what follows it bounds the common tokens.
     # Later ones have a smaller bound, so a pair passes exactly if one of its rows does.
     bound = f"least(n - at, n2 - at2) * {100 + percent} >= {percent} * (n + n2)"
+    orders, turn = tuple(_ORDER[LEADERS:]), 0
+    while True:
+        component = components(links)
+        rows = _mixed(prefix, component)
+        crowds = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by("cid", F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("cid2")).where(f"size > {CROWD}")
+        crowds = save(crowds.select("token", "cid2"), "crowds")
+        if not crowds.limit(1).count():
+            break
+        head = rows.join(crowds, "token").where("cid = cid2").select("token", "cid2", F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("component2"))
+        near = rows.join(head, "token").where(f"component <> component2 AND {bound}").select("cid", F.col("cid2").alias("leader")).distinct()
+        found = _compare(save(near, "near"), sets, percent, orders)
+        discard(rows, crowds)
+        turn += 1
+        if not found.limit(1).count():
+            rows = _mixed(prefix, component)
+            break
+        links = links.unionByName(found)
+    other = rows.toDF("token", "cid2", "n2", "at2", "component2")
     near = rows.join(other, "token").where(f"cid < cid2 AND component <> component2 AND {bound}")
-    near = near.select(F.col("cid2").alias("cid"), F.col("cid").alias("leader")).distinct()
-    return _compare(save(near, "near"), sets, percent, tuple(_ORDER[LEADERS:]))
+    near = save(near.select(F.col("cid2").alias("cid"), F.col("cid").alias("leader")).distinct(), "near")
+    discard(rows, component)
+    return links.unionByName(_compare(near, sets, percent, orders))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
