@@ -16,14 +16,15 @@ task ever holds a source's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import load, pick, save
+from strata.llm.common import discard, load, pick, save
 
 WEIGHTS = (1, 2, 3)  #: of the sources in code point order, repeating
 MOST = 3  #: times a source's size that its target may reach, and copies of a document
 TOLERANCE, STEPS = 1e-9, 60
+SOURCES = 100_000  #: rows of the plan that are sent to every task
 _FINE = 12  #: bits of the hash that each round of the threshold search resolves
 _ROUNDS = 3
 
@@ -99,6 +100,47 @@ def _thresholds(rest: DataFrame, need: DataFrame) -> DataFrame:
     return state.select("k", (F.col("path") + (F.col("need") * 2 >= F.col("s")).cast("long")).alias("cut"))
 
 
+def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What decides every document's copies: (source, source_size, target, rate, base, cut), one row for each source."""
+    d = pick(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
+    d = save(d.select("source", words_in(F.col("text")).alias("size"), "doc_id"), "sizes")
+    goal = save(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    placed = with_plan(d.withColumn("u", draw(F.col("doc_id"), F.col("size"))), goal, "source").select("k", "u", "size")
+    placed = save(placed, "placed")
+    rates = balance(placed.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), goal.select("k", "target"))
+    rates = rates.withColumn("rate", F.least("rate", F.lit(float(most)))).withColumn("base", F.floor(F.col("rate") + 1e-6))
+    rates = save(rates, "rates")
+    need = goal.join(rates, "k").where("base < rate").select("k", (F.col("target") - F.col("base") * F.col("source_size")).alias("need")).where("need > 0")
+    # documents without words follow the threshold but do not move it
+    cuts = _thresholds(placed.where("size > 0").select("k", "u", "size"), need)
+    plan = goal.join(rates, "k").join(cuts, "k", "left").select("source", "source_size", "target", "rate", "base", F.coalesce("cut", F.lit(0)).cast("long").alias("cut"))
+    plan = save(plan, "plan")
+    discard(d, goal, placed, rates)
+    return plan
+
+
+def draw(doc_id: Column, size: Column) -> Column:
+    """The documents' chance: a hash of _FINE * _ROUNDS bits."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, size), 64 - _FINE * _ROUNDS)
+
+
+def with_plan(docs: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
+    """Rows of docs beside their source's row of the plan.
+
+    One row for each source: up to SOURCES of them go to every task, so that no
+    source's documents meet in one; more are joined by shuffle.
+    """
+    plan = plan.withColumnRenamed("source", "_of")
+    few = plan.count() <= SOURCES
+    return docs.join(F.broadcast(plan) if few else plan, docs[source_col].eqNullSafe(plan["_of"])).drop("_of")
+
+
+def copies(u: Column, most: int = MOST) -> Column:
+    """Copies of a document with chance ``u``, beside its source's row of the plan."""
+    more = (u < F.col("cut")) & (F.col("base") < most)
+    return (F.col("base") + more.cast("long")).cast("int")
+
+
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source") -> DataFrame:
     """Copies of every document so that sources come near their target sizes.
@@ -110,22 +152,11 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, id_
     share id and size. An empty table gives no rows. Reruns agree: the only
     chance is a hash of doc_id and size.
     """
+    plan = mix_plan(docs, weights, most, id_col, text_col, source_col)
     d = pick(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    d = save(d.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
-    goal = save(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    named = goal.withColumnRenamed("source", "of")
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 64 - _FINE * _ROUNDS)
-    d = save(d.join(named, d["source"].eqNullSafe(named["of"])).select("doc_id", "source", "size", "k", "source_size", "target", u.alias("u")), "placed")
-    rates = balance(d.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), goal.select("k", "target"))
-    rates = rates.withColumn("rate", F.least("rate", F.lit(float(most)))).withColumn("base", F.floor(F.col("rate") + 1e-6))
-    rates = save(rates, "rates")
-    need = goal.join(rates, "k").where("base < rate").select("k", (F.col("target") - F.col("base") * F.col("source_size")).alias("need")).where("need > 0")
-    # documents without words follow the threshold but do not move it
-    cuts = _thresholds(d.where("size > 0").select("k", "u", "size"), need)
-    out = d.join(rates, "k").join(cuts, "k", "left")
-    more = (F.col("u") < F.coalesce("cut", F.lit(0))) & (F.col("base") < most)
-    out = out.withColumn("copies", (F.col("base") + more.cast("long")).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+    d = with_plan(d.select("doc_id", "source", words_in(F.col("text")).alias("size")), plan, "source")
+    d = d.withColumn("copies", copies(draw(F.col("doc_id"), F.col("size")), most))
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
