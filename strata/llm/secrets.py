@@ -237,7 +237,10 @@ def _transitions(batches):
         data, off = flat(batch.column("text"))
         for first, last in runs(off):
             s = _SYMBOL[data[off[first]:off[last]]]
-            count += np.bincount(s[:-1] * 28 + s[1:], minlength=28 * 28)
+            inside = np.ones(max(len(s) - 1, 0), bool)  # steps within one text
+            cuts = off[first + 1:last] - off[first]
+            inside[cuts[(cuts > 0) & (cuts < len(s))] - 1] = False
+            count += np.bincount((s[:-1] * 28 + s[1:])[inside], minlength=28 * 28)
     at = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["pair", "n"])
 
