@@ -107,8 +107,10 @@ def _score(k: int, reach: int, step: int = 64):
                 if lo == hi:
                     continue
                 s = q[at:at + step] @ x[lo:hi].T
+                # each query its own window: its answer does not depend on which others are asked
+                s[np.abs(pos[lo:hi] - here[:, None]) > reach] = -np.inf
                 cut = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
-                who, which = np.nonzero(s >= cut[:, None])
+                who, which = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
                 score, c = s[who, which], ids[lo:hi][which]
                 order = np.lexsort((c, -score, who))  # ties at the cut: the smaller ids stay
                 who, score, c = who[order], score[order], c[order]
