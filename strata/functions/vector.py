@@ -21,7 +21,9 @@ def norm(a: Column) -> Column:
 def normalize(a: Column) -> Column:
     """Unit vector in double; a zero vector maps to NULL (no direction)."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # an array of one norm: inside the inner function it is a value, not computed again for every component
+    unit = F.element_at(F.transform(F.array(n), lambda m: F.transform(a, lambda x: x.cast("double") / m)), 1)
+    return F.when(n > 0, unit)
 
 
 def cosine(a: Column, b: Column) -> Column:

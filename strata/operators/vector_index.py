@@ -29,6 +29,7 @@ MAX_CELLS = 4096
 SAMPLE_PER_CELL = 64  #: rows of the sample that the centres are fitted on, for each centre
 ITERATIONS = 10
 MAX_QUERIES = 2048  #: queries that one pass sends to the tasks
+SCORES = 1 << 21  #: scores (rows x queries, or rows x cells) that a task holds at a time
 SLACK = 1e-9
 
 
@@ -45,8 +46,9 @@ class VectorIndex:
 def _fit(sample: np.ndarray, cells: int) -> np.ndarray:
     """Spherical k-means; centres start as the first rows of the (shuffled) sample."""
     centres = sample[:cells].copy()
+    step = max(1, SCORES // len(centres))
     for _ in range(ITERATIONS):
-        near = np.concatenate([(sample[i:i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
+        near = np.concatenate([(sample[i:i + step] @ centres.T).argmax(axis=1) for i in range(0, len(sample), step)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
         norm = np.linalg.norm(sums, axis=1)
@@ -59,8 +61,9 @@ def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells:
 
     Null and zero vectors have no direction and are left out, as in the exact
     search. ``cells`` defaults to the square root of the number of vectors, at
-    most ``MAX_CELLS``; the sample has ``SAMPLE_PER_CELL`` rows for each. A cell
-    with many vectors is written by several tasks.
+    most ``MAX_CELLS``; the sample has about ``SAMPLE_PER_CELL`` rows for each, and
+    only they are sent to the driver. A cell with many vectors is written by
+    several tasks.
     """
     spark = corpus.sparkSession
     unit = corpus.select(F.col(id_col), normalize(F.col(vec_col)).alias("unit"), *carry).where("unit IS NOT NULL")
@@ -69,17 +72,19 @@ def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells:
     rows = unit.select("unit").orderBy(F.xxhash64(id_col), F.col(id_col)).limit(max(cells, 1) * SAMPLE_PER_CELL).collect()
     sample = np.array([r[0] for r in rows], np.float64)
     centres = _fit(sample, cells) if cells else np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast(centres)
+    bc, scores = spark.sparkContext.broadcast(centres), SCORES
 
     def assign(batches):
         import numpy as np
 
         for pdf in batches:
-            if len(pdf):
-                s = np.stack(pdf["unit"].to_list()) @ bc.value.T
-                pdf["cell"] = s.argmax(axis=1).astype(np.int32)
-                pdf["_cos"] = s.max(axis=1)
-                yield pdf
+            step = max(1, scores // len(bc.value))
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a:a + step].copy()
+                s = np.stack(part["unit"].to_list()) @ bc.value.T
+                part["cell"] = s.argmax(axis=1).astype(np.int32)
+                part["_cos"] = s.max(axis=1)
+                yield part
 
     schema = T.StructType([*unit.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("_cos", T.DoubleType())])
     placed = unit.mapInPandas(assign, schema) if cells else spark.createDataFrame([], schema)
@@ -105,25 +110,32 @@ def open_index(spark: SparkSession, path: str, id_col: str) -> VectorIndex:
 def _score(index: VectorIndex, stored: DataFrame, ids: list, queries: np.ndarray, asks: np.ndarray, k: int, carry: list[str]) -> DataFrame:
     """Each task's k best of every query among the cells it asks (``asks``: queries x cells)."""
     spark, id_col = stored.sparkSession, index.id_col
-    bc = spark.sparkContext.broadcast((np.asarray(ids, dtype=object), queries, asks))
+    bc, scores = spark.sparkContext.broadcast((np.asarray(ids, dtype=object), queries, asks)), SCORES
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         names, q, wanted = bc.value
-        best = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            s = np.where(wanted[:, pdf["cell"].to_numpy()].T, np.stack(pdf["unit"].to_list()) @ q.T, -np.inf)
-            if len(pdf) > k:
-                rows, cols = np.nonzero((s >= np.partition(s, len(s) - k, axis=0)[len(s) - k]) & (s > -np.inf))
-            else:
-                rows, cols = np.nonzero(s > -np.inf)
-            part = pdf[[id_col, *carry]].iloc[rows].assign(query=cols, score=s[rows, cols])
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["query", "score", id_col], ascending=[True, False, True]).groupby("query").head(k)
+        best, least = None, np.full(len(q), -np.inf)  # least: the k-th best score so far
+        step = max(1, scores // len(q))
+        for whole in batches:
+            for a in range(0, len(whole), step):
+                pdf = whole.iloc[a:a + step]
+                s = np.stack(pdf["unit"].to_list()) @ q.T
+                s[~wanted[:, pdf["cell"].to_numpy()].T] = -np.inf
+                hits = (s >= least) & (s > -np.inf)
+                if len(s) > k and np.count_nonzero(hits) > 2 * k * len(q):  # only the k best of these rows
+                    hits &= s >= np.partition(s, len(s) - k, axis=0)[len(s) - k]
+                rows, cols = np.nonzero(hits)
+                if not len(rows):
+                    continue
+                part = pdf[[id_col, *carry]].iloc[rows].assign(query=cols, score=s[rows, cols])
+                best = part if best is None else pd.concat([best, part])
+                best = best.sort_values(["query", "score", id_col], ascending=[True, False, True]).groupby("query").head(k)
+                full = best.groupby("query")["score"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                least[full.index.to_numpy()] = full["min"].to_numpy()
         if best is not None and len(best):
             yield pd.DataFrame({"query_id": names[best["query"].to_numpy()], **{c: best[c].to_numpy() for c in (id_col, *carry)}, "score": best["score"].to_numpy()})
 

@@ -24,6 +24,8 @@ from strata.functions.vector import dot, normalize
 
 # Upper bound on the number of query vectors shipped to the tasks at once.
 MAX_BROADCAST_QUERIES = 2048
+# Scores (rows x queries) that a task holds at a time.
+SCORES = 1 << 21
 
 
 def _unit_rows(vectors):
@@ -38,7 +40,7 @@ def _unit_rows(vectors):
 
 def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: list[str],
                  qids: list, qmat, k: int, schema: T.StructType) -> DataFrame:
-    bc = spark.sparkContext.broadcast((list(qids), qmat))
+    bc, scores = spark.sparkContext.broadcast((list(qids), qmat)), SCORES
 
     # Self-contained (no references to this module), so it is shipped to the
     # Python workers by value and executors need no copy of the package.
@@ -49,7 +51,8 @@ def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: lis
         ids_q, m = bc.value
         q_arr = np.asarray(ids_q, dtype=object)
         best, least = None, np.full(len(ids_q), -np.inf)
-        for pdf in batches:
+        step = max(1, scores // len(ids_q))
+        for pdf in (whole.iloc[a:a + step] for whole in batches for a in range(0, len(whole), step)):
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty:
                 continue
@@ -61,8 +64,12 @@ def _local_top_k(spark, corpus: DataFrame, id_col: str, vec_col: str, carry: lis
                 continue
             s = x @ m.T  # rows x queries
             n = s.shape[0]
-            cut = np.maximum(least, np.partition(s, n - k, axis=0)[n - k]) if n > k else least
-            rows, cols = np.nonzero(s >= cut[None, :])
+            hits = s >= least[None, :]
+            if n > k and np.count_nonzero(hits) > 2 * k * len(ids_q):  # only the k best of these rows
+                hits &= s >= np.partition(s, n - k, axis=0)[n - k]
+            rows, cols = np.nonzero(hits)
+            if not len(rows):
+                continue
             part = pdf[[id_col, *carry]].iloc[rows].assign(_q=cols, _s=s[rows, cols])
             best = part if best is None else pd.concat([best, part])
             best = best.sort_values(["_q", "_s", id_col], ascending=[True, False, True]).groupby("_q").head(k)
