@@ -69,8 +69,13 @@ def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells:
     unit = corpus.select(F.col(id_col), normalize(F.col(vec_col)).alias("unit"), *carry).where("unit IS NOT NULL")
     n = unit.count()
     cells = min(cells or round(n**0.5), MAX_CELLS, n)
-    rows = unit.select("unit").orderBy(F.xxhash64(id_col), F.col(id_col)).limit(max(cells, 1) * SAMPLE_PER_CELL).collect()
-    sample = np.array([r[0] for r in rows], np.float64)
+    # drawn by the tasks: an ordered limit would send that many rows of every task to the driver
+    share = max(cells, 1) * SAMPLE_PER_CELL / max(n, 1)
+    drawn = unit.select("unit") if share >= 1 else unit.sample(share, seed=7).select("unit")
+    rows = drawn.toArrow().column("unit").combine_chunks() if cells else []
+    sample = np.array(rows.flatten(), np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+    sample = sample[np.random.default_rng(7).permutation(len(sample))]
+    cells = min(cells, len(sample))
     centres = _fit(sample, cells) if cells else np.zeros((0, 0))
     bc, scores = spark.sparkContext.broadcast(centres), SCORES
 

@@ -88,3 +88,16 @@ def test_searches_do_not_depend_on_the_scores_held(spark, tmp_path, monkeypatch)
     for got in (again, found):
         assert [tuple(r) for r in got.select("query_id", "rank", "vec_id", F.round("score", 9)).orderBy("query_id", "rank").collect()] == want
     assert int(index.sizes.sum()) == 600
+
+
+def test_index_sample_reaches_the_driver_once(spark, tmp_path, monkeypatch):
+    """The tasks draw the sample together; each does not send as many rows as the whole sample has."""
+    from strata.operators import vector_index as V
+
+    seen, kind = [], type(spark.range(1))
+    ordered = lambda d: "TakeOrdered" in d._jdf.queryExecution().executedPlan().toString()
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): seen.append((ordered(self), len(out := f(self)))) or out)
+    index = V.build_index(_vectors(spark, 3000, parts=8), "vec_id", "embedding", f"{tmp_path}/index", cells=4)
+    assert not any(o for o, _ in seen) and max(n for _, n in seen) < 2 * 4 * V.SAMPLE_PER_CELL
+    assert int(index.sizes.sum()) == 3000 and len(index.centres) == 4
