@@ -27,6 +27,7 @@ from strata.operators.records import upsert_latest
 
 BUCKET = "_bucket"
 MAX_FOLDERS = 100_000  #: folders a version may list; more would need larger partitions
+PART_ROWS = 100_000  #: rows of a folder that one task sorts and writes; a folder with more has several files
 
 
 class Conflict(RuntimeError):
@@ -192,10 +193,23 @@ class VersionedStore:
         return result
 
     def _write(self, rows: DataFrame, path: str, *more: str) -> None:
-        """Rows by partition below ``path``."""
+        """Rows by partition below ``path``; those of a large folder are dealt over several tasks by a hash of their key."""
         delete_path(self.spark, path)  # what an attempt that never published may have left
+        rows = rows.select(*self._stored_schema().names, *more)
+        sizes = rows.groupBy(*self.partitions).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("_parts"))
+        found = sizes.collect()  # one row for each folder, at most MAX_FOLDERS of them in a version
+        total = sum(r["_parts"] for r in found)
         width = max(1, min(self.spark.sparkContext.defaultParallelism * 4, 4 * self.buckets))
-        rows.select(*self._stored_schema().names, *more).repartition(width, *self.partitions).write.partitionBy(*self.partitions).parquet(path)
+        if total > width:  # many rows: about one task for each part
+            same = F.lit(True)
+            for c in self.partitions:
+                same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+            sizes = self.spark.createDataFrame(found, sizes.schema)
+            rows = rows.alias("r").join(sizes.alias("s"), same).select("r.*", F.pmod(F.xxhash64(F.lit(PART_ROWS), *[F.col(f"r.{k}") for k in self.keys]), "_parts").alias("_part"))
+            rows = rows.repartition(2 * total, *self.partitions, "_part").drop("_part")
+        else:
+            rows = rows.repartition(width, *self.partitions)
+        rows.write.partitionBy(*self.partitions).parquet(path)
 
     def _read(self, path: str, *flags: str) -> DataFrame:
         schema = T.StructType([*self._stored_schema().fields, *[T.StructField(f, T.BooleanType()) for f in flags]])

@@ -101,3 +101,27 @@ def test_index_sample_reaches_the_driver_once(spark, tmp_path, monkeypatch):
     index = V.build_index(_vectors(spark, 3000, parts=8), "vec_id", "embedding", f"{tmp_path}/index", cells=4)
     assert not any(o for o, _ in seen) and max(n for _, n in seen) < 2 * 4 * V.SAMPLE_PER_CELL
     assert int(index.sizes.sum()) == 3000 and len(index.centres) == 4
+
+
+# ---------------------------------------------------------------- merges
+
+
+def test_large_folders_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A task sorts and writes a bounded number of rows, however many a partition has; versions read back whole."""
+    from pyspark.sql import types as T
+
+    from strata.sources import store as ST
+
+    monkeypatch.setattr(ST, "PART_ROWS", 100)
+    schema = T.StructType([T.StructField("cat", T.StringType()), T.StructField("id", T.LongType()), T.StructField("v", T.LongType())])
+    store = ST.VersionedStore(spark, f"{tmp_path}/store", schema, ["cat", "id"], ["cat"])
+    first = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 == 1, "rare").otherwise("often").alias("cat"), "id", F.lit(1).cast("long").alias("v"))
+    again = first.where("id % 3 = 0").withColumn("v", F.lit(2).cast("long")).unionByName(spark.createDataFrame([("new", 9000, 1)], schema))
+    assert store.merge(first, "v")["added"] == 3000
+    often = spark.read.parquet(f"{tmp_path}/store/data/v=1").where("cat = 'often'")
+    assert max(r["n"] for r in often.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()) < 300
+    result = store.merge(again, "v")
+    assert (result["added"], result["changed"]) == (1, 1000)
+    assert store.merge(again, "v")["changed"] == 0
+    got = {(r["cat"], r["id"]): r["v"] for r in store.read().collect()}
+    assert len(got) == store.read().count() == 3001 and sum(v == 2 for v in got.values()) == 1000 and (None, 0) in got
