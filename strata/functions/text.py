@@ -47,7 +47,12 @@ _EXTRA_WHITESPACE = "".join(
 def words(text: Column) -> Column:
     """Distinct lower-cased whitespace-separated words (no empty tokens), with
     the whitespace set of Python's ``str.split()``."""
-    plain = F.translate(F.lower(text), _EXTRA_WHITESPACE, " " * len(_EXTRA_WHITESPACE))
+    lo = F.lower(text)
+    # texts of ASCII characters without the four separators among them need no table
+    ascii_only = F.octet_length(lo) == F.char_length(lo)
+    for c in _EXTRA_WHITESPACE[:4]:
+        ascii_only = ascii_only & ~lo.contains(c)
+    plain = F.when(ascii_only, lo).otherwise(F.translate(lo, _EXTRA_WHITESPACE, " " * len(_EXTRA_WHITESPACE)))
     toks = F.split(plain, r"\s+")
     return F.array_distinct(F.filter(toks, lambda t: t != ""))
 

@@ -125,3 +125,17 @@ def test_large_folders_are_written_by_several_tasks(spark, tmp_path, monkeypatch
     assert store.merge(again, "v")["changed"] == 0
     got = {(r["cat"], r["id"]): r["v"] for r in store.read().collect()}
     assert len(got) == store.read().count() == 3001 and sum(v == 2 for v in got.values()) == 1000 and (None, 0) in got
+
+
+# ---------------------------------------------------------------- word overlap
+
+
+def test_overlap_pairs_split_the_texts_once(spark, tmp_path):
+    """The texts are read in one stage; the pairs come from their words among the items'."""
+    items = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "p q r s t"), (4, None)], "i long, t string")
+    texts = ["A b\x1cC zz", "a b", "x Y z x", "x y z　é", "p q r", None, "", "s t P", "a\x1fb\x1dc d"]
+    spark.createDataFrame(list(enumerate(texts)), "d long, t string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = C.word_overlap_pairs(items, "i", "t", docs, "d", "t", share=0.5)
+    assert {tuple(r) for r in out.collect()} == {(1, 0, 3, 4), (1, 8, 4, 4), (2, 2, 3, 3), (2, 3, 3, 3), (3, 4, 3, 5), (3, 7, 3, 5)}
+    assert not any("/docs/" in f for f in out.inputFiles())
